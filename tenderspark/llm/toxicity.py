@@ -7,7 +7,8 @@ insult with a group's mention, of which neither tells alone. It is fitted in num
 the sample (bounded) are broadcast to pick its texts, so that texts are not shuffled. Scoring runs over all rows in batches
 with the weights broadcast: buckets x (factors + 1) floats.
 
-Defined cases: a null or empty text has no terms and gets the score of the bias; rows without a label or an id are not
+Defined cases: a null or empty text has no terms and gets the share of toxic labels as its
+score; rows without a label or an id are not
 learned from; repeated labels of an id count as one, toxic if any is; with no label of one class, the score is the
 share of toxic labels (0.0 with none); a text of any length is used whole; an empty table gives an empty result. Only the
 named columns are read, so other columns' names cannot clash.
@@ -77,14 +78,15 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.margin(terms), -30, 30))))
 
 
-def fit_machine(terms: list[np.ndarray], y: np.ndarray, weight: np.ndarray, buckets: int = BUCKETS, factors: int = 4, epochs: int = 6, rate: float = 0.1, decay: float = 1e-2, least: int = 15, drop: float = 0.5, seed: int = 7) -> Machine:
+def fit_machine(terms: list[np.ndarray], y: np.ndarray, weight: np.ndarray, buckets: int = BUCKETS, factors: int = 4, epochs: int = 6, rate: float = 0.1, decay: float = 1e-2, least: int = 15, drop: float = 0.5, share: float = 0.1, seed: int = 7) -> Machine:
     """Logistic loss by AdaGrad, row by row; terms that fewer than `least` rows have are left out. Each visit to a row
-    drops a share of its terms, so that none is relied on alone; the weights are scaled by what stays."""
+    drops a share of its terms, so that none is relied on alone; the weights are scaled by what stays. The bias is not learned: a text without known terms gets the `share` of toxic labels as its score."""
     df = np.bincount(np.concatenate(terms), minlength=buckets) if terms else np.zeros(buckets, np.int64)
     seen = df >= least
     machine = Machine(buckets, factors, seed)
     machine.factor[~seen] = 0
-    gw, gv, gb = np.full(buckets, 1.0, np.float32), np.full((buckets, factors), 1.0, np.float32), 1.0
+    machine.bias = np.float32(np.log(share / (1 - share)))
+    gw, gv = np.full(buckets, 1.0, np.float32), np.full((buckets, factors), 1.0, np.float32)
     rows = [t[seen[t]] for t in terms]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -95,8 +97,6 @@ def fit_machine(terms: list[np.ndarray], y: np.ndarray, weight: np.ndarray, buck
             s = v.sum(axis=0)
             margin = machine.bias + machine.weight[t].sum() + 0.5 * (s @ s - np.einsum("ij,ij->", v, v))
             g = np.float32((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[i]) * weight[i])
-            gb += g * g
-            machine.bias -= rate * g / np.sqrt(gb)
             if abs(g) < 1e-4:
                 continue
             dw = g + decay * machine.weight[t]
@@ -142,7 +142,7 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int =
     weight = share * lift
     terms = [np.asarray(t, np.int64) for t in got["terms"]]
     order = np.lexsort([[len(t) for t in terms], [int(t[:8].sum()) for t in terms], y])  # rows come in no certain order
-    return fit_machine([terms[i] for i in order], y[order], (weight / weight.mean())[order], buckets, **options)
+    return fit_machine([terms[i] for i in order], y[order], (weight / weight.mean())[order], buckets, share=sizes[1] / (sizes[0] + sizes[1]), **options)
 
 
 def score(documents: DataFrame, machine: Machine | float) -> DataFrame:
