@@ -2,8 +2,9 @@
 
 Texts are cut where a character that is no white space meets a blank, tab or line end: no match of the splitting
 pattern spans that place or looks back over it, so the pieces' ids joined are the text's ids. Pieces repeat, so a
-bounded cache in each Python worker holds their ids and the library sees every distinct piece about once. Texts of
-any length go through in blocks.
+bounded cache in each Python worker holds their ids, and the library sees every distinct piece about once. Pieces are
+found again by 64-bit hashes: among the 800,000 that a cache holds, two share one with a probability of 2e-8. Texts
+of any length go through in blocks.
 
 Defined cases: a null text counts as empty and has no ids; special tokens' strings in a text are ordinary text;
 repeated rows are encoded each by itself; an empty table gives an empty result. Columns of the input other than the
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-from .common import list_array, text_or_empty
+from .common import hash_spans, list_array, slices, string_buffers, text_or_empty
 
-_PIECE = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+\Z")
-_RARE_SPACE = re.compile(r"[^\S \n\t\r]")
+#: A text is encoded in blocks of about so many bytes.
 _BLOCK = 1 << 20
-_SAFE_CUT = re.compile(r"(?<=\S)[ \n\t\r]")
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r")] = True
+_CONTROL_SPACE = np.zeros(256, bool)
+_CONTROL_SPACE[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F]] = True
+#: The other white space of Unicode in UTF-8, as numbers of two and three bytes; fixed values.
+_SPACE_2 = np.array([0xC285, 0xC2A0])
+_SPACE_3 = np.array([0xE19A80, 0xE1A08E, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080])
 
 
 def byte_characters() -> list[str]:
@@ -75,91 +80,160 @@ def load_tokenizer(path: str, pattern: str | None = None) -> Tokenizer:
     return tokenizer
 
 
+def _after_text(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is no white space; places are at least 1."""
+    one = raw[at - 1].astype(np.int64)
+    two = (raw[np.maximum(at - 2, 0)].astype(np.int64) << 8) + one
+    three = (raw[np.maximum(at - 3, 0)].astype(np.int64) << 16) + two
+    return ~(_BLANK[one] | _CONTROL_SPACE[one] | np.isin(two, _SPACE_2) | np.isin(three, _SPACE_3))
+
+
+def _safe_cuts(raw: np.ndarray) -> np.ndarray:
+    """Places before a blank, tab or line end that stands after a character other than white space."""
+    blank = _BLANK[raw]
+    at = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    return at[_after_text(raw, at)] if len(at) else at
+
+
+class _Index:
+    """Numbers of 64-bit hashes: an open hash table in numpy."""
+
+    def __init__(self, bits: int = 14):
+        self.bits, self.used = bits, 0
+        self.key = np.zeros(1 << bits, np.uint64)
+        self.value = np.zeros(1 << bits, np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it has none."""
+        mask = np.uint64((1 << self.bits) - 1)
+        out = np.full(len(h), -1, np.int32)
+        left, at = np.arange(len(h)), h & mask
+        while len(left):
+            k = self.key[at]
+            hit = k == h[left]
+            out[left[hit]] = self.value[at[hit]]
+            on = ~hit & (k != 0)
+            left, at = left[on], (at[on] + np.uint64(1)) & mask
+        return out
+
+    def add(self, h: np.ndarray, first: int) -> None:
+        """Number new, distinct hashes from `first` on."""
+        while (self.used + len(h)) * 2 > len(self.key):
+            old, kept = self.key != 0, (self.key, self.value)
+            self.bits, self.used = self.bits + 1, 0
+            self.key, self.value = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(kept[0][old], kept[1][old])
+        self._put(h, np.arange(first, first + len(h), dtype=np.int32))
+
+    def _put(self, h: np.ndarray, value: np.ndarray) -> None:
+        mask = np.uint64((1 << self.bits) - 1)
+        self.used += len(h)
+        at = h & mask
+        while len(h):
+            free = self.key[at] == 0
+            self.key[at[free]] = h[free]
+            won = self.key[at] == h
+            self.value[at[won]] = value[won]
+            h, value, at = h[~won], value[~won], (at[~won] + np.uint64(1)) & mask
+
+
 class Encoder:
-    """Ids of whole texts, with a cache of pieces that is bounded in entries and characters."""
+    """Ids of whole texts, with a cache of pieces, found by 64-bit hashes, that is bounded in entries and ids."""
 
-    def __init__(self, path: str, pattern: str | None = None, entries: int = 400_000, characters: int = 16_000_000):
+    def __init__(self, path: str, pattern: str | None = None, entries: int = 800_000, ids: int = 8_000_000):
         self.tokenizer = load_tokenizer(path, pattern)
-        self.entries, self.characters = entries, characters
+        self.bytes = ByteTable(self.tokenizer)
+        self.entries, self.most_ids = entries, ids
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.held = self.used = 0
+        self.index = _Index()
+        self.pieces = self.used = 0
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            n, m = len(self.index), sum(map(len, found))
-            while n + len(some) > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-            while self.used + m > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self.length[n : n + len(some)] = lengths
-            self.start[n : n + len(some)] = self.used + np.cumsum(lengths) - lengths
-            if m:
-                self.ids[self.used : self.used + m] = np.concatenate(found)
-            self.used += m
-            self.held += sum(map(len, some))
-            self.index.update(zip(some, range(n, n + len(some))))
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        pieces = _PIECE.findall(text)
-        if len(pieces) > 1 and _RARE_SPACE.search(text):
-            joined = pieces[:1]
-            for p in pieces[1:]:
-                if joined[-1][-1].isspace():
-                    joined[-1] += p
-                else:
-                    joined.append(p)
-            pieces = joined
-        return pieces
-
-    def _encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > self.entries or self.held > self.characters:
+        self.start = np.zeros(1 << 14, np.int32)
+        self.length = np.zeros(1 << 14, np.int32)
+
+    def _encode_pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and each one's number of ids. Pieces that may stand one after the other, as they begin with a
+        blank and end in text, go to the library some hundred to a string."""
+        joins = _BLANK[raw[starts]] & _after_text(raw, ends)
+        order = np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])
+        starts, ends = starts[order], ends[order]
+        sizes = ends - starts
+        to = np.cumsum(sizes)
+        flat = raw[np.repeat(starts - to + sizes, sizes) + np.arange(to[-1])].tobytes()
+        n = int(joins.sum())
+        cuts = np.concatenate([[0], to[: n : 500][1:] if n > 500 else [], to[n - 1 : n], to[n:]]).astype(np.int64)
+        texts = [flat[a:b].decode("utf-8", "replace") for a, b in zip(cuts.tolist(), cuts[1:].tolist()) if b > a]
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        marks = np.searchsorted(np.cumsum(self.bytes.length[ids]), to, "left") + 1
+        counts = np.diff(marks, prepend=0)
+        back = np.argsort(order)
+        begin = (marks - counts)[back]
+        counts = counts[back]
+        stops = np.cumsum(counts)
+        return ids[np.repeat(begin - stops + counts, counts) + np.arange(stops[-1])], counts
+
+    def _learn(self, h: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        ids, counts = self._encode_pieces(raw, starts, ends)
+        n = self.pieces
+        while n + len(h) > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.length[n : n + len(h)] = counts
+        self.start[n : n + len(h)] = self.used + np.cumsum(counts) - counts
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.pieces += len(h)
+        self.index.add(h, n)
+
+    def _encode_block(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive texts and each one's number of ids; off[0] is 0."""
+        if self.pieces > self.entries or self.used > self.most_ids:
             self._forget()
-        pieces: list[str] = []
-        counts = []
-        for text in texts:
-            some = self._pieces(text)
-            counts.append(len(some))
-            pieces += some
-        if new := set(pieces).difference(self.index):
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.start[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        before = np.concatenate([[0], ends])
-        to = np.cumsum(counts)
-        return ids, before[to] - before[to - counts]
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Blocks of texts in order: the first one's number, all ids, and each text's number of ids."""
-        at = 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= _BLOCK):
-                size += len(texts[to])
-                to += 1
-            if size <= _BLOCK:
-                yield at, *self._encode_block(texts[at:to])
-            else:
-                parts, text, k = [], texts[at], 0
-                while k < len(text):
-                    cut = _SAFE_CUT.search(text, k + _BLOCK)
-                    end = cut.start() if cut else len(text)
-                    parts.append(self._encode_block([text[k:end]])[0])
-                    k = end
-                ids = np.concatenate(parts)
-                yield at, ids, np.array([len(ids)])
-            at = to
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[_safe_cuts(raw)] = True
+        cut[off] = True
+        starts = np.flatnonzero(cut[:-1])
+        ends = np.append(starts[1:], len(raw))
+        h = np.maximum(hash_spans(raw, starts, ends), np.uint64(1))
+        at = self.index.find(h)
+        if (missing := np.flatnonzero(at < 0)).size:
+            new, first = np.unique(h[missing], return_index=True)
+            some = missing[first]
+            self._learn(new, raw, starts[some], ends[some])
+            at[missing] = self.index.find(h[missing])
+        lengths = self.length[at].astype(np.int64)
+        stops = np.cumsum(lengths)
+        ids = self.ids[np.repeat(self.start[at] - stops + lengths, lengths) + np.arange(stops[-1])]
+        before = np.concatenate([[0], stops])[np.searchsorted(starts, off)]
+        return ids, np.diff(before)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks of a text column without nulls: the first row's number, all ids, and each row's number of ids."""
+        raw, off = string_buffers(texts)
+        for a, b in slices(off, _BLOCK):
+            some = raw[off[a] : off[b]]
+            if len(some) <= 2 * _BLOCK:
+                yield a, *self._encode_block(some, off[a : b + 1] - off[a])
+                continue
+            parts, at = [], 0
+            while at < len(some):
+                to = min(at + _BLOCK, len(some))
+                while to < len(some):
+                    cuts = _safe_cuts(some[to - 4 : to + _BLOCK])
+                    if (cuts := cuts[cuts >= 4]).size:
+                        to += int(cuts[0]) - 4
+                        break
+                    to = min(to + _BLOCK - 4, len(some))
+                parts.append(self._encode_block(some[at:to], np.array([0, to - at]))[0])
+                at = to
+            ids = np.concatenate(parts)
+            yield a, ids, np.array([len(ids)])
 
 
 class ByteTable:
@@ -206,9 +280,9 @@ def encode_texts(df: DataFrame, path: str, pattern: str | None = None, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, pattern)
-        table = ByteTable(encoder.tokenizer)
+        table = encoder.bytes
         for batch in batches:
-            for first, ids, counts in encoder.encode(batch.column(1).to_pylist()):
+            for first, ids, counts in encoder.encode(batch.column(1)):
                 ends = np.cumsum(counts)
                 spans = [table.character_spans(ids[e - n : e]) for e, n in zip(ends, counts)]
                 starts = np.concatenate([s for s, _ in spans]) if spans else np.zeros(0)
@@ -223,7 +297,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str | None = None, id_col: str
     """One row per list of ids: the bytes, and the text with a replacement character where a character is incomplete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ByteTable(worker_encoder(path, pattern).tokenizer)
+        table = worker_encoder(path, pattern).bytes
         for batch in batches:
             raw = [table.decode(np.array(ids or [], np.int64)).tobytes() for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string())], names=["id", "bytes", "text"])
@@ -236,9 +310,9 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path, pattern)
-        table = ByteTable(encoder.tokenizer)
+        table = encoder.bytes
         for batch in batches:
-            for first, ids, counts in encoder.encode(batch.column(1).to_pylist()):
+            for first, ids, counts in encoder.encode(batch.column(1)):
                 raw, ends = table.decode(ids), np.cumsum(counts)
                 lengths = np.concatenate([[0], np.cumsum(table.length[ids])])
                 wide = ids.astype("<u4")

@@ -116,7 +116,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capaci
         end = np.array([end_id], "<u4")
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for first, ids, counts in encoder.encode(batch.column(1).to_pylist()):
+            for first, ids, counts in encoder.encode(batch.column(1)):
                 wide, at = ids.astype("<u4"), 0
                 for k, n in enumerate(counts.tolist(), first):
                     packer.add(doc_ids[k], np.concatenate([wide[at : at + n], end]))

@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, near_dedup, packing, quality, sharding, toxicity
+from . import bpe, chat, langid, near_dedup, packing, quality, sharding, token_scan, toxicity
 from .common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The id that closes a document in token files; no text is encoded to it.
+END_ID = 50256
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -32,6 +34,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_scan.token_counts(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+    return counted.select("doc_id", "n_tokens", "closed")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents"), fold_of_id(3) == 1)
 
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_sharding": op4_sharding,
+    "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
