@@ -1,0 +1,26 @@
+"""When resolution runs: pure functions over times, in seconds."""
+
+from __future__ import annotations
+
+#: Quiet time after a write, least time between runs, longest time without one; fixed values.
+DEBOUNCE, FLOOR, FALLBACK = 5, 300, 3600
+
+
+def next_run(last_run: float | None, writes: list[float], now: float) -> float:
+    """The time of the next run: after the last write's quiet time, not before the floor, and at the latest after the
+    fallback. A write that falls before the floor defers its run and is never dropped."""
+    earliest = 0.0 if last_run is None else last_run + FLOOR
+    latest = (now if last_run is None else last_run) + FALLBACK
+    pending = [w for w in writes if last_run is None or w > last_run]
+    return max(earliest, min(max(pending) + DEBOUNCE, latest)) if pending else latest
+
+
+def lock_expired(taken_at: float, interval: float, now: float) -> bool:
+    """A lock lives for two intervals."""
+    return now - taken_at > 2 * interval
+
+
+def take_tokens(available: float, last: float, now: float, rate: float, burst: float) -> tuple[float, float]:
+    """A token bucket: what is left after taking one, and how long to wait for it."""
+    filled = min(burst, available + (now - last) * rate)
+    return (filled - 1, 0.0) if filled >= 1 else (0.0, (1 - filled) / rate)
