@@ -60,15 +60,16 @@ def base_statistics(df: DataFrame, text: str = "text", prefix: str = "") -> Data
     w = F.col("_q_windows")
     placed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
     repeats = F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(_let(_let(placed, lambda s: F.sort_array(F.transform(again(s), lambda x: x["i"]))), covered))
-    return step.withColumns(
-        {
-            f"{prefix}n_words": n.cast("long"),
-            f"{prefix}word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
-            f"{prefix}n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
-            f"{prefix}n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
-            f"{prefix}n_repeat_words": repeats,
-        }
-    ).drop("_q_words", "_q_lines", "_q_hashes", "_q_windows")
+    found = {
+        "n_words": n.cast("long"),
+        "word_chars": F.length(F.array_join("_q_words", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long"),
+        "n_dup_lines": (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long"),
+        "n_repeat_words": repeats,
+    }
+    # generated, so that a filter on them is not pushed down into the steps above and computes them over and over
+    once = step.withColumn("_q_found", F.explode(F.array(F.struct(*[c.alias(name) for name, c in found.items()]))))
+    return once.select(*df.columns, *[F.col(f"_q_found.{name}").alias(f"{prefix}{name}") for name in found])
 
 
 def base_failed(prefix: str = "") -> Column:
