@@ -81,7 +81,9 @@ class Machine:
 def fit_machine(terms: list[np.ndarray], y: np.ndarray, weight: np.ndarray, buckets: int = BUCKETS, factors: int = 4, epochs: int = 6, rate: float = 0.1, decay: float = 1e-2, least: int = 15, drop: float = 0.5, share: float = 0.1, seed: int = 7) -> Machine:
     """Logistic loss by AdaGrad, row by row; terms that fewer than `least` rows have are left out. Each visit to a row
     drops a share of its terms, so that none is relied on alone; the weights are scaled by what stays. The bias is not learned: a text without known terms gets the `share` of toxic labels as its score."""
-    df = np.bincount(np.concatenate(terms), minlength=buckets) if terms else np.zeros(buckets, np.int64)
+    df = np.zeros(buckets, np.int64)
+    for i in range(0, len(terms), 256):
+        df += np.bincount(np.concatenate(terms[i : i + 256]), minlength=buckets)
     seen = df >= least
     machine = Machine(buckets, factors, seed)
     machine.factor[~seen] = 0
@@ -133,16 +135,16 @@ def train(documents: DataFrame, labels: DataFrame, usable: Column, sample: int =
     parts = [present.where(F.col("toxic") == c).withColumn("n", F.lit(int(sizes[c])).cast("long")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # 2 * sample rows of 20 bytes at most
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "n", "text")
-    got = _terms_of(texts, buckets).toPandas()
-    y = got["toxic"].to_numpy(np.float64)
+    got = _terms_of(texts, buckets).toArrow()
+    y = got.column("toxic").to_numpy().astype(np.float64)
+    lists = [c.values.to_numpy()[x:z] for c in got.column("terms").chunks for x, z in zip(c.offsets.to_numpy()[:-1].tolist(), c.offsets.to_numpy()[1:].tolist())]  # views, not copies
     share = np.array([sizes[0] / max((y == 0).sum(), 1), sizes[1] / max((y == 1).sum(), 1)])[y.astype(int)]
     # each class weighs as in the labels, but the rarer one a fifth of all at least
     total = np.array([share[y == 0].sum(), share[y == 1].sum()])
     lift = np.maximum(0.2 * total.sum() / total, 1.0)[y.astype(int)]
     weight = share * lift
-    terms = [np.asarray(t, np.int64) for t in got["terms"]]
-    order = np.lexsort([[len(t) for t in terms], [int(t[:8].sum()) for t in terms], y])  # rows come in no certain order
-    return fit_machine([terms[i] for i in order], y[order], (weight / weight.mean())[order], buckets, share=sizes[1] / (sizes[0] + sizes[1]), **options)
+    order = np.lexsort([[len(t) for t in lists], [int(t[:8].sum(dtype=np.int64)) for t in lists], y])  # rows come in no certain order
+    return fit_machine([lists[i] for i in order], y[order], (weight / weight.mean())[order], buckets, share=sizes[1] / (sizes[0] + sizes[1]), **options)
 
 
 def score(documents: DataFrame, machine: Machine | float) -> DataFrame:
