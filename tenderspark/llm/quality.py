@@ -5,10 +5,13 @@ Plain rules first: fewer than 10 words, or over 20 % of the words in repeated 5-
 medians and median deviations, concentration steps take the mean and covariance of the `share` of the group's rows that
 lie nearest, and the rows whose Mahalanobis distance then exceeds the cutoff are rejected. Aggregates are partial sums
 and percentile sketches, so a group that holds a third of all rows costs no more than others; the estimates, one row a
-group, are joined back. Groups with fewer than `least` rows use the estimate of all groups together.
+group, are joined back. Every group, however small, is judged by its own centre. Its covariance is shrunk towards that
+within the groups of its language, and this towards that within all groups, as if PRIOR_ROWS rows of the wider one had been
+seen: a group of few rows has the wider spread around its own centre, a large one its own. A single row is its own centre
+and stays.
 
 Defined cases: a null text has no words and fails; null languages and sources are groups of their own; repeated rows
-count each; statistics that are constant in a group get the floor as their spread, so equal rows are never outliers; an
+count each; a group without a row that passes the plain rules has no estimate, and its distances are null; statistics that are constant in a group get the floor as their spread, so equal rows are never outliers; an
 empty table gives an empty result; other columns pass through `judge` untouched, its own carry the prefix ``_q_``.
 Windows are compared by 64-bit hashes of their words' hashes: two different windows of a text of 20,000 words meet with a
 probability of about 1e-11.
@@ -27,6 +30,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 VECTOR = {"length": 0.5, "word_length": 0.4, "symbols": 0.05, "dup_lines": 0.12, "repeats": 0.1}
 #: Means over words count so many words of usual length more, so that short texts do not scatter.
 PRIOR_WORDS, PRIOR_LENGTH = 20, 5
+#: Rows that the wider covariance counts for beside a group's own.
+PRIOR_ROWS = 20
 #: Squared distance beyond which a row is an outlier.
 CUTOFF = 32.0
 #: Medians of the chi-squared distribution by degrees of freedom, fixed values.
@@ -110,18 +115,34 @@ def with_distance(df: DataFrame, estimates: DataFrame, names: list[str]) -> Data
     return out.withColumn("_q_d", distance / F.coalesce(F.col("_q_scale"), F.lit(1.0))).drop(*steps, *[f"_q_m_{n}" for n in names], *[f"_q_l_{i}_{j}" for i, j in factor], "_q_scale")
 
 
+def _shrunk(moments: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """Covariances of each group, with those within its language's groups and within all groups mixed in by counts."""
+    n = F.col("_q_n")
+    named = moments.withColumn("_q_lang", F.to_json(F.struct(F.get_json_object("_q_group", "$.lang"))))
+    wide = named.groupBy("_q_lang").agg(F.sum(n).alias("_q_nl"), *[F.sum(n * F.col(f"_q_c_{i}_{j}")).alias(f"_q_cl_{i}_{j}") for i, j in pairs])
+    whole = wide.agg(F.sum("_q_nl").alias("_q_na"), *[F.sum(f"_q_cl_{i}_{j}").alias(f"_q_ca_{i}_{j}") for i, j in pairs])
+    out = named.join(wide, "_q_lang").crossJoin(F.broadcast(whole))
+    for i, j in pairs:
+        of_all = F.col(f"_q_ca_{i}_{j}") / F.col("_q_na")
+        of_lang = (F.col(f"_q_cl_{i}_{j}") + PRIOR_ROWS * of_all) / (F.col("_q_nl") + PRIOR_ROWS)
+        out = out.withColumn(f"_q_c_{i}_{j}", (n * F.col(f"_q_c_{i}_{j}") + PRIOR_ROWS * of_lang) / (n + PRIOR_ROWS))
+    return out.select(*moments.columns)
+
+
 def _moments(df: DataFrame, names: list[str], floors: dict[str, float]) -> DataFrame:
     """Mean and Cholesky factor of the covariance, for each group; floors keep the covariance positive definite."""
     p = len(names)
-    agg = [F.avg(f"_q_x_{n}").alias(f"_q_m_{n}") for n in names] + [F.covar_pop(f"_q_x_{names[i]}", f"_q_x_{names[j]}").alias(f"_q_c_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    out = df.groupBy("_q_group").agg(*agg)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    agg = [F.avg(f"_q_x_{n}").alias(f"_q_m_{n}") for n in names] + [F.covar_pop(f"_q_x_{names[i]}", f"_q_x_{names[j]}").alias(f"_q_c_{i}_{j}") for i, j in pairs]
+    # a checkpoint, as the rows of groups are read three times
+    out = _shrunk(materialise(df.groupBy("_q_group").agg(F.count("*").alias("_q_n"), *agg)), pairs)
     for i in range(p):
         for j in range(i + 1):
             s = F.col(f"_q_c_{i}_{j}") + (floors[names[i]] ** 2 if i == j else 0.0)
             for k in range(j):
                 s = s - F.col(f"_q_l_{i}_{k}") * F.col(f"_q_l_{j}_{k}")
             out = out.withColumn(f"_q_l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(floors[names[i]] ** 2 / 4))) if i == j else s / F.col(f"_q_l_{j}_{j}"))
-    return out.drop(*[f"_q_c_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return out.drop("_q_n", *[f"_q_c_{i}_{j}" for i, j in pairs])
 
 
 def estimate(rows: DataFrame, names: list[str], floors: dict[str, float], share: float = 0.75, steps: int = 3) -> DataFrame:
@@ -152,14 +173,11 @@ def group_key() -> Column:
     return F.to_json(F.struct(F.col("lang").cast("string"), F.col("source").cast("string")))
 
 
-def fit(statistics: DataFrame, least: int = 200, share: float = 0.75, steps: int = 3, floors: dict[str, float] = VECTOR) -> DataFrame:
-    """Estimates for the rows of `statistics` that pass the plain rules: one for each group of at least `least`, and
-    one of all rows, whose group is ``*``."""
+def fit(statistics: DataFrame, share: float = 0.75, steps: int = 3, floors: dict[str, float] = VECTOR) -> DataFrame:
+    """An estimate for each group of the rows of `statistics` that pass the plain rules."""
     names = list(floors)
     good = statistics.where(~F.col("_q_failed")).select("_q_group", *[f"_q_x_{n}" for n in names])
-    sizes = good.groupBy("_q_group").count().where(F.col("count") >= least)
-    rows = good.join(sizes, "_q_group", "left_semi").unionByName(good.withColumn("_q_group", F.lit("*")))
-    return estimate(rows, names, floors, share, steps)
+    return estimate(good, names, floors, share, steps)
 
 
 def _narrow(documents: DataFrame, names: list[str]) -> DataFrame:
@@ -169,24 +187,22 @@ def _narrow(documents: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _with_verdict(statistics: DataFrame, estimates: DataFrame, names: list[str], cutoff: float) -> DataFrame:
-    """Add _q_d and _q_kept; a group without an estimate of its own takes that of all rows."""
-    own = estimates.select("_q_group", F.col("_q_group").alias("_q_has"))
-    placed = statistics.join(own, "_q_group", "left").withColumn("_q_group", F.coalesce("_q_has", F.lit("*"))).drop("_q_has")
-    return with_distance(placed, estimates, names).withColumn("_q_kept", ~F.col("_q_failed") & F.coalesce(F.col("_q_d") <= cutoff, F.lit(True)))
+    """Add _q_d and _q_kept."""
+    return with_distance(statistics, estimates, names).withColumn("_q_kept", ~F.col("_q_failed") & F.coalesce(F.col("_q_d") <= cutoff, F.lit(True)))
 
 
-def judge(documents: DataFrame, cutoff: float = CUTOFF, least: int = 200, share: float = 0.75, steps: int = 3, floors: dict[str, float] = VECTOR) -> DataFrame:
+def judge(documents: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, steps: int = 3, floors: dict[str, float] = VECTOR) -> DataFrame:
     """The base statistics of each row with base_failed, the squared distance and the verdict `kept`."""
     names = list(floors)
     stats = materialise(_narrow(documents, names))
-    judged = _with_verdict(stats, fit(stats, least, share, steps, floors), names, cutoff)
+    judged = _with_verdict(stats, fit(stats, share, steps, floors), names, cutoff)
     return judged.select("doc_id", *[F.col(f"_q_b_{b}").alias(b) for b in BASE], F.col("_q_failed").alias("base_failed"), F.col("_q_d").alias("distance"), F.col("_q_kept").alias("kept"))
 
 
-def keep_good(documents: DataFrame, cutoff: float = CUTOFF, least: int = 200, share: float = 0.75, steps: int = 3, floors: dict[str, float] = VECTOR) -> DataFrame:
+def keep_good(documents: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, steps: int = 3, floors: dict[str, float] = VECTOR) -> DataFrame:
     """The documents that the rules keep, with their own columns. The texts are read twice and never shuffled."""
     names = list(floors)
-    estimates = fit(materialise(_narrow(documents, names)), least, share, steps, floors)
+    estimates = fit(materialise(_narrow(documents, names)), share, steps, floors)
     stats = base_statistics(documents.withColumn("_q_group", group_key()), prefix="_q_b_")
     stats = stats.withColumns({"_q_failed": base_failed("_q_b_"), **{f"_q_x_{n}": c for n, c in vector("_q_b_").items() if n in names}})
     return _with_verdict(stats, estimates, names, cutoff).where("_q_kept").select(*documents.columns)

@@ -129,6 +129,23 @@ def test_quality_rejects_an_outlier_and_keeps_the_rest(spark):
     assert not kept[999] and sum(kept.values()) >= 295
 
 
+def test_quality_judges_small_groups_by_themselves(spark):
+    """Languages and sources of 1 to 150 rows whose words are far longer than the corpus's."""
+    rng = np.random.default_rng(3)
+
+    def text(low, high, n):
+        return " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(low, high))) for _ in range(n))
+
+    rows = [(-i, text(3, 8, rng.integers(40, 80)), "en", "s") for i in range(1500)]
+    for k, n in enumerate((150, 40, 7, 3, 1)):
+        rows += [(1000 * (k + 1) + i, text(20, 60, rng.integers(20, 60)), "ja" if k < 3 else None, f"s{k}") for i in range(n)]
+    rows.append((9999, " ".join("$" * int(n) for n in rng.integers(20, 60, 60)), "ja", "s0"))
+    kept = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not kept.pop(9999) and sum(kept.values()) >= len(kept) - 5
+    for k, n in enumerate((150, 40, 7, 3, 1)):
+        assert sum(kept[1000 * (k + 1) + i] for i in range(n)) >= n - 2 * (n > 7)
+
+
 def test_sharding(spark, sf_dir, odd_documents):
     for d in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd_documents.unionByName(odd_documents)):
         texts = texts_of(d)
