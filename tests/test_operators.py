@@ -139,6 +139,17 @@ def test_fold_against_nested_loops(spark, values):
     assert {(r.notice_id, r.canonical) for r in found.collect()} == expected
 
 
+def test_a_frequent_title_is_streamed(spark):
+    """One title with several notices every day, so no gap ever cuts it: nothing is collected, clusters are the model's."""
+    rng = random.Random(5)
+    entries = sorted((D(2020, 1, 1) + datetime.timedelta(rng.randrange(1500)), i, rng.choice("aaaaaaab"), []) for i in range(6000))
+    n = spark.createDataFrame([(i, s, None, "same", None, d, None) for d, i, s, _ in entries], RES)
+    found = resolve.pass_two(n)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
+    assert sorted((r.notice_id, r.canonical) for r in found.collect()) == sorted((i, ids[0]) for ids in nested_loop(entries, 7) for i in ids)
+
+
 def test_late_third_source_joins_its_settled_group(spark):
     rows = [(1, "vestnik", "P", "x", "45", D(2024, 1, 1), None), (2, "crz", "P", "x", "45", D(2024, 1, 5), None)]
     n = spark.createDataFrame(rows, RES)
