@@ -81,9 +81,7 @@ def risk_summary(spark, sf_dir):
 
 def _resolution_input(spark, sf_dir):
     """Notices of the stable year that passes are run over, without canonical ids."""
-    n = notices(spark, sf_dir, cpv=True).withColumn("canonical_id", F.lit(None).cast("string"))
-    # titles of the binding are few: the customer makes them a contract's
-    return n.withColumn("title_slug", F.concat_ws("-", "title_slug", F.col("notice_id") % 997))
+    return notices(spark, sf_dir, cpv=True).withColumn("canonical_id", F.lit(None).cast("string"))
 
 
 @query(
@@ -98,7 +96,7 @@ def dedup_pass1(spark, sf_dir):
 
 @query()
 def dedup_pass2(spark, sf_dir):
-    return resolve.pass_two(_resolution_input(spark, sf_dir), days=120)
+    return resolve.pass_two(_resolution_input(spark, sf_dir))
 
 
 WINDOW_END = "1998-07-01"

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tenderspark.functions import text
 from tenderspark.functions.columns import human_age, year_from_date
 from tenderspark.operators import company, graph, health, resolve, risk, search, spend, upsert
+from tenderspark.plans import risk_queries
 from tenderspark.sources import readers, transforms
+from tenderspark.sources.binding import notices
 from tenderspark.streaming import ingest, schedule
 
 D = datetime.date
@@ -150,6 +152,26 @@ def test_a_frequent_title_is_streamed(spark):
     assert sorted((r.notice_id, r.canonical) for r in found.collect()) == sorted((i, ids[0]) for ids in nested_loop(entries, 7) for i in ids)
 
 
+def test_registered_passes_match_equal_titles(spark):
+    """The queries against the model over the binding's own titles, 7 days apart at most."""
+    sf_dir = "/root/testdata/sf0.01"
+    rows = notices(spark, sf_dir, cpv=True).select("notice_id", "source", "procurer_ico", "title_slug", "publication_date", "ingested_at").collect()
+
+    def model(rows):
+        titles = {}
+        for r in rows:
+            if not r.procurer_ico and r.title_slug:
+                titles.setdefault(r.title_slug, []).append((r.publication_date, r.notice_id, r.source, []))
+        return {(i, ids[0]) for entries in titles.values() for ids in nested_loop(sorted(entries), 7) for i in ids}
+
+    expected = model(rows)
+    assert len(expected) > 100 and {(r.notice_id, r.canonical) for r in risk_queries.dedup_pass2(spark, sf_dir).collect()} == expected
+    end = datetime.datetime.fromisoformat(risk_queries.WINDOW_END)
+    late = model([r for r in rows if end - datetime.timedelta(30) <= r.ingested_at < end])
+    stamped = {r.notice_id: r.canonical_id for r in risk_queries.dedup_all(spark, sf_dir).collect()}
+    assert late and all(stamped[i] is not None for i, _ in late)
+
+
 def test_late_third_source_joins_its_settled_group(spark):
     rows = [(1, "vestnik", "P", "x", "45", D(2024, 1, 1), None), (2, "crz", "P", "x", "45", D(2024, 1, 5), None)]
     n = spark.createDataFrame(rows, RES)
