@@ -12,14 +12,17 @@
 5. The recall is audited against brute force for at most `audit` vectors; under `recall` the search runs again with
    twice the overlap and beam.
 
+All of this runs for each width of vectors with more than `block_rows` classes, and for the commonest; of the other
+widths all pairs are compared in blocks.
+
 Defined cases: vectors that are null, empty, zero or that hold null or non-finite components link with nothing; so do
-vectors of different lengths with each other, as only those of the commonest length are compared and others just with
-their equals; rows that repeat a vec_id are vectors of their own and link if their vectors do; a row without a vec_id
+vectors of different lengths with each other; rows that repeat a vec_id are vectors of their own and link if their vectors do; a row without a vec_id
 is no link and has no component, but is kept; an empty table gives an empty result. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -345,6 +348,29 @@ def _fringe_links(placed: DataFrame, least: float, block_rows: int) -> DataFrame
     return both.repartition("ball", "left", "right").sortWithinPartitions("ball", "left", "right").mapInArrow(run, _FOUND)
 
 
+def exact_links(classes: DataFrame, least: float, block_rows: int) -> DataFrame:
+    """(a, b, links) among classes (rep, v, times) by comparing all pairs of each width, in pairs of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _tasks(batches):
+            order = np.argsort(t.column(4).to_numpy())
+            own, rep, times = (t.column(i).to_numpy()[order] for i in (3, 4, 6))
+            v, n, same = _matrix(t.column(5))[order], len(order), t.column(1)[0] == t.column(2)[0]
+            links, top = np.zeros(n, np.int64), np.arange(n)
+            for i in range(0, n, 512):
+                some = np.arange(i, min(i + 512, n))
+                hit = v[some] @ v.T >= least
+                # a pair of two blocks leaves pairs within either to that block's own task
+                hit &= some[:, None] != np.arange(n) if same else own[some][:, None] != own
+                links[some] = hit @ times
+                a, b = np.nonzero(hit)
+                top = least_in_tree(n, np.concatenate([some[a], np.arange(n)]), np.concatenate([b, top]), np.arange(n))
+            yield _found(rep, rep[top], links)
+
+    tasks = ["shard", "left", "right"]
+    return _dealt(classes.withColumn("shards", F.array(F.size("v"))), block_rows).repartition(*tasks).sortWithinPartitions(*tasks).mapInArrow(run, _FOUND)
+
+
 def graph_links(classes: DataFrame, sample: np.ndarray, least: float, overlap: int = 3, beam: int = 24, candidates: int = 40, degree: int = 20, alpha: float = 1.2, shard_rows: int = 1500, block_rows: int = 6000, most_shards: int = 4096) -> DataFrame:
     """(a, b, links) found by the flat graph among classes (rep, v, times): a's links in a task, b its tree's least."""
     n = classes.count()
@@ -390,28 +416,33 @@ def link_vectors(vectors: DataFrame, similar: float = 0.9, sample_bytes: int = 1
     base = materialise(unit_vectors(vectors, id_col, vector_col).withColumns({"sig_a": F.xxhash64("v"), "sig_b": F.xxhash64(F.lit(7), "v")}))
     good = base.where("v IS NOT NULL AND vec_id IS NOT NULL")
     classes = materialise(good.groupBy("sig_a", "sig_b").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("v").alias("v")))
-    width = (classes.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first() or [1])[0]
-    even = classes.where(F.size("v") == width).select("rep", "v", "times")
-    sample = _matrix(even.orderBy(F.xxhash64("rep"), "rep").limit(max(256, sample_bytes // (8 * width))).select("v").toArrow().column(0).combine_chunks()) if not even.isEmpty() else np.zeros((0, width))
-    leaders = dense_leaders(sample, inner)
-    nothing = base.sparkSession.createDataFrame([], _FOUND)
-    counts, balls = nothing, None
-    if len(leaders):
-        placed = materialise(_in_balls(even, leaders, inner, outer))
-        balls = placed.where("ball IS NOT NULL").groupBy("ball").agg(F.sum("times").alias("total"), F.min("rep").alias("root"))
-        balls = placed.where("ball IS NOT NULL").select("rep", "ball").join(F.broadcast(balls), "ball").select("rep", "root", "total")
-        counts = materialise(_fringe_links(placed, similar, block_rows))
-        even = placed.where("ball IS NULL").select("rep", "v", "times")
-        loose = sample[(sample @ leaders.T).max(axis=1) < inner]
-    else:
+    # a row a width
+    sizes = classes.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").collect()
+    widths = [r["width"] for i, r in enumerate(sizes) if i == 0 or r["count"] > block_rows]
+    parts, dense = [], []
+    for width in widths:
+        even = classes.where(F.size("v") == width).select("rep", "v", "times")
+        sample = _matrix(even.orderBy(F.xxhash64("rep"), "rep").limit(max(256, sample_bytes // (8 * width))).select("v").toArrow().column(0).combine_chunks())
+        leaders = dense_leaders(sample, inner)
         loose = sample
-    if len(loose) > 0 or not even.isEmpty():
-        loose = loose if len(loose) else np.eye(1, width)
-        for n in range(tries):
-            found = graph_links(even, loose, similar, overlap << n, beam << n, block_rows=block_rows)
-            if audit_recall(even, found, similar, audit) >= recall:
-                break
-        counts = counts.unionByName(found)
+        if len(leaders):
+            placed = materialise(_in_balls(even, leaders, inner, outer))
+            of_width = placed.where("ball IS NOT NULL").groupBy("ball").agg(F.sum("times").alias("total"), F.min("rep").alias("root"))
+            dense.append(placed.where("ball IS NOT NULL").select("rep", "ball").join(F.broadcast(of_width), "ball").select("rep", "root", "total"))
+            parts.append(materialise(_fringe_links(placed, similar, block_rows)))
+            even = placed.where("ball IS NULL").select("rep", "v", "times")
+            loose = sample[(sample @ leaders.T).max(axis=1) < inner]
+        if len(loose) > 0 or not even.isEmpty():
+            loose = loose if len(loose) else np.eye(1, width)
+            for n in range(tries):
+                found = graph_links(even, loose, similar, overlap << n, beam << n, block_rows=block_rows)
+                if audit_recall(even, found, similar, audit) >= recall:
+                    break
+            parts.append(found)
+    if len(widths) < len(sizes):
+        parts.append(materialise(exact_links(classes.where(~F.size("v").isin(widths)).select("rep", "v", "times"), similar, block_rows)))
+    counts = functools.reduce(DataFrame.unionByName, parts, base.sparkSession.createDataFrame([], _FOUND))
+    balls = functools.reduce(DataFrame.unionByName, dense) if dense else None
 
     edges = counts.where("a <> b").select("a", "b")
     own = classes.select("sig_a", "sig_b", "rep", "times")

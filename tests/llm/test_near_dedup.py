@@ -134,6 +134,20 @@ def test_embedding_balls_fringes_and_blocks(spark):
     assert got_links(df, block_rows=64) == plain_links(rows)
 
 
+@pytest.mark.parametrize("block_rows", [6000, 64, 20])
+def test_embedding_widths(spark, block_rows):
+    """Near pairs within each of three widths: one searched by the graph, others too or compared in blocks."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for width, n in ((16, 120), (24, 80), (9, 30)):
+        v = rng.normal(size=(n, width))
+        v[n // 2 :] = v[: n - n // 2] + rng.normal(size=(n - n // 2, width)) * rng.uniform(0, 0.4, (n - n // 2, 1))
+        rows += [(len(rows) + i, [float(y) for y in x]) for i, x in enumerate(v)]
+    expected = plain_links(rows)
+    assert min(sum(expected[i][0] for i, x in rows if len(x) == width) for width in (16, 24, 9)) > 10
+    assert got_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block_rows=block_rows) == expected
+
+
 def test_embedding_cases(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, float("nan")]), (5, [1.0, None]), (6, [1e200, 0.0]), (7, [1e-200, 0.0]), (8, [1.0, 0.2]), (9, [0.0, 1.0]), (10, [1.0]), (11, [1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("v", F.lit(1))
