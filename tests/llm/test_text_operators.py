@@ -76,6 +76,18 @@ def test_token_files(spark, tmp_path):
         assert sorted((r.doc_no, r.n_tokens, r.closed) for r in rows) == [(0, 2, True), (1, 0, True), (2, 4, True), (3, 1, False)]
 
 
+def test_a_long_token_file_is_read_by_ranges(spark, tmp_path):
+    """A sparse file of over 2 GB, in which 0 is no end id, and of which tasks read their own ranges."""
+    size = (2 << 30) + (8 << 20)
+    with open(tmp_path / "a.bin", "wb") as f:
+        f.truncate(size)
+        for at in (10, (2 << 30) + 40):
+            f.seek(at)
+            f.write(b"\x07\x00")
+    rows = token_scan.document_counts(token_scan.read_token_files(spark, str(tmp_path), 2, 1 << 24), 7, 2).collect()
+    assert sorted((r.doc_no, r.n_tokens, r.closed) for r in rows) == [(0, 5, True), (1, (1 << 30) + 20 - 6, True), (2, (size >> 1) - (1 << 30) - 21, False)]
+
+
 def test_byte_bpe(spark, sf_dir, odd_documents):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(queries.RANKS, "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
