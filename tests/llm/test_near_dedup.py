@@ -110,6 +110,22 @@ def got_links(df, **options):
     return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_vectors(df, **options).collect()}
 
 
+def test_a_link_whose_sketches_differ_is_found(spark):
+    """A pair at the threshold whose union sketch holds far fewer common values than its sets do."""
+    rng = np.random.default_rng(1)
+    base = " ".join(f"b{i}" for i in range(402))
+    texts = [base + "".join(f" t{x}" for x in rng.integers(0, 1 << 40, 35)) for _ in range(1500)]
+    raw = [t.encode() for t in texts]
+    sets = near_dedup.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), 3)
+    common = np.intersect1d(sets[0], sets[1])
+    most = sorted(range(len(sets)), key=lambda i: np.isin(sets[i][:32], common).sum())[:20]
+    share = {(a, b): np.isin(np.union1d(sets[a], sets[b])[:32], common).mean() for a in most for b in most if a < b}
+    a, b = next(pair for pair, x in share.items() if 0.5 <= x < 0.6)
+    assert len(common) / len(np.union1d(sets[a], sets[b])) >= 0.85
+    docs = spark.createDataFrame([(1, texts[a]), (2, texts[b])], "doc_id bigint, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(docs, words=3, similar=(85, 100)).collect()} == {1}
+
+
 def test_embedding_query(spark, sf_dir):
     v = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op2_embedding_dedup(spark, sf_dir).collect()} == plain_links(v)
