@@ -3,8 +3,8 @@
 Texts are cut where a character that is no white space meets a blank, tab or line end: no match of the splitting
 pattern spans that place or looks back over it, so the pieces' ids joined are the text's ids. Pieces repeat, so a
 bounded cache in each Python worker holds their ids, and the library sees every distinct piece about once. Pieces are
-found again by 64-bit hashes: among the 800,000 that a cache holds, two share one with a probability of 2e-8. Texts
-of any length go through in blocks.
+looked up by hashes, and their bytes are compared with those found. Texts of any length go through in blocks. The cuts
+suit one splitting pattern, so a tokenizer that splits by another is refused.
 
 Defined cases: a null text counts as empty and has no ids; special tokens' strings in a text are ordinary text;
 repeated rows are encoded each by itself; an empty table gives an empty result. Columns of the input other than the
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
-from .common import hash_spans, list_array, slices, string_buffers, text_or_empty
+from .common import hash_spans, list_array, mix64, slices, string_buffers, text_or_empty
 
 #: A text is encoded in blocks of about so many bytes.
 _BLOCK = 1 << 20
@@ -74,8 +75,14 @@ def tokenizer_from_ranks(path: str, pattern: str) -> Tokenizer:
 def load_tokenizer(path: str, pattern: str | None = None) -> Tokenizer:
     """From a tokenizers JSON file, or from a rank file and its splitting pattern."""
     if path.endswith(".tiktoken"):
-        return tokenizer_from_ranks(path, pattern or public_tokenizers.PATTERN)
+        if pattern not in (None, public_tokenizers.PATTERN):
+            raise ValueError(f"texts are not cut for the pattern {pattern}")
+        return tokenizer_from_ranks(path, public_tokenizers.PATTERN)
     tokenizer = Tokenizer.from_file(path)
+    parts = json.loads(tokenizer.to_str())
+    splits = parts["pre_tokenizer"] or {}
+    if parts["normalizer"] or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex"):
+        raise ValueError(f"{path}: texts are cut for a byte-level tokenizer with the usual pattern only")
     tokenizer.encode_special_tokens = True
     return tokenizer
 
@@ -137,8 +144,18 @@ class _Index:
             h, value, at = h[~won], value[~won], (at[~won] + np.uint64(1)) & mask
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a longer copy of it that has room for n elements."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class Encoder:
-    """Ids of whole texts, with a cache of pieces, found by 64-bit hashes, that is bounded in entries and ids."""
+    """Ids of whole texts, with a cache of pieces that is bounded in entries and ids. A piece is looked up by its hash and
+    taken only if its bytes are the cached ones; another piece with the same hash goes on to a next hash."""
 
     def __init__(self, path: str, pattern: str | None = None, entries: int = 800_000, ids: int = 8_000_000):
         self.tokenizer = load_tokenizer(path, pattern)
@@ -148,10 +165,11 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index = _Index()
-        self.pieces = self.used = 0
+        self.pieces = self.used = self.used_raw = 0
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int32)
-        self.length = np.zeros(1 << 14, np.int32)
+        self.raw = np.zeros(1 << 18, np.uint8)
+        self.start, self.length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.raw_start, self.raw_length = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _encode_pieces(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces, and each one's number of ids. Pieces that may stand one after the other, as they begin with a
@@ -177,21 +195,52 @@ class Encoder:
 
     def _learn(self, h: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         ids, counts = self._encode_pieces(raw, starts, ends)
-        n = self.pieces
-        while n + len(h) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.length[n : n + len(h)] = counts
-        self.start[n : n + len(h)] = self.used + np.cumsum(counts) - counts
+        sizes, n, new = ends - starts, self.pieces, len(h)
+        stops = np.cumsum(sizes)
+        flat = raw[np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1])]
+        for name in ("start", "length", "raw_start", "raw_length"):
+            setattr(self, name, _grown(getattr(self, name), n + new))
+        self.ids, self.raw = _grown(self.ids, self.used + len(ids)), _grown(self.raw, self.used_raw + len(flat))
+        self.length[n : n + new], self.raw_length[n : n + new] = counts, sizes
+        self.start[n : n + new] = self.used + np.cumsum(counts) - counts
+        self.raw_start[n : n + new] = self.used_raw + stops - sizes
         self.ids[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.pieces += len(h)
+        self.raw[self.used_raw : self.used_raw + len(flat)] = flat
+        self.used, self.used_raw, self.pieces = self.used + len(ids), self.used_raw + len(flat), n + new
         self.index.add(h, n)
 
+    def _same(self, at: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each piece has the bytes of the cached piece with this number."""
+        sizes = ends - starts
+        same = self.raw_length[at] == sizes
+        some = np.flatnonzero(same)
+        sizes, stops = sizes[some], np.cumsum(sizes[some])
+        if len(some):
+            step = np.arange(stops[-1]) - np.repeat(stops - sizes, sizes)
+            differs = self.raw[np.repeat(self.raw_start[at[some]], sizes) + step] != raw[np.repeat(starts[some], sizes) + step]
+            same[np.repeat(some, sizes)[differs]] = False
+        return same
+
+    def _numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The cached number of each piece, after the missing ones are learned."""
+        out = np.zeros(len(starts), np.int32)
+        left, h = np.arange(len(starts)), hash_spans(raw, starts, ends)
+        while len(left):
+            h = np.maximum(h, np.uint64(1))
+            at = self.index.find(h)
+            if (missing := np.flatnonzero(at < 0)).size:
+                new, first = np.unique(h[missing], return_index=True)
+                some = left[missing[first]]
+                self._learn(new, raw, starts[some], ends[some])
+                at[missing] = self.index.find(h[missing])
+            out[left] = at
+            other = ~self._same(at, raw, starts[left], ends[left])
+            left, h = left[other], mix64(h[other])
+        return out
+
     def _encode_block(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts and each one's number of ids; off[0] is 0."""
-        if self.pieces > self.entries or self.used > self.most_ids:
+        if self.pieces > self.entries or max(self.used, self.used_raw // 8) > self.most_ids:
             self._forget()
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
@@ -200,13 +249,7 @@ class Encoder:
         cut[off] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(raw))
-        h = np.maximum(hash_spans(raw, starts, ends), np.uint64(1))
-        at = self.index.find(h)
-        if (missing := np.flatnonzero(at < 0)).size:
-            new, first = np.unique(h[missing], return_index=True)
-            some = missing[first]
-            self._learn(new, raw, starts[some], ends[some])
-            at[missing] = self.index.find(h[missing])
+        at = self._numbers(raw, starts, ends)
         lengths = self.length[at].astype(np.int64)
         stops = np.cumsum(lengths)
         ids = self.ids[np.repeat(self.start[at] - stops + lengths, lengths) + np.arange(stops[-1])]

@@ -52,21 +52,22 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_POWERS: dict[str, np.ndarray] = {}
+#: Moduli and bases of the two polynomials of `hash_spans`, and how many bytes go by in one block.
+_POLYNOMIALS = ((2147483647, 1540483477), (2147483629, 1779033703))
+_WINDOW = 1 << 20
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                p = np.full(size, np.uint64(base))
-                p[0] = 1
-                _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+def _powers(prime: int, base: int) -> np.ndarray:
+    """base**i modulo the prime for i up to _WINDOW."""
+    if prime not in _POWERS:
+        p, n = np.ones(_WINDOW + 1, np.uint64), 1
+        while n < len(p):
+            m = min(n, len(p) - n)
+            p[n : n + m] = p[:m] * np.uint64(pow(base, n, prime)) % np.uint64(prime)
+            n += m
+        _POWERS[prime] = p
+    return _POWERS[prime]
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +108,39 @@ def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(off, starts, "right") - 1
 
 
+def _polynomial(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, prime: int, base: int) -> np.ndarray:
+    """Sum of (byte + 1) * base**(place in the span + _WINDOW) modulo the prime, for spans with rising starts."""
+    up, p = _powers(prime, base), np.uint64(prime)
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        at = int(starts[first])
+        last = int(np.searchsorted(starts, at + _WINDOW, "left"))
+        begin, stop = starts[first:last] - at, ends[first:last] - at
+        upto, carry, head = np.zeros(last - first, np.uint64), np.uint64(0), None
+        for k in range(0, max(int(stop.max()), 1), _WINDOW):  # longer than one block only with a span that long
+            some = raw[at + k : at + min(k + _WINDOW, int(stop.max()))]
+            weight = up[: len(some)] if not k else up[: len(some)] * np.uint64(pow(base, k, prime)) % p
+            sums = np.empty(len(some) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum((some.astype(np.uint64) + np.uint64(1)) * weight, out=sums[1:])
+            sums += carry
+            if head is None:
+                head = sums[np.minimum(begin, len(some))] % p
+            here = (stop >= k) & (stop <= k + len(some))
+            upto[here] = sums[stop[here] - k] % p
+            carry = sums[-1] % p
+        out[first:last] = (upto + p - head) % p * up[_WINDOW - begin] % p
+        first = last
+    return out
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, by prefix sums of a polynomial modulo 2**64."""
+    """64-bit hashes of byte spans with rising starts: two polynomials modulo primes near 2**31, so 62 bits tell spans
+    apart. The moduli are primes, as modulo 2**64 long regular strings (Thue-Morse) collide for every base."""
     with np.errstate(over="ignore"):
-        up, down = _powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-        return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        a, b = (_polynomial(raw, starts, ends, *x) for x in _POLYNOMIALS)
+        return mix64((a << np.uint64(31)) + b + ((ends - starts).astype(np.uint64) << np.uint64(62)))
 
 
 def hashed_words(raw: np.ndarray, off: np.ndarray, lower: bool = True, most: int = 8 << 20) -> tuple[np.ndarray, np.ndarray]:
