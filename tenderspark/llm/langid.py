@@ -2,13 +2,15 @@
 
 Training counts hashed 1- to 3-grams of the lower-cased whole texts in each language. Every task adds up its own counts
 per language and bucket before they are shuffled, so a language with a third of all rows is as cheap as others. The
-log-probability matrix, languages x buckets, is of a bounded size: buckets are halved until it fits `most_bytes`. It is
-broadcast; texts are then scored by batches in numpy, summing the rows of the matrix that their n-grams select.
-
-Defined cases: texts that are null or have no letter get `und` and score 0; nothing is learned from rows without a
-language; if no language can be learned at all, every text gets `und`; ties go to the language first in alphabetical
-order; repeated rows count each; a text of any length goes by blocks and is used whole; an empty table gives an empty
-result. Only the named columns are read, so other columns' names cannot clash.
+log-probability matrix, languages x buckets, is of a bounded size: buckets are halved until it fits `most_bytes`, and the
+driver gathers its counts, about four times as much. It is broadcast; texts are then scored by batches in numpy, summing
+the rows of the matrix that their n-grams select. N-grams lie within one text, so a text's scores depend on nothing but
+itself, however rows are dealt to tasks and batches; blocks of a long text overlap, so none is left out.
+
+Defined cases: texts that are null or have no letter (`str.isalpha`) get `und` and score 0; nothing is learned from rows
+without a language; if no language can be learned at all, every text gets `und`; ties go to the language first in
+alphabetical order; repeated rows count each; a text of any length is lower-cased whole, goes by blocks and is used
+whole; an empty table gives an empty result. Only the named columns are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,10 +26,15 @@ from pyspark.sql import functions as F
 from .common import mix64
 
 UNKNOWN = "und"
+#: Holds all letters, and a few number signs that `has_letter` leaves out.
 _LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 1 << 18
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def ngram_buckets(points: np.ndarray, orders: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Hash buckets of the character n-grams that begin at each place, for n from 1 to `orders`."""
     with np.errstate(over="ignore"):
@@ -40,42 +47,43 @@ def ngram_buckets(points: np.ndarray, orders: int, buckets: int) -> Iterator[tup
             yield n, (mix64(value + np.uint64(n)) & np.uint64(buckets - 1)).astype(np.int32)
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Code points of lower-cased texts joined, with each text's end; a longer text comes in several blocks that overlap
-    by nothing, so n-grams at their seams are left out."""
+def text_ngrams(texts: list[str], orders: int, buckets: int, block: int = _BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all n-grams of the lower-cased texts, and the text's number of each, which rises; by blocks of texts,
+    or of one longer text. No n-gram reaches from one text or block into the next."""
     at = 0
     while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to]) <= _BLOCK):
+        to, lowered, size = at, [], 0
+        while to < len(texts) and (to == at or size + len(texts[to]) <= block):
+            lowered.append(texts[to].lower())
             size += len(texts[to])
             to += 1
-        for k in range(0, max(size, 1), _BLOCK):
-            some = [t.lower() for t in texts[at:to]] if size <= _BLOCK else [texts[at][k : k + _BLOCK].lower()]
-            # a space before each text keeps n-grams from crossing texts unseen
-            points = np.frombuffer(" ".join([*some, ""]).encode("utf-32-le", "replace"), np.uint32)
-            yield at, to, points, np.cumsum([len(t) + 1 for t in some])
+        points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.array([len(t) for t in lowered])
+        for k in range(0, len(points), block if to == at + 1 else max(len(points), 1)):
+            # a long text's block reads on by orders - 1 characters, for the n-grams that begin in it
+            own = min(block, len(points) - k) if to == at + 1 else len(points)
+            some = points[k : k + own + orders - 1]
+            number = np.repeat(np.arange(at, to), lengths) if to > at + 1 else np.full(len(some), at)
+            stop = np.repeat(np.cumsum(lengths), lengths) if to > at + 1 else np.full(len(some), len(some))
+            for n, found in ngram_buckets(some, orders, buckets):
+                begin = np.arange(min(len(found), own))
+                inside = begin + n <= stop[begin]
+                yield found[begin][inside], number[begin][inside]
         at = to
 
 
-def _sums(rows: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
-    total = np.zeros((len(rows) + 1, width))
-    np.cumsum(rows, axis=0, out=total[1:])
-    stops = np.minimum(ends, len(rows))
-    return total[stops] - total[np.minimum(np.concatenate([[0], ends[:-1]]), len(rows))]
-
-
 class Model:
     """Languages in order, and the matrix of log-probabilities, buckets x languages."""
 
     def __init__(self, languages: list[str], matrix: np.ndarray, prior: np.ndarray, orders: int):
         self.languages, self.matrix, self.prior, self.orders = languages, matrix, prior, orders
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: list[str], block: int = _BLOCK) -> np.ndarray:
         out = np.tile(self.prior, (len(texts), 1))
-        width = len(self.languages)
-        for a, b, points, ends in _blocks(texts):
-            for _, at in ngram_buckets(points, self.orders, len(self.matrix)):
-                out[a:b] += _sums(self.matrix[at], ends, width)
+        for found, number in text_ngrams(texts, self.orders, len(self.matrix), block):
+            if len(found):
+                starts = np.flatnonzero(np.diff(number, prepend=-1))
+                out[number[starts]] += np.add.reduceat(self.matrix[found], starts, axis=0)
         return out
 
 
@@ -104,35 +112,34 @@ def count_ngrams(df: DataFrame, lang: Column, text: Column, orders: int, buckets
                     yield from flush()
                 counts = held.setdefault(name, np.zeros(buckets, np.int64))
                 rows[name] = rows.get(name, 0) + len(some)
-                for _, _, points, _ in _blocks(some):
-                    for _, at in ngram_buckets(points, orders, buckets):
-                        counts += np.bincount(at, minlength=buckets)
+                for found, _ in text_ngrams(some, orders, buckets):
+                    counts += np.bincount(found, minlength=buckets)
         yield from flush()
 
     narrow = df.select(lang.cast("string").alias("lang"), text.cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     return narrow.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(df: DataFrame, lang: Column, text: Column, orders: int = 3, buckets: int = 1 << 15, smoothing: float = 0.5, most_bytes: int = 64 << 20) -> Model | None:
+def train(df: DataFrame, lang: Column, text: Column, orders: int = 3, buckets: int = 1 << 15, smoothing: float = 0.5, most_bytes: int = 32 << 20) -> Model | None:
     """Fit on all rows given; the driver gets languages x buckets counts, at most `most_bytes`, and no texts."""
     languages = sorted(r[0] for r in df.select(lang.cast("string").alias("lang")).where("lang IS NOT NULL").distinct().limit(most_bytes // (8 * 64) + 1).collect())
     while buckets > 64 and buckets * len(languages) * 8 > most_bytes:
         buckets //= 2
     if buckets * len(languages) * 8 > most_bytes:
         raise ValueError(f"more languages than {most_bytes} bytes hold")
-    counted = count_ngrams(df, lang, text, orders, buckets).toPandas()
-    languages = [x for x in languages if x in set(counted["lang"])]
     if not languages:
         return None
-    number = {x: i for i, x in enumerate(languages)}
-    column = counted["lang"].map(number).to_numpy(np.int64)
-    bucket, n = counted["bucket"].to_numpy(np.int64), counted["n"].to_numpy(np.float64)
-    matrix = np.full((buckets, len(languages)), smoothing)
+    number = df.sparkSession.createDataFrame(list(enumerate(languages)), "number int, lang string")
+    counted = count_ngrams(df, lang, text, orders, buckets).join(F.broadcast(number), "lang").select("number", "bucket", "n").toArrow()
+    column, bucket, n = (counted.column(i).to_numpy() for i in range(3))
+    matrix, prior = np.full((buckets, len(languages)), smoothing), np.zeros(len(languages))
     texts = bucket < 0
     matrix[bucket[~texts], column[~texts]] += n[~texts]
-    prior = np.zeros(len(languages))
     prior[column[texts]] = n[texts]
-    return Model(languages, np.log(matrix / matrix.sum(axis=0)), np.log(prior / prior.sum()), orders)
+    some = np.flatnonzero(prior)  # languages with no text but null have nothing to be learned from
+    if not len(some):
+        return None
+    return Model([languages[i] for i in some], np.log(matrix / matrix.sum(axis=0))[:, some], np.log(prior[some] / prior.sum()), orders)
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +150,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         m = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            known = np.array([m is not None and _LETTER.search(t) is not None for t in texts], bool)
+            known = np.array([m is not None and has_letter(t) for t in texts], bool)
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if known.any():
                 s = m.scores([t for t, k in zip(texts, known) if k])
