@@ -1,26 +1,39 @@
 """Operator 10: quality rules, with DataFrame functions only.
 
-Plain rules first: fewer than 10 words, or over 20 % of the words in repeated 5-word windows, fail. Of the rest, each
-(language, source) group gets a minimum-covariance-determinant estimate over transformed statistics: starting from
-medians and median deviations, concentration steps take the mean and covariance of the `share` of the group's rows that
-lie nearest, and the rows whose Mahalanobis distance then exceeds the cutoff are rejected. Aggregates are partial sums
-and percentile sketches, so a group that holds a third of all rows costs no more than others; the estimates, one row a
-group, are joined back. Every group, however small, is judged by its own centre. Its covariance is shrunk towards that
-within the groups of its language, and this towards that within all groups, as if PRIOR_ROWS rows of the wider one had been
-seen: a group of few rows has the wider spread around its own centre, a large one its own. A single row is its own centre
-and stays.
-
-Defined cases: a null text has no words and fails; null languages and sources are groups of their own; repeated rows
-count each; a group without a row that passes the plain rules has no estimate, and its distances are null; statistics that are constant in a group get the floor as their spread, so equal rows are never outliers; an
-empty table gives an empty result; other columns pass through `judge` untouched, its own carry the prefix ``_q_``.
-Windows are compared by 64-bit hashes of their words' hashes: two different windows of a text of 20,000 words meet with a
-probability of about 1e-11.
+Plain rules first: fewer than 10 words, or over 20 % of the words in repeated 5-word windows, fail. The rest is judged
+by minimum-covariance-determinant estimates over five transformed statistics, one for each (language, source) group:
+
+1. Medians and median deviations, from counts on a fine grid, give three starts: the deviations alone, the correlations
+   of the statistics' tanh scores, and those of their spatial signs.
+2. Concentration steps: of a group's rows, the (n + p + 1) / 2 nearest by Mahalanobis distance give the next centre and
+   covariance. After two steps the start of least determinant is kept for each group and goes on until no group's
+   determinant falls any more (at most `steps`).
+3. Reweighting: the rows within the 97.5 % quantile of the chi-squared distribution give the centre and covariance.
+4. Rows whose squared distance then exceeds the cutoff are rejected.
+
+A step is one aggregation: rows are counted and summed by group and fine bin of distance (2 % wide), and the nearest bins
+that hold enough rows are added up. So no group's rows meet anywhere, only sums do. Estimates, a few rows a group, are
+broadcast up to BROADCAST_GROUPS groups and otherwise joined under salts, so a group with a third of all rows is dealt
+to many tasks.
+
+Every group, however small, is judged by its own centre. A floor is added to each statistic's variance. The last
+covariance is shrunk towards that within the groups of its language, and this towards that within all groups, as if
+PRIOR_ROWS rows of the wider one had been seen, which is defined for every size: a group of few rows has the wider
+spread around its own centre, a large one its own. A single row is its own centre and stays.
+
+Defined cases: a null text has no words and fails, so does an empty one; a null doc_id stays null; null languages and
+sources are groups of their own; repeated rows count each; a group without a row that passes the plain rules has no
+estimate, and its distances are null; statistics that are constant in a group get the floor as their spread, so equal
+rows are never outliers; very long texts are used whole; an empty table gives an empty result; `keep_good` gives back the
+input's columns, whatever their names. Windows are compared by 64-bit hashes of their words' hashes: two different
+windows of a text of 20,000 words meet with a probability of about 1e-11.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 
@@ -34,8 +47,13 @@ PRIOR_WORDS, PRIOR_LENGTH = 20, 5
 PRIOR_ROWS = 20
 #: Squared distance beyond which a row is an outlier.
 CUTOFF = 32.0
-#: Medians of the chi-squared distribution by degrees of freedom, fixed values.
+#: Medians and 97.5 % quantiles of the chi-squared distribution by degrees of freedom, fixed values.
 CHI2_MEDIAN = {1: 0.455, 2: 1.386, 3: 2.366, 4: 3.357, 5: 4.351}
+CHI2_975 = {1: 5.024, 2: 7.378, 3: 9.348, 4: 11.143, 5: 12.833}
+#: Groups up to which estimates are broadcast, about 1 kB each, and the salts beyond.
+BROADCAST_GROUPS, SALTS = 20_000, 16
+#: Cells of a statistic's grid for medians, per unit; bins of the logarithm of distances, per doubling.
+_CELLS, _BINS = 2048, 32
 
 
 def _let(value: Column, body) -> Column:
@@ -94,115 +112,194 @@ def vector(prefix: str = "") -> dict[str, Column]:
     }
 
 
-def _distance(names: list[str], mean: dict[str, Column], factor: dict[tuple[int, int], Column]) -> tuple[dict[str, Column], Column]:
-    """Forward substitution through a Cholesky factor: the columns to add in turn, and the squared distance."""
-    steps = {}
-    for i, name in enumerate(names):
-        rest = F.col(f"_q_x_{name}") - mean[name]
-        for j in range(i):
-            rest = rest - factor[i, j] * F.col(f"_q_y_{names[j]}")
-        steps[f"_q_y_{name}"] = rest / factor[i, i]
-    return steps, sum((F.col(f"_q_y_{n}") * F.col(f"_q_y_{n}") for n in names[1:]), F.col(f"_q_y_{names[0]}") * F.col(f"_q_y_{names[0]}"))
-
-
-def with_distance(df: DataFrame, estimates: DataFrame, names: list[str]) -> DataFrame:
-    """Join each row's estimate, one row a group, and add the squared distance."""
-    factor = {(i, j): F.col(f"_q_l_{i}_{j}") for i in range(len(names)) for j in range(i + 1)}
-    out = df.join(estimates, "_q_group", "left")
-    steps, distance = _distance(names, {n: F.col(f"_q_m_{n}") for n in names}, factor)
-    for name, column in steps.items():
-        out = out.withColumn(name, column)
-    return out.withColumn("_q_d", distance / F.coalesce(F.col("_q_scale"), F.lit(1.0))).drop(*steps, *[f"_q_m_{n}" for n in names], *[f"_q_l_{i}_{j}" for i, j in factor], "_q_scale")
-
-
-def _shrunk(moments: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """Covariances of each group, with those within its language's groups and within all groups mixed in by counts."""
-    n = F.col("_q_n")
-    named = moments.withColumn("_q_lang", F.to_json(F.struct(F.get_json_object("_q_group", "$.lang"))))
-    wide = named.groupBy("_q_lang").agg(F.sum(n).alias("_q_nl"), *[F.sum(n * F.col(f"_q_c_{i}_{j}")).alias(f"_q_cl_{i}_{j}") for i, j in pairs])
-    whole = wide.agg(F.sum("_q_nl").alias("_q_na"), *[F.sum(f"_q_cl_{i}_{j}").alias(f"_q_ca_{i}_{j}") for i, j in pairs])
-    out = named.join(wide, "_q_lang").crossJoin(F.broadcast(whole))
-    for i, j in pairs:
-        of_all = F.col(f"_q_ca_{i}_{j}") / F.col("_q_na")
-        of_lang = (F.col(f"_q_cl_{i}_{j}") + PRIOR_ROWS * of_all) / (F.col("_q_nl") + PRIOR_ROWS)
-        out = out.withColumn(f"_q_c_{i}_{j}", (n * F.col(f"_q_c_{i}_{j}") + PRIOR_ROWS * of_lang) / (n + PRIOR_ROWS))
-    return out.select(*moments.columns)
-
-
-def _moments(df: DataFrame, names: list[str], floors: dict[str, float]) -> DataFrame:
-    """Mean and Cholesky factor of the covariance, for each group; floors keep the covariance positive definite."""
-    p = len(names)
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    agg = [F.avg(f"_q_x_{n}").alias(f"_q_m_{n}") for n in names] + [F.covar_pop(f"_q_x_{names[i]}", f"_q_x_{names[j]}").alias(f"_q_c_{i}_{j}") for i, j in pairs]
-    # a checkpoint, as the rows of groups are read three times
-    out = _shrunk(materialise(df.groupBy("_q_group").agg(F.count("*").alias("_q_n"), *agg)), pairs)
-    for i in range(p):
-        for j in range(i + 1):
-            s = F.col(f"_q_c_{i}_{j}") + (floors[names[i]] ** 2 if i == j else 0.0)
-            for k in range(j):
-                s = s - F.col(f"_q_l_{i}_{k}") * F.col(f"_q_l_{j}_{k}")
-            out = out.withColumn(f"_q_l_{i}_{j}", F.sqrt(F.greatest(s, F.lit(floors[names[i]] ** 2 / 4))) if i == j else s / F.col(f"_q_l_{j}_{j}"))
-    return out.drop("_q_n", *[f"_q_c_{i}_{j}" for i, j in pairs])
-
-
-def estimate(rows: DataFrame, names: list[str], floors: dict[str, float], share: float = 0.75, steps: int = 3) -> DataFrame:
-    """MCD estimates of rows with _q_group and _q_x_*: centre, Cholesky factor and scale, for each group."""
-    p = len(names)
-    medians = rows.groupBy("_q_group").agg(*[F.percentile_approx(f"_q_x_{n}", 0.5, 1000).alias(f"_q_m_{n}") for n in names])
-    centred = rows.join(medians, "_q_group")
-    spread = centred.groupBy("_q_group").agg(
-        *[F.first(f"_q_m_{n}").alias(f"_q_m_{n}") for n in names],
-        *[F.percentile_approx(F.abs(F.col(f"_q_x_{n}") - F.col(f"_q_m_{n}")), 0.5, 1000).alias(f"_q_s_{n}") for n in names],
-    )
-    found = spread.select(
-        "_q_group",
-        *[f"_q_m_{n}" for n in names],
-        *[(F.sqrt(F.pow(1.4826 * F.col(f"_q_s_{names[i]}"), 2) + floors[names[i]] ** 2) if i == j else F.lit(0.0)).alias(f"_q_l_{i}_{j}") for i in range(p) for j in range(i + 1)],
-        F.lit(1.0).alias("_q_scale"),
-    )
-    for _ in range(steps):
-        near = with_distance(rows, found, names)
-        bound = near.groupBy("_q_group").agg(F.percentile_approx("_q_d", share, 1000).alias("_q_bound"))
-        found = materialise(_moments(near.join(bound, "_q_group").where("_q_d <= _q_bound"), names, floors).withColumn("_q_scale", F.lit(1.0)))
-    middle = with_distance(rows, found, names).groupBy("_q_group").agg(F.percentile_approx("_q_d", 0.5, 1000).alias("_q_middle"))
-    scaled = found.drop("_q_scale").join(middle, "_q_group").withColumn("_q_scale", F.greatest(F.lit(1.0), F.col("_q_middle") / CHI2_MEDIAN[p])).drop("_q_middle")
-    return materialise(scaled)
+class Estimator:
+    """Estimates over rows with a group (_q_group) and the named statistics (_q_x_*); floors: their least deviations."""
+
+    def __init__(self, floors: dict[str, float], broadcast_groups: int = BROADCAST_GROUPS, salts: int = SALTS):
+        self.names, self.floors, self.p = list(floors), list(floors.values()), len(floors)
+        self.pairs = [(i, j) for i in range(self.p) for j in range(i + 1)]
+        self.broadcast_groups, self.salts, self.groups = broadcast_groups, salts, 0
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"_q_m_{i}" for i in range(self.p)] + [f"_q_l_{i}_{j}" for i, j in self.pairs]
+
+    def _joined(self, rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+        if self.groups <= self.broadcast_groups:
+            return rows.join(F.broadcast(estimates), "_q_group", how)
+        salted = estimates.withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
+        return rows.withColumn("_q_salt", (F.monotonically_increasing_id() % self.salts).cast("int")).join(salted, ["_q_group", "_q_salt"], how).drop("_q_salt")
+
+    def with_distance(self, rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+        """Add the squared distance _q_d from the estimate of each row's group, and _q_u_*, the statistics less its
+        centre: forward substitution through the Cholesky factor, a column a statistic."""
+        joined, p = self._joined(rows, estimates, how), range(self.p)
+        steps = [f"_q_x_{n} - _q_m_{i} AS _q_u_{i}" for i, n in enumerate(self.names)]
+        steps += [f"(_q_u_{i}{''.join(f' - _q_l_{i}_{j} * _q_y_{j}' for j in range(i))}) / _q_l_{i}_{i} AS _q_y_{i}" for i in p]
+        return joined.selectExpr("*", *steps, f"{' + '.join(f'_q_y_{i} * _q_y_{i}' for i in p)} AS _q_d").drop(*[f"_q_y_{i}" for i in p])
+
+    def _factored(self, df: DataFrame) -> DataFrame:
+        """The Cholesky factor of the covariance _q_c_* with the floors added, and the logarithm of its determinant."""
+        steps = []
+        for i, j in self.pairs:
+            rest = f"_q_c_{i}_{j}{''.join(f' - _q_l_{i}_{k} * _q_l_{j}_{k}' for k in range(j))}"
+            floor = self.floors[i] ** 2
+            steps.append(f"{f'sqrt(greatest({rest} + {floor!r}D, {floor / 4!r}D))' if i == j else f'({rest}) / _q_l_{j}_{j}'} AS _q_l_{i}_{j}")
+        det = " + ".join(f"2 * ln(_q_l_{i}_{i})" for i in range(self.p))
+        return df.selectExpr("*", *steps, f"{det} AS _q_det").drop(*[f"_q_c_{i}_{j}" for i, j in self.pairs])
+
+    def medians(self, rows: DataFrame) -> DataFrame:
+        """(_q_group, _q_n, _q_m_*, _q_s_*): medians and median deviations on the grid."""
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.floor(F.col(f"_q_x_{n}") * _CELLS).alias("cell")) for i, n in enumerate(self.names)]))
+        grid = rows.select("_q_group", cells.alias("_q_cell")).groupBy("_q_group", "_q_cell.i", "_q_cell.cell").agg(F.count(F.lit(1)).alias("n"))
+
+        def middle(counts: DataFrame, cell: str) -> DataFrame:
+            """Add the least cell at which half of a statistic's rows are reached; a window over cells, not rows."""
+            by = Window.partitionBy("_q_group", "i")
+            upto = counts.withColumns({"upto": F.sum("n").over(by.orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(by)})
+            return upto.withColumn(f"mid_{cell}", F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col(cell))).over(by))
+
+        found = middle(grid, "cell").select("_q_group", "i", "n", "mid_cell", F.abs(F.col("cell") - F.col("mid_cell")).alias("off"))
+        found = middle(found.groupBy("_q_group", "i", "mid_cell", "off").agg(F.sum("n").alias("n")), "off")
+        agg = [F.max(F.when(F.col("i") == 0, F.col("all"))).alias("_q_n")]
+        for i in range(self.p):
+            agg.append(F.max(F.when(F.col("i") == i, (F.col("mid_cell") + 0.5) / _CELLS)).alias(f"_q_m_{i}"))
+            agg.append(F.max(F.when(F.col("i") == i, F.col("mid_off") / _CELLS)).alias(f"_q_s_{i}"))
+        return found.groupBy("_q_group").agg(*agg)
+
+    def starts(self, rows: DataFrame, medians: DataFrame) -> DataFrame:
+        """Three first estimates for each group, (_q_group, _q_start, _q_n, centre, factor)."""
+        spread = [F.sqrt(F.pow(1.4826 * F.col(f"_q_s_{i}"), 2) + self.floors[i] ** 2) for i in range(self.p)]
+        scaled = medians.select("_q_group", "_q_n", *[f"_q_m_{i}" for i in range(self.p)], *[x.alias(f"_q_s_{i}") for i, x in enumerate(spread)])
+        z = self._joined(rows, scaled).withColumns({f"_q_z_{i}": (F.col(f"_q_x_{n}") - F.col(f"_q_m_{i}")) / F.col(f"_q_s_{i}") for i, n in enumerate(self.names)})
+        norm = F.sqrt(sum((F.col(f"_q_z_{i}") * F.col(f"_q_z_{i}") for i in range(self.p)), F.lit(1e-12)))
+        z = z.withColumn("_q_norm", norm).withColumns({f"_q_t_{i}": F.tanh(F.col(f"_q_z_{i}")) for i in range(self.p)}).withColumns({f"_q_g_{i}": F.col(f"_q_z_{i}") / F.col("_q_norm") for i in range(self.p)})
+        kinds = ("t", "g")
+        sums = [F.avg(F.col(f"_q_{k}_{i}") * F.col(f"_q_{k}_{j}")).alias(f"_q_{k}_{i}_{j}") for k in kinds for i, j in self.pairs]
+        same = [F.first(c).alias(c) for c in ("_q_n", *[f"_q_m_{i}" for i in range(self.p)], *[f"_q_s_{i}" for i in range(self.p)])]
+        found = z.groupBy("_q_group").agg(*same, *sums)
+
+        def covariances(number: int, kind: str | None) -> Column:
+            """Deviations with correlations of one kind; a little is added so that constants have none."""
+            of = {}
+            for i, j in self.pairs:
+                both = F.col(f"_q_s_{i}") * F.col(f"_q_s_{j}")
+                own = F.lit(float(i == j)) if kind is None or i == j else F.col(f"_q_{kind}_{i}_{j}") / F.sqrt((F.col(f"_q_{kind}_{i}_{i}") + 1e-3) * (F.col(f"_q_{kind}_{j}_{j}") + 1e-3))
+                of[i, j] = both * own - (self.floors[i] ** 2 if i == j else 0.0)  # the floor comes back in the factor
+            return F.struct(F.lit(number).alias("start"), *[c.alias(f"c_{i}_{j}") for (i, j), c in of.items()])
+
+        tried = found.withColumn("_q_e", F.explode(F.array(covariances(0, None), covariances(1, "t"), covariances(2, "g"))))
+        flat = tried.select("_q_group", F.col("_q_e.start").alias("_q_start"), "_q_n", *[f"_q_m_{i}" for i in range(self.p)], *[F.col(f"_q_e.c_{i}_{j}").alias(f"_q_c_{i}_{j}") for i, j in self.pairs])
+        return self._factored(flat)
+
+    def binned(self, rows: DataFrame, estimates: DataFrame) -> DataFrame:
+        """Counts and sums of the rows by group, start and bin of distance, with the group's estimate and, in _q_before,
+        its number of rows in nearer bins."""
+        keys = ["_q_group", "_q_start"]
+        near = self.with_distance(rows, estimates).withColumn("_q_bin", F.expr(f"cast(floor(log2(greatest(_q_d, 1e-9D)) * {_BINS}) AS int)"))
+        sums = [f"sum(_q_u_{i}) AS _q_su_{i}" for i in range(self.p)] + [f"sum(_q_u_{i} * _q_u_{j}) AS _q_sc_{i}_{j}" for i, j in self.pairs]
+        same = [f"first({c}) AS {c}" for c in ("_q_n", "_q_det", *[f"_q_m_{i}" for i in range(self.p)])]
+        bins = near.groupBy(*keys, "_q_bin").agg(*map(F.expr, ["count(1) AS _q_k", *sums, *same]))
+        before = Window.partitionBy(*keys).orderBy("_q_bin").rowsBetween(Window.unboundedPreceding, -1)
+        return bins.withColumn("_q_before", F.coalesce(F.sum("_q_k").over(before), F.lit(0)))
+
+    def _moments(self, bins: DataFrame) -> DataFrame:
+        """Centre and covariance of the rows in these bins, with their number in _q_k and the former determinant."""
+        p, keys = range(self.p), ["_q_group", "_q_start"]
+        sums = [f"sum({c}) AS {c}" for c in ["_q_k", *[f"_q_su_{i}" for i in p], *[f"_q_sc_{i}_{j}" for i, j in self.pairs]]]
+        same = ["first(_q_n) AS _q_n", "first(_q_det) AS _q_last", *[f"first(_q_m_{i}) AS _q_m_{i}" for i in p]]
+        added = bins.groupBy(*keys).agg(*map(F.expr, [*sums, *same]))
+        means = [f"_q_m_{i} + _q_su_{i} / _q_k AS _q_m_{i}" for i in p]
+        return added.selectExpr(*keys, "_q_n", "_q_k", "_q_last", *means, *[f"_q_sc_{i}_{j} / _q_k - _q_su_{i} / _q_k * (_q_su_{j} / _q_k) AS _q_c_{i}_{j}" for i, j in self.pairs])
+
+    def concentrated(self, rows: DataFrame, estimates: DataFrame) -> DataFrame:
+        """One concentration step of every estimate."""
+        half = F.floor((F.col("_q_n") + self.p + 1) / 2)
+        return self._factored(self._moments(self.binned(rows, estimates).where(F.col("_q_before") < half))).drop("_q_k")
+
+    def _shrunk(self, moments: DataFrame) -> DataFrame:
+        """Covariances with those within the language's groups and within all groups mixed in by counts."""
+        n = F.col("_q_k")
+        named = moments.withColumns({"_q_lang": F.to_json(F.struct(F.get_json_object("_q_group", "$.lang"))), "_q_one": F.lit(1)})
+        wide = named.groupBy("_q_lang").agg(F.sum(n).alias("_q_nl"), *[F.sum(n * F.col(f"_q_c_{i}_{j}")).alias(f"_q_cl_{i}_{j}") for i, j in self.pairs])
+        whole = wide.groupBy(F.lit(1).alias("_q_one")).agg(F.sum("_q_nl").alias("_q_na"), *[F.sum(f"_q_cl_{i}_{j}").alias(f"_q_ca_{i}_{j}") for i, j in self.pairs])  # one row
+        out = named.join(wide, "_q_lang").join(F.broadcast(whole), "_q_one")
+        mixed = []
+        for i, j in self.pairs:
+            of_lang = f"(_q_cl_{i}_{j} + {PRIOR_ROWS} * (_q_ca_{i}_{j} / _q_na)) / (_q_nl + {PRIOR_ROWS})"
+            mixed.append(f"(_q_k * _q_c_{i}_{j} + {PRIOR_ROWS} * ({of_lang})) / (_q_k + {PRIOR_ROWS}) AS _q_c_{i}_{j}")
+        return out.selectExpr(*[c for c in moments.columns if not c.startswith("_q_c_")], *mixed)
+
+    def reweighted(self, rows: DataFrame, estimates: DataFrame) -> DataFrame:
+        """The estimates from all rows within the 97.5 % quantile, distances being scaled by their median."""
+        bins = self.binned(rows, estimates)
+        by = Window.partitionBy("_q_group", "_q_start")
+        middle = F.max(F.when(F.col("_q_before") * 2 < F.col("_q_n"), F.col("_q_bin"))).over(by)
+        reach = F.log2(F.lit(CHI2_975[self.p] / CHI2_MEDIAN[self.p])) * _BINS
+        # the quantile itself where the median is less than usual
+        least = F.log2(F.lit(CHI2_975[self.p])) * _BINS
+        near = bins.withColumn("_q_reach", F.greatest(middle + reach, least)).where(F.col("_q_bin") <= F.col("_q_reach"))
+        return self._factored(self._shrunk(materialise(self._moments(near))))
+
+    def scaled(self, rows: DataFrame, estimates: DataFrame) -> DataFrame:
+        """The estimates with the factor widened where the median distance is above that of the normal distribution."""
+        middle = F.max(F.when(F.col("_q_before") * 2 < F.col("_q_n"), F.col("_q_bin")))
+        wide = self.binned(rows, estimates).groupBy("_q_group").agg(middle.alias("_q_bin"))
+        by = F.sqrt(F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.col("_q_bin") / _BINS) / CHI2_MEDIAN[self.p]))
+        out = estimates.join(wide, "_q_group").withColumn("_q_by", by)
+        return out.select("_q_group", *[f"_q_m_{i}" for i in range(self.p)], *[(F.col(f"_q_l_{i}_{j}") * F.col("_q_by")).alias(f"_q_l_{i}_{j}") for i, j in self.pairs])
+
+    def fit(self, rows: DataFrame, steps: int = 10) -> DataFrame:
+        """(_q_group, centre, factor) by minimum covariance determinants, a row a group."""
+        medians = materialise(self.medians(rows))
+        self.groups = medians.count()
+        now = materialise(self.starts(rows, medians))
+        for _ in range(2):
+            now = materialise(self.concentrated(rows, now))
+        first = F.row_number().over(Window.partitionBy("_q_group").orderBy("_q_det", "_q_start"))  # three rows each
+        now = now.withColumn("_q_first", first).where("_q_first = 1").drop("_q_first")
+        for _ in range(steps - 2):
+            now = materialise(self.concentrated(rows, now))
+            if not now.where("_q_det < _q_last - 1e-6").limit(1).count():
+                break
+        now = materialise(self.reweighted(rows, now))
+        return materialise(self.scaled(rows, now))
 
 
 def group_key() -> Column:
     return F.to_json(F.struct(F.col("lang").cast("string"), F.col("source").cast("string")))
 
 
-def fit(statistics: DataFrame, share: float = 0.75, steps: int = 3, floors: dict[str, float] = VECTOR) -> DataFrame:
-    """An estimate for each group of the rows of `statistics` that pass the plain rules."""
-    names = list(floors)
-    good = statistics.where(~F.col("_q_failed")).select("_q_group", *[f"_q_x_{n}" for n in names])
-    return estimate(good, names, floors, share, steps)
+def _with_statistics(df: DataFrame, names: list[str]) -> DataFrame:
+    """Add the base statistics, _q_failed and the vector; df has the columns text and _q_group, and only _q_ ones else."""
+    stats = base_statistics(df, prefix="_q_b_")
+    return stats.withColumns({"_q_failed": base_failed("_q_b_"), **{f"_q_x_{n}": c for n, c in vector("_q_b_").items() if n in names}})
 
 
 def _narrow(documents: DataFrame, names: list[str]) -> DataFrame:
-    """The documents with statistics; rows of the text column's size are not kept."""
-    stats = base_statistics(documents.select("doc_id", "text", group_key().alias("_q_group")), prefix="_q_b_").drop("text")
-    return stats.withColumns({"_q_failed": base_failed("_q_b_"), **{f"_q_x_{n}": c for n, c in vector("_q_b_").items() if n in names}})
+    """The documents' ids and statistics; rows of the text column's size are not kept."""
+    return _with_statistics(documents.select(F.col("doc_id").alias("_q_id"), F.col("text").cast("string").alias("text"), group_key().alias("_q_group")), names).drop("text")
 
 
-def _with_verdict(statistics: DataFrame, estimates: DataFrame, names: list[str], cutoff: float) -> DataFrame:
-    """Add _q_d and _q_kept."""
-    return with_distance(statistics, estimates, names).withColumn("_q_kept", ~F.col("_q_failed") & F.coalesce(F.col("_q_d") <= cutoff, F.lit(True)))
+def _fitted(statistics: DataFrame, estimator: Estimator, steps: int) -> DataFrame:
+    """An estimate for each group of the rows that pass the plain rules."""
+    return estimator.fit(statistics.where(~F.col("_q_failed")).select("_q_group", *[f"_q_x_{n}" for n in estimator.names]), steps)
 
 
-def judge(documents: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, steps: int = 3, floors: dict[str, float] = VECTOR) -> DataFrame:
+def judge(documents: DataFrame, cutoff: float = CUTOFF, steps: int = 10, floors: dict[str, float] = VECTOR, **options) -> DataFrame:
     """The base statistics of each row with base_failed, the squared distance and the verdict `kept`."""
-    names = list(floors)
-    stats = materialise(_narrow(documents, names))
-    judged = _with_verdict(stats, fit(stats, share, steps, floors), names, cutoff)
-    return judged.select("doc_id", *[F.col(f"_q_b_{b}").alias(b) for b in BASE], F.col("_q_failed").alias("base_failed"), F.col("_q_d").alias("distance"), F.col("_q_kept").alias("kept"))
-
-
-def keep_good(documents: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, steps: int = 3, floors: dict[str, float] = VECTOR) -> DataFrame:
-    """The documents that the rules keep, with their own columns. The texts are read twice and never shuffled."""
-    names = list(floors)
-    estimates = fit(materialise(_narrow(documents, names)), share, steps, floors)
-    stats = base_statistics(documents.withColumn("_q_group", group_key()), prefix="_q_b_")
-    stats = stats.withColumns({"_q_failed": base_failed("_q_b_"), **{f"_q_x_{n}": c for n, c in vector("_q_b_").items() if n in names}})
-    return _with_verdict(stats, estimates, names, cutoff).where("_q_kept").select(*documents.columns)
+    estimator = Estimator(floors, **options)
+    stats = materialise(_narrow(documents, estimator.names))
+    judged = estimator.with_distance(stats, _fitted(stats, estimator, steps), "left")
+    kept = ~F.col("_q_failed") & F.coalesce(F.col("_q_d") <= cutoff, F.lit(True))
+    return judged.select(F.col("_q_id").alias("doc_id"), *[F.col(f"_q_b_{b}").alias(b) for b in BASE], F.col("_q_failed").alias("base_failed"), F.col("_q_d").alias("distance"), kept.alias("kept"))
+
+
+def keep_good(documents: DataFrame, cutoff: float = CUTOFF, steps: int = 10, floors: dict[str, float] = VECTOR, **options) -> DataFrame:
+    """The documents that the rules keep, with their own columns. The texts are read twice; with up to `broadcast_groups`
+    groups they are not shuffled."""
+    estimator = Estimator(floors, **options)
+    estimates = _fitted(materialise(_narrow(documents, estimator.names)), estimator, steps)
+    whole = documents.select(F.struct("*").alias("_q_doc"), F.col("text").cast("string").alias("text"), group_key().alias("_q_group"))
+    good = _with_statistics(whole, estimator.names).drop("text").where(~F.col("_q_failed"))
+    return estimator.with_distance(good, estimates, "left").where(F.coalesce(F.col("_q_d") <= cutoff, F.lit(True))).select("_q_doc.*")
