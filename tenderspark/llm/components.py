@@ -2,26 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Edges, of 16 bytes, up to which one task joins them; a round then costs more than the whole work.
+ONE_TASK_EDGES = 2_000_000
+
+
+def least_of_trees(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b), and the smallest node that each hangs together with."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        some = low != high
+        if not some.any():
+            return nodes, nodes[root]
+        np.minimum.at(root, high[some], low[some])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            node, component = least_of_trees(t.column(0).to_numpy(), t.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(component)], names=["node", "component"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, "node long, component long")
+
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 50, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """From edges (a, b) of long ids, one row (node, component) per node with an edge; component: its smallest node.
 
     Large star: each node's larger neighbours are hung on its smallest neighbour; small star: so are the smaller ones
     and itself. Both keep the components and end, in about log2(longest path) rounds, when every node hangs on its
-    component's smallest. Each round is a partial minimum and a join, written to the checkpoint folder.
+    component's smallest. Each round is a partial minimum and a join, written to the checkpoint folder. Once counted to
+    be at most `one_task` edges, they are joined by a single task instead, with the same result.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _fingerprint(now)
+    if mark[0] <= one_task:
+        return _in_one_task(now)
     for _ in range(rounds):
         if not mark[0]:
             break

@@ -1,16 +1,19 @@
 """Operator 2: embedding near-dedup by a robust-pruned flat graph.
 
-1. Equal vectors are one class. Of a bounded sample, the leaders of dense balls are found: vectors nearer to a leader
-   than half the linking angle all link with each other, so a ball that holds a third of all rows is counted, not
-   compared. Its links to vectors outside are counted exactly in blocks, against those near enough to the leader.
+1. Equal vectors are one class. Of a bounded sample, the leaders of dense balls are found, with neighbours counted by
+   tasks: vectors nearer to a leader than half the linking angle all link with each other, so a ball that holds a third
+   of all rows is counted, not compared. Its links to vectors outside are counted exactly in blocks, against those near
+   enough to the leader.
 2. All other classes go to the shards of their `overlap` nearest of at most `most_shards` centroids, which are fitted on
    the sample; a shard over `block_rows` is dealt as pairs of blocks. Each task builds a robust-pruned graph.
-3. The adjacency lists that a vector got in its shards are united, and each task searches its graph greedily from its
-   medoid for every member, then expands the range: what links is expanded until nothing new links.
+3. The adjacency lists that a vector got in its shards are united, and each task searches its part of the united graph
+   greedily from its medoid for every member, whose own place is not given away, then expands the range: what links is
+   expanded until nothing new links.
 4. Found pairs are verified by their cosine in double precision. A pair counts in the first task that both share, so
    that no pair leaves a task: tasks give out counts and spanning trees, whose components are joined over all tasks.
-5. The recall is audited against brute force for at most `audit` vectors; under `recall` the search runs again with
-   twice the overlap and beam.
+5. The recall is audited against brute force for `audit` vectors, more where those have few links; under `recall` the
+   search runs again with twice the overlap and beam. If the last try is under it too, all pairs of up to `exact_rows`
+   classes are compared in blocks; with more, the query fails and says what recall it had.
 
 All of this runs for each width of vectors with more than `block_rows` classes, and for the commonest; of the other
 widths all pairs are compared in blocks.
@@ -34,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .components import connected_components
 
-#: Sampled members from which a ball is dense, and how many balls are told apart at most.
-DENSE, MOST_BALLS = 24, 256
+#: Sampled members from which a ball is dense; so a sample has at most a 24th as many balls as rows.
+DENSE = 24
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -68,16 +71,32 @@ def centroids_of(sample: np.ndarray, k: int, rounds: int = 4, seed: int = 5) ->
     return c
 
 
-def dense_leaders(sample: np.ndarray, inner: float) -> np.ndarray:
-    """Leaders of the balls (cosine >= inner) that hold at least DENSE of the sample."""
-    left, leaders = np.ones(len(sample), bool), []
-    for i in range(len(sample)):
-        if left[i] and len(leaders) < MOST_BALLS:
+def neighbour_counts(rows: DataFrame, sample: np.ndarray, inner: float) -> np.ndarray:
+    """How many of the sample are near each of its rows; tasks take slices of the numbers (n) in `rows`."""
+    shared = rows.sparkSession.sparkContext.broadcast(sample.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        for batch in batches:
+            n = batch.column(0).to_numpy()
+            counts = [(w[n[i : i + 256]] @ w.T >= inner).sum(1) for i in range(0, len(n), 256)]
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())], names=["n", "near"])
+
+    found = rows.mapInArrow(run, "n long, near long").where(F.col("near") >= DENSE).toArrow()
+    out = np.zeros(len(sample), np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out
+
+
+def dense_leaders(sample: np.ndarray, inner: float, counts: np.ndarray) -> np.ndarray:
+    """Leaders of the balls (cosine >= inner) that hold at least DENSE of the sample, given each row's neighbours there."""
+    left, leaders = counts >= DENSE, []
+    for i in np.argsort(-counts, kind="stable"):
+        if left[i]:
             near = sample @ sample[i] >= inner
             left[near] = False
-            if near.sum() >= DENSE:
-                middle = sample[near].mean(axis=0)
-                leaders.append(middle / np.linalg.norm(middle))
+            middle = sample[near].mean(axis=0)
+            leaders.append(middle / np.linalg.norm(middle))
     return np.array(leaders).reshape(len(leaders), sample.shape[1])
 
 
@@ -139,11 +158,10 @@ def greedy_range_search(v: np.ndarray, adjacency: np.ndarray, start: int, querie
         score[live] = np.take_along_axis(all_s, keep, 1)
         pool[live] = np.take_along_axis(np.concatenate([pool[live], near], 1), keep, 1)
         done[live] = np.take_along_axis(np.concatenate([done[live], ~fresh], 1), keep, 1)
-    # range expansion from what links, and from the member itself
+    # range expansion from what links; the member itself, if the search came upon it, is one of those
     linked = np.zeros((q, n), bool)
     row, col = np.nonzero((pool >= 0) & (score >= least - 1e-4))
     linked[row, pool[row, col]] = True
-    linked[np.arange(q), queries] = True
     tried = linked.copy()
     row, col = np.nonzero(linked)
     while len(row):
@@ -320,7 +338,7 @@ def _fringe_links(placed: DataFrame, least: float, block_rows: int) -> DataFrame
     other vector is in a ball itself counts for that vector alone, as it is met once more the other way."""
     members = placed.where("ball IS NOT NULL").select("ball", "rep", "v", "times")
     outside = placed.where("size(fringe) > 0").select(F.explode("fringe").alias("ball"), "rep", "v", "times", F.col("ball").isNotNull().alias("inside"))
-    # balls are few: MOST_BALLS rows
+    # at most a 24th as many rows as the sample has
     blocks = members.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("m")).join(outside.groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("f")), "ball")
 
     def dealt(rows: DataFrame, own: str, other: str, side: int, inside: Column) -> DataFrame:
@@ -383,11 +401,20 @@ def graph_links(classes: DataFrame, sample: np.ndarray, least: float, overlap: i
     return materialise(searched.mapInArrow(_search(least, beam, degree), _FOUND))
 
 
-def audit_recall(classes: DataFrame, found: DataFrame, least: float, most: int = 1024) -> float:
-    """Share of the true links of at most `most` vectors, chosen by the hash of their ids, that were found."""
+def audit_recall(classes: DataFrame, found: DataFrame, least: float, most: int = 1024, enough: int = 300) -> float:
+    """Share of the true links of `most` vectors, chosen by the hash of their ids, that were found. As long as these have
+    fewer than `enough` links, twice as many are asked, 16 times `most` in the end."""
+    for n in (most << i for i in range(5)):
+        share, true = _recall_of(classes, found, least, n)
+        if true >= enough:
+            break
+    return share
+
+
+def _recall_of(classes: DataFrame, found: DataFrame, least: float, most: int) -> tuple[float, int]:
     asked = classes.orderBy(F.xxhash64("rep"), "rep").select("rep", "v", "times").limit(most).toArrow()
-    if not asked.num_rows:
-        return 1.0
+    if asked.num_rows < 2:
+        return 1.0, most
     ids, queries = asked.column(0).to_numpy(), _matrix(asked.column(1))
     shared = classes.sparkSession.sparkContext.broadcast((ids, queries))
 
@@ -397,19 +424,21 @@ def audit_recall(classes: DataFrame, found: DataFrame, least: float, most: int =
         for batch in batches:
             if batch.num_rows:
                 times = batch.column(2).to_numpy()
-                hit = q @ _matrix(batch.column(1)).T >= least
-                hit &= own[:, None] != batch.column(0).to_numpy()[None, :]
-                total += hit @ times
+                rep, v = batch.column(0).to_numpy(), _matrix(batch.column(1))
+                for i in range(0, len(own), 1024):
+                    hit = q[i : i + 1024] @ v.T >= least
+                    hit &= own[i : i + 1024, None] != rep[None, :]
+                    total[i : i + 1024] += hit @ times
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(total[some])], names=["a", "true"])
 
     true = classes.select("rep", "v", "times").mapInArrow(run, "a long, true long").groupBy("a").agg(F.sum("true").alias("true"))
     got = found.groupBy("a").agg(F.sum("links").alias("links"))
     row = true.join(got, "a", "left").agg(F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("got"), F.sum("true").alias("true")).first()
-    return row["got"] / row["true"] if row["true"] else 1.0
+    return (row["got"] / row["true"] if row["true"] else 1.0), (row["true"] or 0) if asked.num_rows == most else most
 
 
-def link_vectors(vectors: DataFrame, similar: float = 0.9, sample_bytes: int = 16 << 20, recall: float = 0.99, tries: int = 3, audit: int = 1024, overlap: int = 3, beam: int = 24, block_rows: int = 6000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def link_vectors(vectors: DataFrame, similar: float = 0.9, sample_bytes: int = 16 << 20, recall: float = 0.99, tries: int = 3, audit: int = 1024, exact_rows: int = 200_000, overlap: int = 3, beam: int = 24, block_rows: int = 6000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id and kept."""
     half = math.acos(similar) / 2 - 1e-3
     inner, outer = math.cos(half), math.cos(min(math.pi, math.acos(similar) + half + 1e-6))
@@ -423,7 +452,8 @@ def link_vectors(vectors: DataFrame, similar: float = 0.9, sample_bytes: int = 1
     for width in widths:
         even = classes.where(F.size("v") == width).select("rep", "v", "times")
         sample = _matrix(even.orderBy(F.xxhash64("rep"), "rep").limit(max(256, sample_bytes // (8 * width))).select("v").toArrow().column(0).combine_chunks())
-        leaders = dense_leaders(sample, inner)
+        numbers = even.sparkSession.range(0, len(sample), 1, max(1, min(64, len(sample) // 512)))
+        leaders = dense_leaders(sample, inner, neighbour_counts(numbers.withColumnRenamed("id", "n"), sample, inner))
         loose = sample
         if len(leaders):
             placed = materialise(_in_balls(even, leaders, inner, outer))
@@ -436,8 +466,12 @@ def link_vectors(vectors: DataFrame, similar: float = 0.9, sample_bytes: int = 1
             loose = loose if len(loose) else np.eye(1, width)
             for n in range(tries):
                 found = graph_links(even, loose, similar, overlap << n, beam << n, block_rows=block_rows)
-                if audit_recall(even, found, similar, audit) >= recall:
+                if (got := audit_recall(even, found, similar, audit)) >= recall:
                     break
+            else:
+                if even.count() > exact_rows:
+                    raise RuntimeError(f"recall {got:.3f} of links after {tries} tries, {recall} wanted")
+                found = materialise(exact_links(even, similar, block_rows))
             parts.append(found)
     if len(widths) < len(sizes):
         parts.append(materialise(exact_links(classes.where(~F.size("v").isin(widths)).select("rep", "v", "times"), similar, block_rows)))
@@ -462,6 +496,7 @@ def link_vectors(vectors: DataFrame, similar: float = 0.9, sample_bytes: int = 1
 
 
 def keep_first(vectors: DataFrame, id_col: str = "vec_id", **options) -> DataFrame:
-    """The vectors without those that are not their component's first."""
+    """The vectors without those that are not their component's first, with their own columns, whatever their names."""
     gone = link_vectors(vectors, id_col=id_col, **options).where("NOT kept").select(F.col("vec_id").alias("_gone")).distinct()
-    return vectors.join(gone, vectors[id_col].cast("long") == F.col("_gone"), "left_anti")
+    whole = vectors.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"))
+    return whole.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
