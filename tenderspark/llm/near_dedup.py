@@ -7,10 +7,15 @@
    Classes that mostly retain such values, as those of a large group of near copies, meet in these values' lists too.
 3. In a list, the union-sketch estimate of the similarity keeps pairs from `slack` below the threshold on. Of sets of
    more than k values, a link at the threshold fails this with the binomial probability 1.2e-9 (threshold 0.85) or
-   2.6e-8 (0.80) at k = 32 and slack = 0.45; smaller sets' estimates are exact. The miss of step 2 is apart. Long lists
-   are dealt to tasks as pairs of blocks. Tasks give out spanning trees, not pairs.
-4. Components of what is left are units. The full sets of a unit's classes meet in one task (or, if too large, as pairs
-   of blocks), where exact Jaccard similarities link them. No row is dropped, capped or sampled on the way.
+   2.6e-8 (0.80) at k = 32 and slack = 0.45; smaller sets' estimates are exact. The miss of step 2 is apart. Of a list
+   over `block_members`, each class is first compared with the list's pivot, its smallest class; then only those that
+   did not link with it are compared with all, as blocks of these against blocks of all. So a large group of near copies
+   is read about once for a value, not once for each of its blocks. Tasks give out spanning trees, not pairs.
+4. Components of what is left are units. The step before is audited: of `audit` classes, the share of all partners with
+   an estimate over the threshold that came into the same unit. Under `recall` the search runs again with twice the
+   keys; after the last try the query fails.
+5. The full sets of a unit's classes meet in one task (or, over `block_items`, first with the unit's pivot, then as
+   blocks like those above), where exact Jaccard similarities link them. No row is dropped, capped or sampled.
 
 Defined cases: texts that are null, empty or without words have an empty set and link with nothing; with fewer words
 than a shingle has, the whole sequence is the one shingle; rows that share a doc_id count as one document; a row
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hashed_words, list_array, materialise, mix64, slices, string_buffers, text_or_empty
@@ -161,8 +166,16 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _seeded(linked: np.ndarray) -> Forest:
+    """The forest in which those that are linked with a pivot hang together."""
+    forest, some = Forest(len(linked)), np.flatnonzero(linked)
+    if len(some) > 1:
+        forest.join(int(some[0]), some[1:])
+    return forest
+
+
 def _list_candidates(k: int, n_keys: int, least: float, similar: float, longest: int):
-    """For partitions sorted by (value, block): rep, set size, sketch, keys -> candidate edges."""
+    """For partitions sorted by (value, left, right): rep, set size, sketch, keys, linked -> candidate edges."""
 
     def short(rep, size, sketch, keys, value, starts, ends) -> Iterator[pa.RecordBatch]:
         counts = ends - starts
@@ -188,7 +201,7 @@ def _list_candidates(k: int, n_keys: int, least: float, similar: float, longest:
         for chunk in _groups(batches, 3):
             t = pa.Table.from_batches(chunk)
             value, left, right, rep, size = (t.column(i).to_numpy() for i in range(5))
-            sketch, keys = _padded(t.column(5), k), _padded(t.column(6), n_keys)
+            sketch, keys, tied = _padded(t.column(5), k), _padded(t.column(6), n_keys), t.column(7).to_numpy()
             change = np.flatnonzero((value[1:] != value[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])) + 1
             starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(value)]])
             few = ends - starts <= longest
@@ -202,19 +215,19 @@ def _list_candidates(k: int, n_keys: int, least: float, similar: float, longest:
                         ok[ok] = union_estimate(np.repeat(w[hub : hub + 1], ok.sum(), 0), w[others[ok]], k) >= least
                     return ok
 
-                yield _edges(*_tree(r, link_by_hubs(len(r), linked).root))
+                yield _edges(*_tree(r, link_by_hubs(len(r), linked, _seeded(tied[s:e])).root))
 
     return run
 
 
 def _verify(similar_num: int, similar_den: int):
-    """For partitions sorted by (unit, block): rep, items -> edges of exact links, as trees."""
+    """For partitions sorted by (unit, left, right): rep, items, linked -> edges of exact links, as trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _groups(batches, 3):
             t = pa.Table.from_batches(chunk)
             unit, left, right, rep = (t.column(i).to_numpy() for i in range(4))
-            lengths, flat = _lists(t.column(4))
+            (lengths, flat), tied = _lists(t.column(4)), t.column(5).to_numpy()
             change = np.flatnonzero((unit[1:] != unit[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])) + 1
             starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(unit)]])
             to = np.concatenate([[0], np.cumsum(lengths)])
@@ -239,31 +252,58 @@ def _verify(similar_num: int, similar_den: int):
                         near[near] = similar_den * both >= similar_num * (size[hub] + n - both)
                     return near
 
-                yield _edges(*_tree(rep[s:e], link_by_hubs(int(e - s), linked, Forest(int(e - s))).root))
+                yield _edges(*_tree(rep[s:e], link_by_hubs(int(e - s), linked, _seeded(tied[s:e])).root))
 
     return run
 
 
-def _block_pairs(df: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Rows for each pair of blocks in which a row takes part; one row where there is one block."""
-    own = F.when(F.col(blocks) > 1, F.pmod(F.xxhash64("rep", F.lit(7)), F.col(blocks)).cast("int")).otherwise(F.lit(0))
-    return df.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))).withColumns({"left": F.least("_own", "_other"), "right": F.greatest("_own", "_other")}).drop("_own", "_other", blocks)
+def _salted_join(rows: DataFrame, few: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """Join rows with one row a key, the rows of a frequent key being dealt to several tasks by their rep."""
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(salts)).cast("int")).join(spread, [key, "_salt"]).drop("_salt")
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, similar: tuple[int, int] = (80, 100), k: int = 32, keys: int = 8, common: int = 32, slack: float = 0.45, block_members: int = 4096, block_items: int = 2_000_000) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and whether it is its component's first."""
-    threshold = similar[0] / similar[1]
-    base = materialise(sketches(documents, words, k))
-    classes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes)
+def _rest_against_all(rows: DataFrame, key: str, weight: Column, block: int) -> DataFrame:
+    """Deal rows (key, rep, linked, ...), linked saying that a row is linked with its key's pivot: those that are not, in
+    blocks of about `block` weight (left), against blocks of all the key's rows (right)."""
+    sizes = rows.groupBy(key).agg(F.ceil(F.sum(F.when(~F.col("linked"), weight)) / block).cast("int").alias("_rest"), F.ceil(F.sum(weight) / block).cast("int").alias("_all")).where("_rest > 0")
+    sized = _salted_join(rows, sizes, key)
 
+    def side(some: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        placed = some.withColumn(own, F.pmod(F.xxhash64("rep", F.lit(7)), F.col(own_blocks)).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)))
+
+    rest = side(sized.where("NOT linked"), "left", "_rest", "right", "_all")
+    return rest.unionByName(side(sized, "right", "_all", "left", "_rest")).drop("_rest", "_all")
+
+
+def _estimated(rows: DataFrame, k: int, least: float, similar: float) -> DataFrame:
+    """Rows (value, rep, n_shingles, sketch, keys, pivot) with the struct of the pivot compared: its id and `linked`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size, other = batch.column(2).to_numpy(), batch.column(6).to_numpy()
+            ok = np.minimum(size, other) >= similar * np.maximum(size, other)
+            if ok.any():
+                ok[ok] = union_estimate(_padded(batch.column(3), k)[ok], _padded(batch.column(7), k)[ok], k) >= least
+            ok |= batch.column(1).to_numpy() == batch.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(ok)], names=["value", "rep", "n_shingles", "sketch", "keys", "pivot", "linked"])
+
+    flat = rows.select("value", "rep", "n_shingles", "sketch", "keys", F.col("pivot.rep").alias("pivot"), F.col("pivot.n_shingles").alias("n"), F.col("pivot.sketch").alias("s"))
+    return flat.mapInArrow(run, "value long, rep long, n_shingles long, sketch array<long>, keys array<long>, pivot long, linked boolean")
+
+
+def candidates(classes: DataFrame, k: int, keys: int, common: int, least: float, similar: float, block_members: int) -> DataFrame:
+    """Edges (a, b) among classes (rep, n_shingles, sketch) that join all pairs with an estimate from `least` on, as far
+    as they share one of their keys."""
     # who retains a value with others
     entries = classes.select("rep", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = entries.join(shared, "value")
-    own = met.groupBy("rep").agg(
-        F.array_sort(F.collect_list(F.when(F.col("n") <= common, F.col("value")))).alias("rare"),
-        F.array_sort(F.collect_list(F.when(F.col("n") > common, F.col("value")))).alias("often"),
+    own = _salted_join(entries, shared, "value", 8).groupBy("rep").agg(
+        F.collect_list(F.when(F.col("n") <= common, F.col("value"))).alias("rare"),
+        F.collect_list(F.when(F.col("n") > common, F.col("value"))).alias("often"),
     )
     by = classes.join(own, "rep").select(
         "rep",
@@ -274,34 +314,113 @@ def near_duplicates(documents: DataFrame, words: int = 5, similar: tuple[int, in
         F.when(F.size("often") > 0.4 * F.size("sketch"), F.slice(F.filter("sketch", lambda v: F.array_contains(F.col("often"), v)), 1, keys)).otherwise(F.array().cast("array<bigint>")).alias("often"),
     )
     by = materialise(by)
-    rare = by.select(F.explode("rare").alias("value"), F.lit(0).alias("left"), F.lit(0).alias("right"), "rep", "n_shingles", "sketch", F.col("rare").alias("keys"))
+    no = F.lit(False).alias("linked")
+    rare = by.select(F.explode("rare").alias("value"), F.lit(0).alias("left"), F.lit(0).alias("right"), "rep", "n_shingles", "sketch", F.col("rare").alias("keys"), no)
     often = by.where("size(often) > 0").select(F.explode("often").alias("value"), "rep", "n_shingles", "sketch", F.col("often").alias("keys"))
-    lengths = often.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_members)).alias("blocks"))
-    often = _block_pairs(often.join(lengths, "value"), "value", "blocks").select(*rare.columns)
-    lists = rare.unionByName(often).repartition("value", "left", "right").sortWithinPartitions("value", "left", "right")
-    found = lists.mapInArrow(_list_candidates(k, keys, threshold - slack, threshold, common), "a long, b long")
-
-    # units, their full sets, and exact links
-    units = materialise(connected_components(found))
-    sizes = units.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(block_items)).alias("blocks"))
-    members = units.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
-    wanted = members.select("doc_id")
-    wanted = F.broadcast(wanted) if units.count() <= BROADCAST_IDS else wanted
-    wanted = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = full_sets(wanted, words).join(members.withColumnRenamed("doc_id", "rep"), "rep")
-    dealt = _block_pairs(sets, "component", "blocks").select(F.col("component").alias("unit"), "left", "right", "rep", "items").repartition("unit", "left", "right").sortWithinPartitions("unit", "left", "right")
-    links = dealt.mapInArrow(_verify(*similar), "a long, b long")
-    components = materialise(connected_components(links)).select(F.col("node").alias("rep"), "component")
+    lengths = materialise(often.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("rep", "n_shingles", "sketch"), "rep").alias("pivot")))
+    short = often.join(lengths.where(F.col("n") <= block_members).select("value"), "value").select("value", F.lit(0).alias("left"), F.lit(0).alias("right"), "rep", "n_shingles", "sketch", "keys", no)
+    lists, tied = rare.unionByName(short), None
+    if not lengths.where(F.col("n") > block_members).isEmpty():
+        long = materialise(_estimated(_salted_join(often, lengths.where(F.col("n") > block_members).select("value", "pivot"), "value"), k, least, similar))
+        tied = long.where("linked").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+        lists = lists.unionByName(_rest_against_all(long.drop("pivot"), "value", F.lit(1), block_members))
+    tasks = ["value", "left", "right"]
+    found = lists.repartition(*tasks).sortWithinPartitions(*tasks).mapInArrow(_list_candidates(k, keys, least, similar, common), "a long, b long")
+    return found if tied is None else found.unionByName(tied)
+
+
+def audit_candidates(classes: DataFrame, units: DataFrame, k: int, threshold: float, similar: float, most: int) -> float:
+    """Of the pairs of `most` classes, chosen by the hash of their ids, with others that an estimate puts over the
+    threshold: the share that is in one unit."""
+    placed = classes.join(units.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n_shingles", "sketch", F.coalesce("component", "rep").alias("unit"))
+    asked = placed.orderBy(F.xxhash64("rep"), "rep").limit(most).toArrow()
+    if not asked.num_rows:
+        return 1.0
+    shared = classes.sparkSession.sparkContext.broadcast((*(asked.column(i).to_numpy() for i in (0, 1, 3)), _padded(asked.column(2), k)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rep, size, unit, sketch = shared.value
+        values, n = sketch.ravel(), sketch.shape[0]
+        order = np.argsort(values, kind="stable")
+        order = order[values[order] != np.uint64(0xFFFFFFFFFFFFFFFF)]
+        values, query = values[order], order // k
+        got = true = 0
+        for batch in batches:
+            lengths, flat = _lists(batch.column(2))
+            flat, row = flat.view(np.uint64), np.repeat(np.arange(len(lengths)), lengths)
+            first, last = np.searchsorted(values, flat, "left"), np.searchsorted(values, flat, "right")
+            hits = last - first
+            stops = np.cumsum(hits)
+            at = np.repeat(first - stops + hits, hits) + np.arange(stops[-1] if len(stops) else 0)
+            pairs = np.unique(np.repeat(row, hits) * n + query[at])
+            own, other, its, wide = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_numpy(), _padded(batch.column(2), k)
+            for i in range(0, len(pairs), 50_000):
+                r, q = pairs[i : i + 50_000] // n, pairs[i : i + 50_000] % n
+                some = (own[r] != rep[q]) & (np.minimum(other[r], size[q]) >= similar * np.maximum(other[r], size[q]))
+                r, q = r[some], q[some]
+                if len(r):
+                    over = union_estimate(wide[r], sketch[q], k) >= threshold
+                    true += int(over.sum())
+                    got += int((its[r] == unit[q])[over].sum())
+        yield pa.RecordBatch.from_arrays([pa.array([got]), pa.array([true])], names=["got", "true"])
+
+    row = placed.mapInArrow(run, "got long, true long").agg(F.sum("got").alias("got"), F.sum("true").alias("true")).first()
+    return row["got"] / row["true"] if row["true"] else 1.0
+
+
+def exact_links(documents: DataFrame, members: DataFrame, words: int, similar: tuple[int, int], block_items: int) -> DataFrame:
+    """Edges (a, b) that join the members (rep, component) whose sets are similar, for each component."""
+    def sets_of(some: DataFrame) -> DataFrame:
+        wanted = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        return full_sets(texts, words).join(wanted.select("rep", F.col("component").alias("unit")), "rep")
+
+    dealt, tied = sets_of(members.where("NOT long")).select("unit", F.lit(0).alias("left"), F.lit(0).alias("right"), "rep", "items", F.lit(False).alias("linked")), None
+    if not members.where("long").isEmpty():
+        long = materialise(sets_of(members.where("long")).select("unit", "rep", "items"))
+        pivots = long.where("rep = unit").select("unit", F.col("items").alias("of_pivot"))
+        both = F.size(F.array_intersect("items", "of_pivot"))
+        union = F.size("items") + F.size("of_pivot") - both
+        long = materialise(_salted_join(long, pivots, "unit").select("unit", "rep", "items", (both * similar[1] >= union * similar[0]).alias("linked")))
+        tied = long.where("linked").select(F.col("rep").alias("a"), F.col("unit").alias("b"))
+        dealt = dealt.unionByName(_rest_against_all(long, "unit", F.size("items"), block_items))
+    tasks = ["unit", "left", "right"]
+    links = dealt.repartition(*tasks).sortWithinPartitions(*tasks).mapInArrow(_verify(*similar), "a long, b long")
+    return links if tied is None else links.unionByName(tied)
+
+
+def near_duplicates(documents: DataFrame, words: int = 5, similar: tuple[int, int] = (80, 100), k: int = 32, keys: int = 8, common: int = 32, slack: float = 0.45, block_members: int = 1024, block_items: int = 2_000_000, audit: int = 128, recall: float = 0.99, tries: int = 3) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and whether it is its component's first."""
+    threshold = similar[0] / similar[1]
+    base = materialise(sketches(documents, words, k))
+    classes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes)
+    for n in range(tries):
+        units = materialise(connected_components(candidates(classes, k, keys << n, common << n, threshold - slack, threshold, block_members)))
+        if (got := audit_candidates(classes, units, k, threshold, threshold, audit)) >= recall:
+            break
+    else:
+        raise RuntimeError(f"recall {got:.3f} of near copies after {tries} tries, {recall} wanted")
+
+    sized = units.withColumnRenamed("node", "rep").join(classes.select("rep", "n_shingles"), "rep")
+    long = sized.groupBy("component").agg((F.sum("n_shingles") > block_items).alias("long"))
+    members = materialise(_salted_join(sized, long, "component", 8).select("rep", "component", "long"))
+    components = materialise(connected_components(exact_links(documents, members, words, similar, block_items))).withColumnRenamed("node", "rep")
 
     named = classes.join(components, "rep", "left").select("sig_a", "sig_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    joined = base.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "sig_a", "sig_b").join(named, ["sig_a", "sig_b", "n_shingles"])
+    good = base.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "sig_a", "sig_b")
+    # exact copies of one text meet in one key
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")
+    spread = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    joined = good.withColumn("_salt", salt).join(spread, ["sig_a", "sig_b", "n_shingles", "_salt"])
     alone = base.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     out = joined.select("doc_id", "n_shingles", "component").unionByName(alone)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def keep_first(documents: DataFrame, **options) -> DataFrame:
-    """The documents without those that are not their component's first; rows that repeat a doc_id stay one row each
-    only if their document is kept."""
-    dropped = near_duplicates(documents, **options).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return documents.join(dropped.distinct(), documents["doc_id"].cast("long") == F.col("_gone"), "left_anti").select(*documents.columns)
+    """The documents without those that are not their component's first, with their own columns, whatever their names;
+    rows that repeat a doc_id stay one row each only if their document is kept."""
+    gone = near_duplicates(documents, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    whole = documents.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    return whole.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
