@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, embedding_dedup, langid, near_dedup, packing, quality, sharding, token_scan, toxicity
 from .common import table
+from .sql import ORACLE_SQL as ORACLE_SQL
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The id that closes a document in token files; no text is encoded to it.
@@ -78,5 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -4,9 +4,14 @@ For a key and each shard, u in (0, 1) comes from the MD5 of "key/shard" and the
 -weight / ln(u) takes the record. A shard more or less leaves every other score as it was, so one more
 shard takes records only into itself, and a share of weight / sum(weights) of them.
 
+Slots number a shard's rows in two levels: by salts, which are taken from the key and of a fixed number, and within them.
+Rows that are equal in all columns are counted before they are shuffled and numbered as one, so a record that makes a
+third of all rows is one row until it is given out again.
+
 Defined cases: a null key counts as the text "null"; a null text has no bytes and CRC-32 0; records with equal
 keys share a shard, each row with a slot of its own; equal texts are no group here, as the key law lets only
-key and shard count decide. An empty table gives an empty result.
+key and shard count decide; of a very long text only its length and checksum are kept; only doc_id and text are read, so
+other columns' names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_partitions
-
 #: Hexadecimal digits of the MD5 that make u; 52 bits fit a double exactly.
 _DIGITS = 13
+#: Salts of slots: shards x salts counts are broadcast.
+SALTS = 1024
+#: Equal rows are given out by so many at a time.
+_RUN = 100_000
 
 
 def rendezvous_score(key: Column, shard: int, weight: float) -> Column:
@@ -47,21 +54,26 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], grown_weigh
     return out.drop("__best")
 
 
-def add_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", salts: int | None = None) -> DataFrame:
-    """Number the rows of each shard from 0 without a gap, in two levels.
+def add_slots(df: DataFrame, shard: str, key: str, order: Sequence[str], slot: str = "slot", salts: int = SALTS) -> DataFrame:
+    """Number the rows of each shard from 0 without a gap, by the key's salt and then by `order`, nulls first.
 
     Rows are numbered within (shard, salt); the salts' counts, shards x salts rows, give the offsets. No task sees
-    a whole shard. Rows that agree in all of `order` are interchangeable.
+    a whole shard. Rows that are equal in all columns are interchangeable and are one counted row until the end.
     """
-    salts = salts or max(1, shuffle_partitions(df.sparkSession))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    counts = salted.groupBy(shard, "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    salt = F.conv(F.substring(F.md5(text.cast("binary")), 1, 4), 16, 10).cast("int") % salts
+    counted = df.withColumn("__salt", salt).groupBy(*df.columns, "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    counts = counted.groupBy(shard, "__salt").agg(F.sum("__n").alias("__n"))
     before = Window.partitionBy(shard).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy(shard, "__salt").orderBy(*order)
-    numbered = salted.withColumn("__row", F.row_number().over(inner) - 1)
+    inner = Window.partitionBy(shard, "__salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counted.withColumn("__row", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
     # at most shards x salts rows, whatever the input
-    return numbered.join(F.broadcast(offsets), [shard, "__salt"]).withColumn(slot, (F.col("__before") + F.col("__row")).cast("long")).drop("__salt", "__row", "__before")
+    placed = numbered.join(F.broadcast(offsets), [shard, "__salt"]).withColumn("__first", F.col("__before") + F.col("__row"))
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / _RUN)))
+    begin = F.col("__first") + F.col("__run") * _RUN
+    slots = F.explode(F.sequence(begin, F.least(begin + _RUN, F.col("__first") + F.col("__n")) - 1))
+    return placed.withColumn("__run", run).select(*df.columns, slots.alias(slot))
 
 
 def shard_documents(documents: DataFrame, shards: int = 40, weights: Sequence[float] | None = None) -> DataFrame:
@@ -74,4 +86,4 @@ def shard_documents(documents: DataFrame, shards: int = 40, weights: Sequence[fl
         F.lit("key").alias("law"),
     )
     placed = assign_shards(sized, "doc_id", weights, grown_weight=sum(weights) / len(weights))
-    return add_slots(placed, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return add_slots(placed, "shard", "doc_id", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
