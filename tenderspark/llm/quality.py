@@ -11,7 +11,7 @@ by minimum-covariance-determinant estimates over five transformed statistics, on
 3. Reweighting: the rows within the 97.5 % quantile of the chi-squared distribution give the centre and covariance.
 4. Rows whose squared distance then exceeds the cutoff are rejected.
 
-A step is one aggregation: rows are counted and summed by group and fine bin of distance (2 % wide), and the nearest bins
+A step is one aggregation: rows are counted and summed by group and fine bin of distance (1 % wide), and the nearest bins
 that hold enough rows are added up. So no group's rows meet anywhere, only sums do. Estimates, a few rows a group, are
 broadcast up to BROADCAST_GROUPS groups and otherwise joined under salts, so a group with a third of all rows is dealt
 to many tasks.
@@ -19,7 +19,9 @@ to many tasks.
 Every group, however small, is judged by its own centre. A floor is added to each statistic's variance. The last
 covariance is shrunk towards that within the groups of its language, and this towards that within all groups, as if
 PRIOR_ROWS rows of the wider one had been seen, which is defined for every size: a group of few rows has the wider
-spread around its own centre, a large one its own. A single row is its own centre and stays.
+spread around its own centre, a large one its own. The wider ones are means over groups, by rows and less the wider a
+group is beside the floors: groups too small to leave out their outliers then weigh little. A single row is its own
+centre and stays.
 
 Defined cases: a null text has no words and fails, so does an empty one; a null doc_id stays null; null languages and
 sources are groups of their own; repeated rows count each; a group without a row that passes the plain rules has no
@@ -53,7 +55,7 @@ CHI2_975 = {1: 5.024, 2: 7.378, 3: 9.348, 4: 11.143, 5: 12.833}
 #: Groups up to which estimates are broadcast, about 1 kB each, and the salts beyond.
 BROADCAST_GROUPS, SALTS = 20_000, 16
 #: Cells of a statistic's grid for medians, per unit; bins of the logarithm of distances, per doubling.
-_CELLS, _BINS = 2048, 32
+_CELLS, _BINS = 2048, 64
 
 
 def _let(value: Column, body) -> Column:
@@ -219,7 +221,8 @@ class Estimator:
 
     def _shrunk(self, moments: DataFrame) -> DataFrame:
         """Covariances with those within the language's groups and within all groups mixed in by counts."""
-        n = F.col("_q_k")
+        spread = " + ".join(f"_q_c_{i}_{i} / {floor ** 2!r}D" for i, floor in enumerate(self.floors))
+        n = F.expr(f"_q_k / (1 + ({spread}) / {self.p})")
         named = moments.withColumns({"_q_lang": F.to_json(F.struct(F.get_json_object("_q_group", "$.lang"))), "_q_one": F.lit(1)})
         wide = named.groupBy("_q_lang").agg(F.sum(n).alias("_q_nl"), *[F.sum(n * F.col(f"_q_c_{i}_{j}")).alias(f"_q_cl_{i}_{j}") for i, j in self.pairs])
         whole = wide.groupBy(F.lit(1).alias("_q_one")).agg(F.sum("_q_nl").alias("_q_na"), *[F.sum(f"_q_cl_{i}_{j}").alias(f"_q_ca_{i}_{j}") for i, j in self.pairs])  # one row
