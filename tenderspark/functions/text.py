@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -87,6 +88,31 @@ def prefix(field: Column | str, query: str) -> Column:
     return F.exists(tokens(field), lambda t: t.startswith(q))
 
 
+#: Lengths of the beginnings that autocompletion knows; fixed values.
+GRAMS = (2, 15)
+
+
+def near_prefix(field: Column | str, query: str) -> Column:
+    """Each word of the query is within one edit of a beginning of some token; shorter words than a gram have no match."""
+    words = [w[: GRAMS[1]] for w in re.findall(r"[^\W_]+", _fold_text(query))]
+    found = F.lit(bool(words) and min(map(len, words)) >= GRAMS[0])
+    for w in words:
+        found = found & F.exists(tokens(field), _near_beginning(w))
+    return found
+
+
+def _near_beginning(word: str) -> Callable[[Column], Column]:
+    sizes = [n for n in (len(word) - 1, len(word), len(word) + 1) if GRAMS[0] <= n <= GRAMS[1]]
+
+    def near(t: Column) -> Column:
+        hit = F.lit(False)
+        for n in sizes:
+            hit = hit | ((F.length(t) >= n) & (F.levenshtein(F.substring(t, 1, n), F.lit(word), 1) >= 0))
+        return hit
+
+    return near
+
+
 #: Weights of the parts of a compound query.
 WEIGHTS = {"phrase": 3.0, "fuzzy": 1.0, "autocomplete": 1.0}
 

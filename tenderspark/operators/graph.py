@@ -30,9 +30,16 @@ def merge_nodes(rows: DataFrame) -> DataFrame:
 
 
 def merge_notice_nodes(rows: DataFrame) -> DataFrame:
-    """Notice nodes from rows (source, source_id, title, status, final_value, seq): title of the first sight, the rest of
-    the last."""
-    return rows.groupBy("source", "source_id").agg(F.min_by("title", "seq").alias("title"), F.max_by("status", "seq").alias("status"), F.max_by("final_value", "seq").alias("final_value"))
+    """Notice nodes from rows (source, source_id, ..., seq): title, status and value of the last sight, and of the other
+    properties those of the first."""
+    refreshed = ["title", "status", "final_value"]
+    created = [c for c in ("notice_type", "publication_date", "estimated_value", "currency", "cpv_code") if c in rows.columns]
+    return merge_nodes_by(rows, ["source", "source_id"], created, refreshed)
+
+
+def merge_nodes_by(rows: DataFrame, key: list[str], created: list[str], refreshed: list[str]) -> DataFrame:
+    """One node a key: properties that its creation sets, by the first `seq`, and those that each sight refreshes."""
+    return rows.groupBy(*key).agg(*[F.min_by(c, "seq").alias(c) for c in created], *[F.max_by(c, "seq").alias(c) for c in refreshed])
 
 
 def edges(notices: DataFrame, awards: DataFrame) -> DataFrame:
@@ -63,7 +70,8 @@ def degree(notices: DataFrame, awards: DataFrame, ico: str) -> DataFrame:
 def related(notices: DataFrame, awards: DataFrame, ico: str, k: int | None = 50) -> DataFrame:
     """Organisations at two or four hops, the latter also over a shared category; sets are reduced by semi-joins at each
     hop, so no paths are multiplied out."""
-    e = edges(notices, awards).select("notice_id", "org").distinct()
+    won = awards.where("supplier_ico IS NOT NULL").select("notice_id", F.col("supplier_ico").alias("org"))
+    e = issued(notices).unionByName(won).distinct()
     mine = e.where(F.col("org") == ico).select("notice_id").distinct()
     two = e.join(mine, "notice_id", "left_semi").where(F.col("org") != ico).select("org").distinct()
     codes = classified_by(notices)

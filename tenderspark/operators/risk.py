@@ -17,8 +17,6 @@ BURST, BURST_DAYS, VALUE_FLOOR, CEILING_BAND = 4, 30, 10_000.0, (0.7, 1.0)
 CEILING, CEILING_WORKS, WORKS_DIVISION = 180_000.0, 300_000.0, "45"
 WEIGHTS = {"concentration": 0.30, "pair": 0.25, "market": 0.25, "cluster": 0.20}
 RISK_BANDS = (30.0, 60.0)
-#: Lifts a tie that the sum of doubles leaves below itself.
-TIE = 1e-9
 
 DISCLAIMER = "Statistical observations over published records; they call for a look at the files and prove nothing by themselves."
 
@@ -115,6 +113,11 @@ def risk_profiles(notices: DataFrame, awards: DataFrame) -> DataFrame:
         one = df.select("ico", F.lit(name).alias("flag"), "score", "triggered", *([F.col("subject_role")] if name == "pair" else [F.lit(None).cast("string").alias("subject_role")]))
         parts = one if parts is None else parts.unionByName(one)
     by = parts.groupBy("ico").agg(*[F.coalesce(F.max(F.when(F.col("flag") == f, F.col("score"))), F.lit(0.0)).alias(f) for f in flags], F.max("subject_role").alias("subject_role"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("triggered"), F.col("flag")))), ",").alias("triggered"))
-    weight = F.when(F.col("subject_role") == "supplier", WEIGHTS["pair"] * SUPPLIER_SIDE_FACTOR).otherwise(WEIGHTS["pair"])
-    score = F.round((F.col("concentration") * WEIGHTS["concentration"] + F.col("pair") * weight + F.col("market") * WEIGHTS["market"] + F.col("cluster") * WEIGHTS["cluster"]) / (weight + (1 - WEIGHTS["pair"])) + TIE, 1)
-    return by.withColumn("risk_score", score).withColumn("risk_band", band(F.col("risk_score"), *RISK_BANDS))
+    # whole tenths and thousandths, so that ties are exact and round up
+    pair = F.when(F.col("subject_role") == "supplier", round(1000 * WEIGHTS["pair"] * SUPPLIER_SIDE_FACTOR)).otherwise(round(1000 * WEIGHTS["pair"])).cast("long")
+    tenths = {f: F.round(F.col(f) * 10).cast("long") for f in flags}
+    parts = sum((tenths[f] * F.lit(round(1000 * WEIGHTS[f])).cast("long") for f in flags if f != "pair"), tenths["pair"] * pair)
+    whole = pair + F.lit(round(1000 * (1 - WEIGHTS["pair"]))).cast("long")
+    by = by.withColumns({"_parts": parts, "_whole": whole})
+    score = F.expr("(2 * _parts + _whole) div (2 * _whole)").cast("double") / 10
+    return by.withColumn("risk_score", score).drop("_parts", "_whole").withColumn("risk_band", band(F.col("risk_score"), *RISK_BANDS))

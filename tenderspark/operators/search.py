@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import final_expr, money, value_expr, year_from_date
-from ..functions.text import fold, matches, prefix
+from ..functions.text import fold, matches, near_prefix, prefix
 
 MOST_OFFSET = 10_000
 
@@ -49,15 +49,20 @@ def encode_cursor(offset: int) -> str:
 
 
 def decode_cursor(cursor: str | None) -> int:
+    """The offset of a cursor, 0 without one. A malformed cursor, or one past the last page, is an error."""
     try:
-        return min(max(int(base64.urlsafe_b64decode(cursor.encode()).decode()), 0), MOST_OFFSET) if cursor else 0
-    except ValueError:
-        return 0
+        offset = int(base64.urlsafe_b64decode(cursor.encode()).decode()) if cursor else 0
+    except ValueError as e:
+        raise ValueError("malformed cursor") from e
+    if not 0 <= offset <= MOST_OFFSET:
+        raise ValueError(f"cursor outside 0..{MOST_OFFSET}")
+    return offset
 
 
 def next_cursor(offset: int, limit: int, got: int, total: int) -> str | None:
-    """A cursor only after a full page with more to come."""
-    return encode_cursor(offset + limit) if got == limit and offset + limit < total else None
+    """A cursor only after a full page with more to come, and none past the last offset."""
+    after = offset + limit
+    return encode_cursor(after) if got == limit and after < total and after <= MOST_OFFSET else None
 
 
 def notice_detail(notices: DataFrame, source_id: str) -> DataFrame:
@@ -102,11 +107,12 @@ def merge_hits(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(first.select("ico"), "ico", "left_anti"))
 
 
-def autocomplete(parts: dict[str, DataFrame], query: str, k: int = 5) -> DataFrame:
-    """(kind, label) of each kind's first `k` names that have a word with this beginning."""
+def autocomplete(parts: dict[str, DataFrame], query: str, k: int = 5, edits: int = 0) -> DataFrame:
+    """(kind, label) of each kind's first `k` names that have a word with this beginning, or one `edits` (0 or 1) from it."""
     out = None
+    hit = near_prefix if edits else prefix
     for kind, df in parts.items():
-        one = df.select("label").distinct().where(prefix("label", query)).orderBy("label").limit(k).select(F.lit(kind).alias("kind"), "label")
+        one = df.select("label").distinct().where(hit("label", query)).orderBy("label").limit(k).select(F.lit(kind).alias("kind"), "label")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -136,10 +142,15 @@ def kind_of_query(query: str | None) -> str:
     return "empty" if len(q) < 2 else "ico" if len(q) == 8 and q.isdigit() else "text"
 
 
-def unified(notices: DataFrame, entities: DataFrame, query: str, k: int = 10) -> DataFrame:
-    """(kind, id, label) of companies and contracts; by ICO companies only, nothing for a short query."""
+def unified(notices: DataFrame, entities: DataFrame, query: str, k: int = 10, similar: DataFrame | None = None) -> DataFrame:
+    """(kind, id, label) of companies and contracts; by ICO companies only, nothing for a short query. Companies (ico,
+    name, score) that a vector search found come first, then those by text that it has not seen."""
     kind = kind_of_query(query)
     companies = entities.where(F.col("ico") == query) if kind == "ico" else rank_hits(entities.where(matches(query, "name")), query).orderBy("rank", F.desc("n"), "ico").limit(k)
+    if similar is not None and kind == "text":
+        first = similar.orderBy(F.desc("score"), "ico").limit(k).select("ico", "name", F.lit(0).alias("via"))
+        rest = companies.select("ico", "name", F.lit(1).alias("via"))
+        companies = merge_hits(first, rest).orderBy("via", "ico").limit(k)
     companies = companies.select(F.lit("company").alias("kind"), F.col("ico").alias("id"), F.col("name").alias("label"))
     if kind == "empty":
         return companies.limit(0)

@@ -1,6 +1,6 @@
 """Registered queries and the SQL that states their results."""
 
-from . import risk_queries, search_queries, source_queries, spend_queries  # noqa: F401
+from . import profile_queries, risk_queries, search_queries, source_queries, spend_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -72,7 +72,8 @@ def risk_cluster(spark, sf_dir):
     concat_ws(',', CASE WHEN l.triggered THEN 'cluster' END, CASE WHEN c.triggered THEN 'concentration' END, CASE WHEN m.triggered THEN 'market' END, CASE WHEN p.triggered THEN 'pair' END) AS triggered,
     CASE WHEN p.subject_role = 'supplier' THEN 0.125 ELSE 0.25 END AS w
     FROM ids LEFT JOIN concentration c ON c.ico = ids.ico LEFT JOIN pair p ON p.ico = ids.ico LEFT JOIN market m ON m.ico = ids.ico LEFT JOIN cl l ON l.ico = ids.ico AND l.rn = 1),
-    s AS (SELECT *, round((concentration * CAST(0.30 AS DOUBLE) + pair * CAST(w AS DOUBLE) + market * CAST(0.25 AS DOUBLE) + cluster * CAST(0.20 AS DOUBLE)) / (CAST(w AS DOUBLE) + CAST(0.75 AS DOUBLE)) + 1e-9, 1) AS risk_score FROM j)
+    t AS (SELECT *, CAST(round(concentration * 10) AS BIGINT) * 300 + CAST(round(pair * 10) AS BIGINT) * CAST(w * 1000 AS BIGINT) + CAST(round(market * 10) AS BIGINT) * 250 + CAST(round(cluster * 10) AS BIGINT) * 200 AS parts, CAST(w * 1000 AS BIGINT) + 750 AS whole FROM j),
+    s AS (SELECT *, CAST((2 * parts + whole) // (2 * whole) AS DOUBLE) / 10 AS risk_score FROM t)
     SELECT ico, concentration, pair, market, cluster, subject_role, triggered, risk_score, CASE WHEN risk_score >= 60 THEN 'high' WHEN risk_score >= 30 THEN 'moderate' ELSE 'low' END AS risk_band FROM s"""
 )
 def risk_summary(spark, sf_dir):
@@ -235,7 +236,7 @@ def graph_concentration(spark, sf_dir):
     return graph.supplier_concentration(notices(spark, sf_dir), award_rows(spark, sf_dir, False), ICO)
 
 
-@query("SELECT source || '|' || source_id AS key, title, status FROM n")
+@query("SELECT source || '|' || source_id AS key, 'later' AS title, status FROM n")
 def graph_notice_nodes(spark, sf_dir):
     n = notices(spark, sf_dir, cpv=True).withColumn("seq", F.lit(1))
     nodes = graph.merge_notice_nodes(n.unionByName(n.withColumns({"seq": F.lit(2), "title": F.lit("later")})))

@@ -225,7 +225,11 @@ def test_text_search(spark):
 
 
 def test_cursor():
-    assert search.decode_cursor(search.encode_cursor(40)) == 40 and search.decode_cursor("!") == 0
+    assert search.decode_cursor(search.encode_cursor(40)) == 40 and search.decode_cursor(None) == search.decode_cursor("") == 0
+    for wrong in ("!", "abc", search.encode_cursor(-1), search.encode_cursor(10_001)):
+        with pytest.raises(ValueError):
+            search.decode_cursor(wrong)
+    assert search.next_cursor(9990, 20, 20, 10**6) is None
     assert search.next_cursor(0, 20, 20, 21) is not None and search.next_cursor(0, 20, 20, 20) is None and search.next_cursor(0, 20, 5, 99) is None
 
 
