@@ -144,18 +144,22 @@ def _texts(v: Column) -> Column:
     return F.when(_is(v, "STRING"), F.array(F.try_variant_get(v, "$", "string"))).when(_is(v, "ARRAY"), F.try_variant_get(v, "$", "array<string>"))
 
 
-def _texts_by_language(v: Column) -> Column:
-    """The texts of the preferred language, of any language, or of a value without languages; empty ones left out."""
-    by = F.try_variant_get(v, "$", "map<string,variant>")
+def _languages(v: Column) -> Column:
+    """The values of an object by language; null for any other value."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _texts_by_language(v: Column, by: Column) -> Column:
+    """The texts of the preferred language, of any language (`by`), or of a value without languages; empty ones left out."""
     real = lambda texts: F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != "")
     some = lambda texts: F.when(F.size(texts) > 0, texts)
     preferred = [some(real(_texts(F.try_element_at(by, F.lit(x))))) for x in TED_LANGUAGES]
     other = F.get(F.filter(F.transform(F.map_values(by), lambda x: real(_texts(x))), lambda t: F.size(t) > 0), 0)
-    return F.coalesce(F.when(_is(v, "OBJECT"), F.coalesce(*preferred, other)), some(real(_texts(v))))
+    return F.coalesce(F.when(by.isNotNull(), F.coalesce(*preferred, other)), some(real(_texts(v))))
 
 
 def pick_language(v: Column) -> Column:
-    return F.get(_texts_by_language(v), 0)
+    return F.get(_texts_by_language(v, _languages(v)), 0)
 
 
 def first_text(v: Column) -> Column:
@@ -172,12 +176,15 @@ def ted_date(c: Column) -> Column:
 
 def ted_filter(raw: DataFrame, since: str | None = None, until: str | None = None, awards_only: bool = False, country: str = "SVK") -> DataFrame:
     """The search's predicates: country, award types, dates. Rows (raw: variant)."""
-    out = raw.where(F.array_contains(F.coalesce(_texts(F.try_variant_get("raw", "$['buyer-country']", "variant")), F.array()), country))
+    country_, kind, date = (F.try_variant_get("raw", f"$['{x}']", "variant") for x in ("buyer-country", "notice-type", "publication-date"))
+    found = F.struct(F.coalesce(_texts(country_), F.array()).alias("countries"), first_text(kind).alias("kind"), ted_date(first_text(date)).alias("day"))
+    # generated, so that the predicates are not pushed below the parsing, which they would then repeat for each use
+    out = raw.withColumn("_found", F.explode(F.array(found))).where(F.array_contains("_found.countries", country))
     if awards_only:
-        out = out.where(first_text(F.try_variant_get("raw", "$['notice-type']", "variant")).isin(*TED_AWARD_TYPES))
-    day = ted_date(first_text(F.try_variant_get("raw", "$['publication-date']", "variant")))
-    out = out.where(day >= F.lit(since).cast("date")) if since else out
-    return out.where(day <= F.lit(until).cast("date")) if until else out
+        out = out.where(F.col("_found.kind").isin(*TED_AWARD_TYPES))
+    out = out.where(F.col("_found.day") >= F.lit(since).cast("date")) if since else out
+    out = out.where(F.col("_found.day") <= F.lit(until).cast("date")) if until else out
+    return out.drop("_found")
 
 
 def ted_notices(raw: DataFrame) -> DataFrame:
@@ -188,29 +195,34 @@ def ted_notices(raw: DataFrame) -> DataFrame:
 
     fields = ("publication-number", "publication-date", "notice-type", "notice-title", "buyer-name", "classification-cpv", "tender-value", "tender-value-cur", "winner-name", "winner-identifier", "organisation-name-tenderer", "organisation-identifier-tenderer", "result-value-lot", "result-value-cur-lot", "result-value-notice", "result-value-cur-notice", "ND_OJ")
     rows = raw.select(*[F.try_variant_get("raw", f"$['{x}']", "variant").alias("_" + x.replace("-", "_")) for x in fields])
-    kind = first_text(f("notice_type"))
-    published = F.coalesce(first_text(f("publication_date")), F.lit(""))
-    key = F.coalesce(blank_to_null(first_text(f("ND_OJ"))), F.concat(F.lit("ted-"), published, F.lit("-"), F.coalesce(F.try_variant_get(f("publication_number"), "$", "string"), F.lit(""))))
-    names = F.coalesce(_texts_by_language(f("winner_name")), _texts_by_language(f("organisation_name_tenderer")), F.array().cast("array<string>"))
-    ids = F.coalesce(_texts(f("winner_identifier")), _texts(f("organisation_identifier_tenderer")), F.array().cast("array<string>"))
+    # every variant is opened once, in a projection of its own; what follows reads plain columns
+    languages, lists, numbers = ("buyer_name", "notice_title", "winner_name", "organisation_name_tenderer"), ("winner_identifier", "organisation_identifier_tenderer"), ("result_value_notice", "tender_value")
+    single = ("notice_type", "publication_date", "ND_OJ", "tender_value_cur", "result_value_cur_notice", "classification_cpv")
+    rows = rows.withColumns({f"_by_{x}": _languages(f(x)) for x in languages})
+    rows = rows.withColumns({f"_texts_{x}": _texts_by_language(f(x), f(f"by_{x}")) for x in languages} | {f"_texts_{x}": _texts(f(x)) for x in lists} | {f"_first_{x}": first_text(f(x)) for x in single} | {f"_number_{x}": first_number(f(x)) for x in numbers})
+    kind = f("first_notice_type")
+    published = F.coalesce(f("first_publication_date"), F.lit(""))
+    key = F.coalesce(blank_to_null(f("first_ND_OJ")), F.concat(F.lit("ted-"), published, F.lit("-"), F.coalesce(F.try_variant_get(f("publication_number"), "$", "string"), F.lit(""))))
+    names = F.coalesce(f("texts_winner_name"), f("texts_organisation_name_tenderer"), F.array().cast("array<string>"))
+    ids = F.coalesce(f("texts_winner_identifier"), f("texts_organisation_identifier_tenderer"), F.array().cast("array<string>"))
     ico = F.get(F.filter(ids, lambda x: F.coalesce(x.rlike(r"^\d{8}$"), F.lit(False))), 0)
     lots, lot_currencies = (F.try_variant_get(f(x), "$", "array<string>") for x in ("result_value_lot", "result_value_cur_lot"))
-    notice_value = F.coalesce(first_number(f("result_value_notice")), first_number(f("tender_value")))
-    notice_currency = F.coalesce(first_text(f("result_value_cur_notice")), first_text(f("tender_value_cur")), F.lit("EUR"))
+    notice_value = F.coalesce(f("number_result_value_notice"), f("number_tender_value"))
+    notice_currency = F.coalesce(f("first_result_value_cur_notice"), f("first_tender_value_cur"), F.lit("EUR"))
 
     def one(name: Column, i: Column) -> Column:
         lot, currency = F.get(lots, i), F.get(lot_currencies, i)
         return award(organisation(name, ico, ["ted"]), F.when(lot.isNotNull(), lot.try_cast("double")).otherwise(notice_value), F.coalesce(currency, notice_currency))
 
-    buyer = pick_language(f("buyer_name"))
+    buyer = F.get(f("texts_buyer_name"), 0)
     return canonical(
         rows,
         {
             "source": F.lit("ted"), "source_id": key, "ted_notice_id": key,
             "notice_type": F.when(kind.isin(*TED_AWARD_TYPES), "contract_award").when(kind.isin(*TED_NOTICE_TYPES), "contract_notice").otherwise("other"),
             "status": F.when(kind.isin(*TED_AWARD_TYPES), "awarded").when(kind.isin(*TED_NOTICE_TYPES), "announced").otherwise("unknown"),
-            "title": F.coalesce(pick_language(f("notice_title")), key), "final_value": first_number(f("tender_value")), "currency": F.coalesce(first_text(f("tender_value_cur")), F.lit("EUR")),
-            "cpv_code": first_text(f("classification_cpv")), "procurer": F.when(buyer.isNotNull(), organisation(buyer, F.lit(None), ["ted"])), "awards": F.transform(names, one), "publication_date": ted_date(published),
+            "title": F.coalesce(F.get(f("texts_notice_title"), 0), key), "final_value": f("number_tender_value"), "currency": F.coalesce(f("first_tender_value_cur"), F.lit("EUR")),
+            "cpv_code": f("first_classification_cpv"), "procurer": F.when(buyer.isNotNull(), organisation(buyer, F.lit(None), ["ted"])), "awards": F.transform(names, one), "publication_date": ted_date(published),
         },
     )
 
