@@ -3,7 +3,8 @@
 A log row is (conversation, message, sequence, kind, role, text). Kinds: `delta` appends to the message, `edit` replaces
 its text, `regenerate` empties it for deltas to come, `delete` takes it away. Rows are dealt by conversation and message,
 so a conversation that holds a third of all rows is folded by many tasks; messages are then sorted within conversations
-and rendered as a stream: no task holds a conversation whole, except its digest's state.
+and rendered as a stream: no task holds a conversation whole. A conversation's digest reads its turns in order, so its rows
+pass through one task of `read_back`, which holds the digest's state and one batch.
 
 Template: each turn is ``<s>[role]`` + role + ``[/role]`` + text + ``</s>`` in escaped form. A ``\\`` in a role or text
 becomes ``\\\\`` and each ``<``, ``>``, ``[`` or ``]`` becomes ``\\`` and one of ``lgoc``, so that no text holds a control string and
@@ -11,7 +12,8 @@ becomes ``\\\\`` and each ``<``, ``>``, ``[`` or ``]`` becomes ``\\`` and one of
 
 Defined cases: null text is empty; a null role is the empty role; events are applied by sequence, at ties by kind, role and
 text; messages go by number, null first, repeated rows are messages of their own in `turns_as_events`; deltas to a
-deleted message begin it anew; a null conversation is a conversation; an empty table gives an empty result.
+deleted message begin it anew; a null conversation is a conversation; an empty table gives an empty result; a very long
+text is held whole by the task of its message alone; columns other than those named are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -64,11 +66,46 @@ def fold(events: DataFrame) -> DataFrame:
     return final.where(~F.col("dead") | (F.size("r") > 1)).select("conv_id", "message", F.element_at("e", -1)["role"].alias("role"), text.alias("text"))
 
 
-def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """A log in which each turn arrives as one delta; rows of equal (conversation, turn) are messages of their own."""
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+#: Code points of a streamed delta.
+PIECE = 200
+
+
+def turns_as_events(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
+    """The log by which each turn comes to its text, as chat services write it: deltas of at most `piece` code points,
+    and, by a hash of the message, none or one of these before: a draft that an edit replaces whole or in its first
+    piece, that is regenerated, or that is deleted and begun anew. `fold` gives the turns back. Rows of equal
+    (conversation, turn) are messages of their own."""
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"),
+        F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
     again = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return rows.select("conv_id", F.struct("turn", again.alias("again")).alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    rows = rows.withColumn("again", again).withColumns(
+        {
+            "pieces": F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(cut),
+            "way": F.pmod(F.xxhash64("conv_id", "turn", "again"), F.lit(5)),
+        }
+    )
+
+    def event(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+
+    deltas = F.transform("pieces", lambda p: event("delta", p))
+    first = F.element_at("pieces", 1)
+    draft = event("delta", F.reverse(first))
+    log = (
+        F.when(F.col("way") == 0, F.array(draft, event("edit", F.col("text"))))
+        .when(F.col("way") == 1, F.concat(F.array(draft, event("edit", first)), F.slice(deltas, 2, F.size("pieces"))))
+        .when(F.col("way") == 2, F.concat(F.array(draft, event("regenerate", F.lit(""))), deltas))
+        .when(F.col("way") == 3, F.concat(F.array(draft, event("delete", F.lit(""))), deltas))
+        .otherwise(deltas)
+    )
+    message = F.struct("turn", "again").alias("message")
+    events = rows.select("conv_id", message, "role", F.posexplode(log).alias("seq", "event"))
+    return events.select("conv_id", "message", F.col("seq").cast("long").alias("seq"), "event.kind", "role", "event.text")
 
 
 def render(messages: DataFrame) -> DataFrame:

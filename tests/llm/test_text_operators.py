@@ -231,3 +231,20 @@ def test_chat_events(spark):
     df = spark.createDataFrame(log, "conv_id bigint, message int, seq bigint, kind string, role string, text string")
     assert [(r.message, r.text) for r in chat.fold(df).orderBy("message").collect()] == [(1, "hi"), (2, "right"), (3, "y")]
     assert chat.parse(chat.render_turn("a[b]", "\\<s>[role]x[/role]</s>\\l")) == [("a[b]", "\\<s>[role]x[/role]</s>\\l")]
+
+
+def test_chat_log_needs_its_fold(spark):
+    """The query's log holds deltas, edits, regenerations and deletions, and folds to the turns."""
+    text = "Žltý [kôň]\n" + "\U0001f600 long </s> " * 100
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", text[: 90 * t] if t != 3 else None) for c in range(8) for t in range(12)]
+    df = spark.createDataFrame(rows + rows[:1], "conv_id bigint, turn bigint, role string, text string")
+    log = chat.turns_as_events(df).cache()
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"delta", "edit", "regenerate", "delete"}
+    assert max(len(r.text) for r in log.where("kind = 'delta'").select("text").collect()) == chat.PIECE
+    got = sorted((r.conv_id, r.message.turn, r.message.again, r.role, r.text) for r in chat.fold(log).collect())
+    assert got == sorted([(c, t, 1, r, x or "") for c, t, r, x in rows] + [(0, 0, 2, "user", "")])
+    plain = {}
+    for r in log.orderBy("conv_id", "message", "seq").collect():
+        plain[r.conv_id, r.message] = plain.get((r.conv_id, r.message), "") + r.text
+    assert any(plain[c, m] != x for c, m, _, x in chat.fold(log).select("conv_id", "message", "role", "text").collect())
