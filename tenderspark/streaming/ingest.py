@@ -1,18 +1,30 @@
-"""The ingest loop as one streaming query: parse, dead-letter, clamp, upsert, each batch idempotent."""
+"""The ingest loop as one streaming query: parse, dead-letter, clamp, upsert notices, registry, entities and edges, each
+batch idempotent."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import slugify
 from ..operators import health, upsert
 from ..schema import NOTICE_TYPES, SOURCES, STATUSES
+from .store import VersionedTable
 
 ENTRY = "payload string, hash string, run string, seq bigint"
-STORED = "source string, source_id string, notice_type string, status string, title string, final_value double, publication_date date, content_hash string, canonical_id string, ingested_at timestamp_ntz"
-PAYLOAD = "source string, source_id string, notice_type string, status string, title string, final_value double, publication_date date"
+FIELDS = (
+    "notice_type string, status string, title string, final_value double, publication_date date, "
+    "procurer struct<ico:string,name:string>, awards array<struct<ico:string,name:string,value:double,signing_date:date>>"
+)
+PAYLOAD = f"source string, source_id string, {FIELDS}"
+STORED = f"{PAYLOAD}, content_hash string, canonical_id string, ingested_at timestamp_ntz"
+SEEN = "source string, source_id string, content_hash string, last_seen_at timestamp_ntz, skipped_count bigint"
+ENTITIES = "entity string, name string, ico string, sources array<string>"
+EDGES = "source string, source_id string, org string, type string, value double"
+REPORT = "inserted bigint, updated bigint, skipped bigint, errors bigint"
 
 
 def split_poison(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -28,52 +40,106 @@ def split_poison(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return p.where("reason IS NULL").select("n.*", F.col("hash").alias("content_hash"), "run", "seq"), p.where("reason IS NOT NULL").select("payload", "reason", "seq")
 
 
+def sightings(rows: DataFrame) -> DataFrame:
+    """(ico, name, name_slug, source, seq) of the procurers and suppliers of notices, for the entities."""
+    won = F.transform(F.coalesce("awards", F.array()), lambda a: F.struct(a["ico"].alias("ico"), a["name"].alias("name")))
+    org = F.explode(F.concat(F.array("procurer"), won)).alias("o")
+    seen = rows.select("source", "seq", org).select(F.col("o.ico").alias("ico"), F.col("o.name").alias("name"), "source", "seq")
+    return seen.withColumn("name_slug", slugify("name")).where("coalesce(ico, '') <> '' OR coalesce(name_slug, '') <> ''")
+
+
+def graph_edges(rows: DataFrame) -> DataFrame:
+    """(source, source_id, org, type, value): the procurer's edge, and one for each supplier with its first award's value."""
+    key = upsert.entity_key(F.col("o.ico"), slugify("o.name"))
+    own = F.struct(F.col("procurer.ico").alias("ico"), F.col("procurer.name").alias("name"), F.lit(None).cast("double").alias("value"))
+    won = F.transform(F.coalesce("awards", F.array()), lambda a: F.struct(*[a[c].alias(c) for c in ("ico", "name", "value")]))
+    orgs = F.posexplode(F.concat(F.array(own), won)).alias("pos", "o")
+    flat = rows.select("source", "source_id", orgs).where("coalesce(o.ico, '') <> '' OR coalesce(o.name, '') <> ''")
+    typed = flat.select("source", "source_id", key.alias("org"), F.when(F.col("pos") == 0, "procurer").otherwise("supplier").alias("type"), "pos", "o.value")
+    return typed.groupBy("source", "source_id", "org", "type").agg(F.min_by("value", "pos").alias("value"))
+
+
 class NoticeStore:
-    """Notices, dead letters and issues as versioned Parquet folders: each batch writes a new version of the table and the
-    reader takes the last whole one, so a batch that runs again after a failure gives the same table."""
+    """What the loop keeps: notices and the registry of seen hashes, entities, graph edges, and by batch dead letters,
+    date issues and a report of counts. Each batch writes all of them before its offsets are committed, and all of them
+    by its number, so a batch that runs again gives the same tables."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, keep: int = 2):
         self.spark, self.folder = spark, folder
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+        def kept(name: str, schema: str, key: list[str]) -> VersionedTable:
+            return VersionedTable(spark, f"{folder}/{name}", schema, key, buckets, keep)
 
-    def versions(self) -> list[int]:
-        """Batches whose table is complete."""
-        fs, _ = self._fs()
-        found = fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/notices/v=*/_SUCCESS"))
-        return sorted(int(str(f.getPath().getParent().getName()).removeprefix("v=")) for f in found or [])
+        self.tables = {
+            "notices": kept("notices", STORED, upsert.KEY),
+            "registry": kept("registry", SEEN, upsert.KEY),
+            "entities": kept("entities", ENTITIES, ["entity"]),
+            "edges": kept("edges", EDGES, upsert.KEY),
+        }
 
-    def notices(self, before: int | None = None) -> DataFrame:
-        v = [x for x in self.versions() if before is None or x < before]
-        return self.spark.read.schema(STORED).parquet(f"{self.folder}/notices/v={v[-1]}") if v else self.spark.createDataFrame([], STORED)
+    def read(self, name: str) -> DataFrame:
+        """A table's present rows: notices, registry, entities or edges."""
+        return self.tables[name].read()
+
+    def notices(self) -> DataFrame:
+        return self.read("notices")
 
     def write(self, batch: DataFrame, batch_id: int, now: Column, now_year: int) -> None:
+        batch = batch.persist()
+        try:
+            self._write(batch, batch_id, now, now_year)
+        finally:
+            batch.unpersist()
+        for t in self.tables.values():
+            t.drop_old()
+
+    def _write(self, batch: DataFrame, batch_id: int, now: Column, now_year: int) -> None:
         good, bad = split_poison(batch)
         bad.write.mode("overwrite").parquet(f"{self.folder}/dead/v={batch_id}")
-        health.date_issues(good, now_year, ("publication_date",), "source_id").write.mode("overwrite").parquet(f"{self.folder}/issues/v={batch_id}")
-        rows = upsert.keep_last(health.clamp_dates(good, now_year, ("publication_date",))).withColumns({"ingested_at": now, "canonical_id": F.lit(None).cast("string")})
-        old = self.notices(batch_id)
-        upsert.upsert_notices(old, rows).write.mode("overwrite").parquet(f"{self.folder}/notices/v={batch_id}")
+        dates = ("publication_date",)
+        health.date_issues(good, now_year, dates, "source_id").write.mode("overwrite").parquet(f"{self.folder}/issues/v={batch_id}")
+        rows = upsert.keep_last(health.clamp_dates(good, now_year, dates))
+        rows = rows.withColumns({"ingested_at": now, "canonical_id": F.lit(None).cast("string")})
+        notices, registry, entities, edges = self.tables.values()
+        touched = notices.touched(good)
+        seen = registry.read(batch_id, touched)
+        upsert.report(upsert.decide(rows, seen), bad).write.mode("overwrite").parquet(f"{self.folder}/reports/v={batch_id}")
+        notices.write(upsert.upsert_notices(notices.read(batch_id, touched), rows), batch_id)
+        new = upsert.upsert_entities(sightings(rows))
+        entities.write(upsert.merge_entities(entities.read(batch_id, entities.touched(new)), new), batch_id)
+        # an edge keeps the value of its creation
+        known, fresh = edges.read(batch_id, touched), graph_edges(rows)
+        unseen = fresh.join(known, ["source", "source_id", "org", "type"], "left_anti")
+        edges.write(known.unionByName(unseen), batch_id)
+        registry.write(upsert.upsert_registry(seen, rows, now), batch_id)
 
     def dead(self) -> DataFrame:
         return self.spark.read.schema("payload string, reason string, seq bigint").parquet(f"{self.folder}/dead/v=*")
 
+    def reports(self) -> DataFrame:
+        """(v, inserted, updated, skipped, errors) of each batch."""
+        return self.spark.read.schema(f"{REPORT}, v bigint").option("basePath", f"{self.folder}/reports").parquet(f"{self.folder}/reports")
+
 
 def ingest(entries: DataFrame, store: NoticeStore, checkpoint: str, now: Column, now_year: int, trigger: dict | None = None):
     """Start the loop; offsets are committed after a batch's tables are written, so entries arrive at least once."""
     return entries.writeStream.foreachBatch(lambda batch, n: store.write(batch, n, now, now_year)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_entries(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFrame:
-    """A stream of landed entry files."""
-    return spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", per_batch).json(folder)
+def read_entries(spark: SparkSession, folder: str, per_batch: int = 100, archive: str | None = None) -> DataFrame:
+    """A stream of landed entry files. With `archive`, files go there once their batch is done, which keeps the landing
+    folder short."""
+    reader = spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", per_batch)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return reader.json(folder)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see: in spark.checkpoint.dir, or a temporary one where that is unset."""
-    import tempfile
-
+    """A new folder that all executors see: in spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="stream-")
+    if base:
+        return f"{base}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="stream-")

@@ -1,6 +1,7 @@
 """Event log, cycles, notifications, repairs and the text branch of unified search."""
 
 import datetime
+import json
 import time
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenderspark.functions.text import near_prefix
 from tenderspark.operators import profiles, repairs, search
-from tenderspark.streaming import journal
+from tenderspark.streaming import ingest, journal
 
 NOW = datetime.datetime(2026, 1, 2, 3, 4, 5)
 
@@ -104,3 +105,30 @@ def test_sources_are_ordered_and_written_as_text(spark):
     h = spark.createDataFrame([("crz", 12, 3, NOW, False), ("uvo", 0, 0, None, True)], "source string, notices bigint, last_24h bigint, last_ingested timestamp_ntz, stale boolean")
     lines = {r.source: r.line for r in profiles.report_text(h).collect()}
     assert "12 notices" in lines["crz"] and lines["uvo"].endswith("never STALE")
+
+
+def test_store_tables(spark, tmp_path):
+    """Registry, entities, edges, reports: those of a plain model; a batch that runs again changes nothing; a batch
+    rewrites no bucket that its keys do not touch; replaced parts go."""
+    def entry(source, sid, value, ico, name, awards, seq):
+        awards = [{"ico": i, "name": x, "value": v} for i, x, v in awards]
+        body = {"source": source, "source_id": sid, "notice_type": "contract_award", "status": "awarded", "title": "t", "final_value": value, "publication_date": "2024-01-02", "procurer": {"ico": ico, "name": name}, "awards": awards}
+        return json.dumps(body), f"h{sid}{value}", "run", seq
+
+    one = [entry("crz", str(i), 1.0, "P1", "Town", [("S1", "Firm", 5.0), ("S1", "Firm", 7.0), (None, "No Number", None)], i) for i in range(40)] + [("{", "x", "run", 99)]
+    two = [entry("ted", "1", 1.0, "P1", "Town Hall", [], 1), entry("crz", "2", 2.0, "P1", "Town Hall", [("S2", "Other", 9.0), ("S1", "Firm", 8.0)], 2), entry("crz", "3", 1.0, None, "", [], 3)]
+    store = ingest.NoticeStore(spark, str(tmp_path), buckets=8)
+    now = F.lit(NOW).cast("timestamp_ntz")
+    for n, rows in enumerate((one, two, two, two)):
+        df = spark.createDataFrame(rows, ingest.ENTRY)
+        for _ in range(2 if n == 1 else 1):
+            store.write(df, n, now, 2026)
+    assert [tuple(r) for r in store.reports().orderBy("v").select("v", "inserted", "updated", "skipped", "errors").collect()] == [(0, 40, 0, 0, 1), (1, 1, 1, 1, 0), (2, 0, 0, 3, 0), (3, 0, 0, 3, 0)]
+    assert store.notices().count() == 41 and store.dead().count() == 1
+    skips = {(r.source, r.source_id): r.skipped_count for r in store.read("registry").collect()}
+    assert len(skips) == 41 and skips["ted", "1"] == 2 and skips["crz", "2"] == 2 and skips["crz", "3"] == 3 and skips["crz", "7"] == 0
+    assert {(r.entity, r.name, tuple(r.sources)) for r in store.read("entities").collect()} == {("ico:P1", "Town Hall", ("crz", "ted")), ("ico:S1", "Firm", ("crz",)), ("ico:S2", "Other", ("crz",)), ("slug:no-number", "No Number", ("crz",))}
+    edges = {(r.source, r.source_id, r.org, r.type): r.value for r in store.read("edges").collect()}
+    assert len(edges) == 40 * 3 + 2 and edges["crz", "2", "ico:S1", "supplier"] == 5.0 and edges["crz", "2", "ico:S2", "supplier"] == 9.0 and edges["ted", "1", "ico:P1", "procurer"] is None
+    parts = store.tables["notices"].parts()
+    assert len(parts) == 8 and sum(v == [0] for v in parts.values()) >= 5 and all(v in ([0], [2, 3]) for v in parts.values())
