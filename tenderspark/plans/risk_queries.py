@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash, slugify
 from ..operators import graph, resolve, risk, upsert
 from ..sources.binding import award_rows, notices, table
+from . import resolution_sql as sql
 from .registry import query
 from .spend_queries import ICO
 
@@ -95,7 +96,7 @@ def dedup_pass1(spark, sf_dir):
     return m.withColumns({"notice_ids": F.array_join("notice_ids", ","), "sources": F.array_join("sources", ",")})
 
 
-@query()
+@query(f", w AS ({sql.ALL}) SELECT * FROM ({sql.second_pass('w')})")
 def dedup_pass2(spark, sf_dir):
     return resolve.pass_two(_resolution_input(spark, sf_dir))
 
@@ -107,18 +108,28 @@ def _window(spark, sf_dir):
     return resolve.recent(_resolution_input(spark, sf_dir).where(F.col("ingested_at") < F.lit(WINDOW_END).cast("timestamp_ntz")), F.lit(WINDOW_END).cast("timestamp_ntz"))
 
 
-@query()
+WINDOW = f", w AS ({sql.window(WINDOW_END)})"
+
+
+@query(f"{WINDOW} SELECT * FROM ({sql.third_pass('w')})")
 def dedup_pass3(spark, sf_dir):
     return resolve.pass_three(_window(spark, sf_dir), award_rows(spark, sf_dir, False))
 
 
-@query()
+@query(
+    f"""{WINDOW}, p1 AS ({sql.first_pass('w')}), w1 AS ({sql.stamped('w', 'p1')}), p2 AS ({sql.second_pass('w1')}), w2 AS ({sql.stamped('w1', 'p2')}),
+    p3 AS ({sql.third_pass('w2')}), w3 AS ({sql.stamped('w2', 'p3')}) SELECT notice_id, source, CAST(canonical AS VARCHAR) AS canonical_id FROM w3"""
+)
 def dedup_all(spark, sf_dir):
     stamped, _ = resolve.resolve(_window(spark, sf_dir), award_rows(spark, sf_dir, False))
     return stamped.select("notice_id", "source", "canonical_id")
 
 
-@query()
+@query(
+    f"""{WINDOW}, p3 AS ({sql.third_pass('w')}), s AS ({sql.suppliers('w')})
+    SELECT (SELECT count(*) FROM (SELECT DISTINCT canonical, pass_key FROM p3)) AS groups, (SELECT count(DISTINCT notice_id) FROM p3) AS notices,
+    (SELECT count(*) FROM (SELECT supplier_ico FROM s GROUP BY 1 HAVING count(*) > 20)) AS skipped_icos"""
+)
 def dedup_preview(spark, sf_dir):
     return resolve.preview(_window(spark, sf_dir), award_rows(spark, sf_dir, False))
 

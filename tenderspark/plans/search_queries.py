@@ -191,7 +191,13 @@ def latest_run(spark, sf_dir):
     return health.latest_run(notices(spark, sf_dir).withColumn("pipeline_run_id", F.concat(F.lit("run-"), F.year("ingested_at").cast("string"))))
 
 
-@query()
+#: A notice as JSON without its null fields, as Spark writes it.
+AS_JSON = """json_merge_patch('{}', json_object('notice_id', notice_id, 'source', source, 'source_id', source_id, 'notice_type', notice_type, 'status', status,
+    'procurer_ico', procurer_ico, 'final_value', final_value, 'estimated_value', estimated_value, 'publication_date', CAST(publication_date AS VARCHAR),
+    'award_date', CAST(award_date AS VARCHAR), 'procedure_type', procedure_type, 'ingested_at', strftime(ingested_at, '%Y-%m-%dT%H:%M:%S.%g')))"""
+
+
+@query(f"SELECT source, CAST(sum(strlen(CAST({AS_JSON} AS VARCHAR))) AS BIGINT) AS bytes FROM n GROUP BY 1")
 def bytes_by_source(spark, sf_dir):
     return health.bytes_by_source(notices(spark, sf_dir))
 
