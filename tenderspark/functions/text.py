@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -10,18 +11,73 @@ from pyspark.sql import functions as F
 
 from .columns import col
 
-#: Accented letters and the plain ones they fold to, in pairs; fixed values.
-ACCENTED = "áäčďéěëíĺľňńóôöőŕřšśťúůüűýžźàâãåæçèêìîïðñòõøùûþÿłąęćżğış"
-PLAIN = "aacdeeeillnnoooorrsstuuuuyzzaaaaaceeiiidnooouutylaeczgis"
+#: Latin letters that are no letter with a mark, and what they fold to; fixed values.
+LETTERS = {"ß": "ss", "æ": "ae", "ð": "d", "ø": "o", "þ": "th", "đ": "d", "ħ": "h", "ı": "i", "ĸ": "k", "ł": "l", "ŋ": "ng", "œ": "oe", "ŧ": "t"}
+
+#: Cyrillic and Greek letters in Latin ones, and signs as words; fixed values.
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n",
+    "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch",
+    "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "ђ": "dj", "є": "ie", "ѕ": "dz", "і": "i", "ј": "j", "љ": "lj", "њ": "nj",
+    "ћ": "tsh", "џ": "dzh",
+}
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n",
+    "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+SIGNS = {"€": "eur", "§": "ss", "°": "deg", "™": "tm", "‘": "", "’": ""}
+#: Cyrillic letters with a mark that do not fold to the letter alone; fixed values.
+MARKED = {"ё": "io", "ї": "yi", "ѐ": "ie", "ѓ": "gj", "ќ": "kj"}
+
+#: Blocks whose letters fold to what is left of them without marks: Latin and its extensions, Greek, Cyrillic, further
+#: Latin and Greek, ligatures, Roman numerals, and wide forms.
+BLOCKS = ((0xAA, 0x250), (0x370, 0x460), (0x1E00, 0x2000), (0x2070, 0x20A0), (0x2150, 0x2190), (0xFB00, 0xFB07), (0xFF10, 0xFF5B))
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _unmarked() -> dict[str, str]:
+    """Lower-case letters of the blocks with their bare forms, by compatibility decomposition."""
+    out = dict(LETTERS)
+    for c in (chr(i) for first, end in BLOCKS for i in range(first, end)):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+        bare = "".join(LETTERS.get(x, x) for x in bare)
+        if c == c.lower() and c not in LETTERS and bare != c and bare.isalnum():
+            out[c] = bare
+    return out
+
+
+FOLDED = _unmarked()
+
+
+def _put(c: Column, table: dict[str, str], dropped: str = "") -> Column:
+    """Replace letters: all that have one for one in a single pass, then the others."""
+    ones = {k: v for k, v in table.items() if len(v) == 1}
+    out = F.translate(c, "".join(ones) + dropped, "".join(ones.values()))
+    for k, v in table.items():
+        if k not in ones:
+            out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
+def _beyond_ascii(c: Column) -> Column:
+    """Plain texts skip the replacements."""
+    return c.rlike(r"[^\x00-\x7F]")
 
 
 def fold(c: Column | str) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(col(c)), ACCENTED, PLAIN)
+    """Lower case without marks: any Latin, Greek or Cyrillic letter becomes its bare form."""
+    low = F.lower(col(c))
+    return F.when(_beyond_ascii(low), _put(low, FOLDED, MARKS)).otherwise(low)
 
 
 def slugify(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", "-"), F.lit("-"))
+    """Latin letters and digits with hyphens between: marks go, Greek and Cyrillic are transliterated, the commas within
+    numbers and curly quotes are left out, and common entities are blanks. Other scripts become hyphens."""
+    low = F.lower(col(c))
+    latin = _put(_put(_put(low, MARKED), FOLDED, MARKS), CYRILLIC | GREEK | SIGNS)
+    plain = F.when(_beyond_ascii(low), latin).otherwise(low)
+    plain = F.regexp_replace(F.regexp_replace(plain, "&(?:amp|lt|gt|quot|nbsp);", " "), r"(?<=\d),(?=\d)", "")
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def tokens(c: Column | str) -> Column:
@@ -57,7 +113,7 @@ def classify(query: str | None) -> str:
 
 
 def _fold_text(q: str) -> str:
-    return q.lower().translate(str.maketrans(ACCENTED, PLAIN))
+    return q.lower().translate(str.maketrans(FOLDED | dict.fromkeys(MARKS, "")))
 
 
 def phrase(field: Column | str, query: str) -> Column:

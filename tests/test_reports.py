@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tenderspark.functions import text
 from tenderspark.functions.text import near_prefix
 from tenderspark.operators import profiles, repairs, search
 from tenderspark.streaming import ingest, journal
@@ -132,3 +133,15 @@ def test_store_tables(spark, tmp_path):
     assert len(edges) == 40 * 3 + 2 and edges["crz", "2", "ico:S1", "supplier"] == 5.0 and edges["crz", "2", "ico:S2", "supplier"] == 9.0 and edges["ted", "1", "ico:P1", "procurer"] is None
     parts = store.tables["notices"].parts()
     assert len(parts) == 8 and sum(v == [0] for v in parts.values()) >= 5 and all(v in ([0], [2, 3]) for v in parts.values())
+
+
+def test_folding_and_slugs(spark):
+    cases = {
+        "Žltý KÔŇ": ("zlty kon", "zlty-kon"), "Z\u030cilina": ("zilina", "zilina"), "Straße Ærø Þór": ("strasse aero thor", "strasse-aero-thor"), "Ệ Ǆ ﬁ Ⅷ": ("e dz fi viii", "e-dz-fi-viii"),
+        "Объект Щука йод": ("объект щука иод", "ob-ekt-shchuka-iod"), "Ёлка": ("елка", "iolka"), "Αθήνα": ("αθηνα", "athena"), "10,500 € & O’Neil": ("10,500 € & o’neil", "10500-eur-oneil"),
+        "A &amp; B": ("a &amp; b", "a-b"), "İstanbul": ("istanbul", "istanbul"), "漢字": ("漢字", ""), "": ("", ""), None: (None, None),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r.t: (r.f, r.s) for r in df.select("t", text.fold("t").alias("f"), text.slugify("t").alias("s")).collect()}
+    assert got == cases
+    assert all(text._fold_text(k) == f for k, (f, _) in cases.items() if k)
