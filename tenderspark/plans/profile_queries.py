@@ -116,7 +116,7 @@ def _sizes(spark, sf_dir):
 )
 def health_report(spark, sf_dir):
     n = notices(spark, sf_dir)
-    now = F.lit(n.agg(F.max("ingested_at")).first()[0]).cast("timestamp_ntz")
+    now = n.agg(F.max("ingested_at").cast("timestamp_ntz").alias("now")).scalar()
     return profiles.health_report(n, registry(spark, sf_dir), _sizes(spark, sf_dir), now, SOURCES).select("source", "notices", "stale", "entries", "skips", "bytes")
 
 

@@ -140,7 +140,8 @@ def vector_merge(spark, sf_dir):
 
 
 def _now(df, column):
-    return F.lit(df.agg(F.max(column)).first()[0]).cast("timestamp_ntz")
+    """The latest time, as a scalar subquery of the plan."""
+    return df.agg(F.max(column).cast("timestamp_ntz").alias("now")).scalar()
 
 
 @query(
