@@ -6,7 +6,8 @@ bounded cache in each Python worker holds their ids, and the library sees every
 looked up by hashes, and their bytes are compared with those found. Texts of any length go through in blocks. The cuts
 suit one splitting pattern, so a tokenizer that splits by another is refused.
 
-Defined cases: a null text counts as empty and has no ids; special tokens' strings in a text are ordinary text;
+Defined cases: a null text counts as empty and has no ids; special tokens' strings in a text are ordinary text, unless
+`specials` asks for the tokens;
 repeated rows are encoded each by itself; an empty table gives an empty result. Columns of the input other than the
 two named ones are ignored, so their names cannot clash.
 """
@@ -72,8 +73,9 @@ def tokenizer_from_ranks(path: str, pattern: str) -> Tokenizer:
     return tokenizer
 
 
-def load_tokenizer(path: str, pattern: str | None = None) -> Tokenizer:
-    """From a tokenizers JSON file, or from a rank file and its splitting pattern."""
+def load_tokenizer(path: str, pattern: str | None = None, specials: bool = False) -> Tokenizer:
+    """From a tokenizers JSON file, or from a rank file and its splitting pattern; with `specials`, the strings of special
+    tokens in a text are encoded as these tokens, as the library does by default."""
     if path.endswith(".tiktoken"):
         if pattern not in (None, public_tokenizers.PATTERN):
             raise ValueError(f"texts are not cut for the pattern {pattern}")
@@ -83,7 +85,7 @@ def load_tokenizer(path: str, pattern: str | None = None) -> Tokenizer:
     splits = parts["pre_tokenizer"] or {}
     if parts["normalizer"] or splits.get("type") != "ByteLevel" or splits.get("add_prefix_space") or not splits.get("use_regex"):
         raise ValueError(f"{path}: texts are cut for a byte-level tokenizer with the usual pattern only")
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not specials
     return tokenizer
 
 
@@ -157,8 +159,8 @@ class Encoder:
     """Ids of whole texts, with a cache of pieces that is bounded in entries and ids. A piece is looked up by its hash and
     taken only if its bytes are the cached ones; another piece with the same hash goes on to a next hash."""
 
-    def __init__(self, path: str, pattern: str | None = None, entries: int = 800_000, ids: int = 8_000_000):
-        self.tokenizer = load_tokenizer(path, pattern)
+    def __init__(self, path: str, pattern: str | None = None, specials: bool = False, entries: int = 800_000, ids: int = 8_000_000):
+        self.tokenizer = load_tokenizer(path, pattern, specials)
         self.bytes = ByteTable(self.tokenizer)
         self.entries, self.most_ids = entries, ids
         self._forget()
@@ -311,11 +313,12 @@ class ByteTable:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def worker_encoder(path: str, pattern: str | None = None) -> Encoder:
+def worker_encoder(path: str, pattern: str | None = None, specials: bool = False) -> Encoder:
     """One encoder for each Python worker, which keeps its cache from task to task."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    key = (path, pattern, specials)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,8 +6,9 @@ by falling length, which is falling cost, and each goes to the sequence of lowes
 b * length**2 over its pieces, that still has room. A pool has the least number of sequences that can hold it, so a
 piece that fits nowhere whole is cut over the cheapest sequences with room: padding stays under one sequence a pool.
 
-Defined cases: a null or empty text is the single end id; repeated rows are documents of their own, with the same
-doc_id; ties in length keep the order of rows, ties in cost take the first sequence; a null doc_id stays null; an empty
+Defined cases: a null or empty text is the single end id; special tokens' strings in a text are encoded as the library
+does by default; a very long text is tokenised in blocks and fills sequences of its own but for its last ids; repeated
+rows are documents of their own, with the same doc_id; ties in length keep the order of rows, ties in cost take the first sequence; a null doc_id stays null; an empty
 table gives an empty result. Only doc_id and text are read, so other columns' names cannot clash. Sequence ids are the
 partition's number and a counter, the same when a lost task runs again.
 """
@@ -111,7 +112,7 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capaci
     """One row per piece: where it stands in its document and in its sequence; with `keep_ids`, the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer)
+        encoder = worker_encoder(tokenizer, specials=True)
         packer = _Pool(TaskContext.get().partitionId(), capacity, pool, linear, quadratic, keep_ids)
         end = np.array([end_id], "<u4")
         for batch in batches:
