@@ -96,9 +96,41 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
+#: Gains of buckets, weights of documents, noise, and ranks of the drawn ones; CRC-32 once for each distinct word.
+RESAMPLED = rf"""
+WITH worded AS (
+  SELECT row_number() OVER () AS r, doc_id::BIGINT AS doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), own AS (SELECT r, unnest(w) AS f FROM worded), wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark
+), hashed AS (
+  SELECT f, (xor(list_reduce([4294967295::UBIGINT] || list_transform(
+      string_split(regexp_replace(hex(encode(f)), '(.)(.)', '\2\1', 'g'), ''), lambda x: strpos('123456789ABCDEF', x)::UBIGINT),
+    lambda c, n: xor(xor(c, n) >> 4, list_extract({_nibble_table()}, (xor(c, n) & 15)::INT + 1)::UBIGINT)), 4294967295) % 10000)::INT AS bucket
+  FROM (SELECT f FROM own UNION SELECT f FROM wanted)
+), s AS (SELECT bucket, count(*) AS n FROM own JOIN hashed USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM wanted JOIN hashed USING (f) GROUP BY bucket), gains AS (
+  SELECT b AS bucket, floor(1000.0::DOUBLE * ln((coalesce(t.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM s)::DOUBLE + 10000)
+    / ((coalesce(s.n, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM t)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM range(10000) b(b) LEFT JOIN s ON s.bucket = b LEFT JOIN t ON t.bucket = b
+), summed AS (
+  SELECT r, count(*) AS n, sum(gain)::BIGINT AS weight FROM own JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY r
+), scored AS (
+  SELECT r, doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, coalesce(weight, 0)::BIGINT
+    + floor(-1000.0::DOUBLE * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT::DOUBLE + 0.5)
+    / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM worded LEFT JOIN summed USING (r)
+), ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS k FROM scored WHERE n_features >= 20)
+SELECT c.doc_id, c.n_features, c.weight, c.score,
+  CASE WHEN k <= (SELECT count(*) * 10 // 100 FROM ranked) THEN k END::BIGINT AS rank
+FROM scored c LEFT JOIN ranked USING (r)
+"""
+
 ORACLE_SQL = {
     "op2_embedding_dedup": EMBEDDING_LINKS,
     "op3_minhash_dedup": NEAR_COPIES,
     "op4_sharding": SHARDS,
     "op9_chat_formatting": CHATS,
+    "op13_importance_resampling": RESAMPLED,
 }
