@@ -9,9 +9,17 @@ from pyspark.sql.window import Window
 from ..functions.columns import clamp_date, human_age
 
 STALE_DAYS = 14
-#: Seconds without an event after which a kind of worker is stale; fixed values.
-STALE_SECONDS = {"extractor": 7200, "ingestor": 600, "dedup": 7200}
-SUCCESS = ("cycle_done", "batch_written")
+#: Kinds of events and levels in the log, components with the seconds after which each is stale, events that are failures
+#: whatever their level, and those that count as success; fixed values.
+EVENTS = (
+    "worker_started", "worker_stopped", "cycle_complete", "cycle_failed", "batch_written", "decode_failed", "write_failed",
+    "redis_connect_failed", "notice_invalid_date", "validation_summary", "index_bootstrap_failed",
+)
+LEVELS = ("info", "warning", "error", "critical")
+STALE_SECONDS = {"extractor:vestnik": 7200, "extractor:crz": 7200, "extractor:ted": 7200, "extractor:itms": 7200, "ingestor": 600, "dedup-worker": 600}
+COMPONENTS = tuple(STALE_SECONDS)
+FAILURES = ("cycle_failed", "write_failed", "redis_connect_failed")
+SUCCESS = ("cycle_complete", "batch_written")
 #: Colours of drift between registry and notices.
 DRIFT_BANDS = (100, 1000)
 
@@ -88,15 +96,21 @@ def last_events(log: DataFrame) -> DataFrame:
     return last.select("component", "l.*")
 
 
-def worker_status(log: DataFrame, now: Column, components: tuple[str, ...]) -> DataFrame:
-    """error over stopped over stale over healthy, unknown without an event; and successes in the last day."""
-    threshold = F.create_map(*[F.lit(x) for pair in STALE_SECONDS.items() for x in pair])
+def status_of(event: Column, level: Column, age: Column, component: Column) -> Column:
+    """What a component's last event says: error over stopped over stale over healthy, unknown without an event."""
+    limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in STALE_SECONDS.items() for x in pair]), component), F.lit(7200))
+    failed = event.isin(*FAILURES) | level.isin("error", "critical")
+    return F.when(event.isNull(), "unknown").when(failed, "error").when(event == "worker_stopped", "stopped").when(age > limit, "stale").otherwise("healthy")
+
+
+def worker_status(log: DataFrame, now: Column, components: tuple[str, ...] = COMPONENTS) -> DataFrame:
+    """The status of each component by its last event, and its successes in the last day."""
     recent = log.where((F.col("ts") >= now - F.make_dt_interval(F.lit(1))) & F.col("event").isin(*SUCCESS)).groupBy("component").agg(F.count(F.lit(1)).alias("successes"))
     known = log.sparkSession.createDataFrame([(c,) for c in components], "component string")
     age = seconds_between(now, F.col("ts"))
-    limit = F.coalesce(F.try_element_at(threshold, F.split_part("component", F.lit(":"), F.lit(1))), F.lit(7200))
-    status = F.when(F.col("event").isNull(), "unknown").when(F.col("level") == "error", "error").when(F.col("event") == "stopped", "stopped").when(age > limit, "stale").otherwise("healthy")
-    return known.join(last_events(log), "component", "left").join(recent, "component", "left").select("component", status.alias("status"), F.col("event").alias("last_event"), F.col("ts").alias("last_ts"), F.coalesce("successes", F.lit(0)).alias("successes_24h"))
+    status = status_of(F.col("event"), F.col("level"), age, F.col("component"))
+    told = known.join(last_events(log.where(F.col("component").isin(*components))), "component", "left").join(recent, "component", "left")
+    return told.select("component", status.alias("status"), F.col("event").alias("last_event"), F.col("ts").alias("last_ts"), F.coalesce("successes", F.lit(0)).alias("successes_24h"))
 
 
 def rate_windows(requests: DataFrame, key: str, ts: str = "ts", limit: int = 30) -> DataFrame:

@@ -208,18 +208,19 @@ def log_page(spark, sf_dir):
     return health.log_page(event_log(spark, sf_dir), level="error", source="ted", offset=10).select("event_id", "ts", "level", "event", "component", "source", "total_rows")
 
 
-COMPONENTS = ("extractor:crz", "extractor:itms", "extractor:ted", "extractor:vestnik", "ingestor", "dedup")
+COMPONENTS = health.COMPONENTS
 
 
 @query(
     f""", t AS (SELECT max(ts) AS now FROM log), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY ts DESC, event_id DESC) AS rn FROM log) WHERE rn = 1),
-    r AS (SELECT component, count(*) AS s FROM log, t WHERE ts >= now - INTERVAL 1 DAY AND event IN ('cycle_done', 'batch_written') GROUP BY 1)
-    SELECT k.component, CASE WHEN l.event IS NULL THEN 'unknown' WHEN level = 'error' THEN 'error' WHEN l.event = 'stopped' THEN 'stopped' WHEN epoch(now - l.ts) > CASE WHEN k.component = 'ingestor' THEN 600 ELSE 7200 END THEN 'stale' ELSE 'healthy' END AS status,
+    r AS (SELECT component, count(*) AS s FROM log, t WHERE ts >= now - INTERVAL 1 DAY AND event IN ('cycle_complete', 'batch_written') GROUP BY 1)
+    SELECT k.component, CASE WHEN l.event IS NULL THEN 'unknown' WHEN level IN ('error', 'critical') OR l.event IN ('cycle_failed', 'write_failed', 'redis_connect_failed') THEN 'error'
+    WHEN l.event = 'worker_stopped' THEN 'stopped' WHEN epoch(now - l.ts) > CASE WHEN k.component IN ('ingestor', 'dedup-worker') THEN 600 ELSE 7200 END THEN 'stale' ELSE 'healthy' END AS status,
     l.event AS last_event, l.ts AS last_ts, coalesce(r.s, 0) AS successes_24h FROM (VALUES {', '.join(f"('{c}')" for c in COMPONENTS)}) AS k(component) LEFT JOIN l ON l.component = k.component LEFT JOIN r ON r.component = k.component CROSS JOIN t"""
 )
 def worker_status(spark, sf_dir):
     log = event_log(spark, sf_dir)
-    return health.worker_status(log, _now(log, "ts"), COMPONENTS)
+    return health.worker_status(log, _now(log, "ts"))
 
 
 @query("SELECT user_id AS key, date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > 1 AS limited FROM log GROUP BY 1, 2")

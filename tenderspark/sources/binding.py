@@ -74,13 +74,13 @@ def notices(spark: SparkSession, sf_dir: str, cpv: bool = False, names: bool = F
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream as an ingestion log: event types by kind, one component for each of five users' remainders."""
-    name = {"view": "cycle_start", "click": "cycle_done", "signup": "batch_written", "purchase": "dedup_done", "error": "cycle_error"}
+    name = {"view": "worker_started", "click": "cycle_complete", "signup": "batch_written", "purchase": "worker_stopped", "error": "cycle_failed"}
     names = F.create_map(*[F.lit(x) for pair in name.items() for x in pair])
-    components = F.array(*map(F.lit, ("extractor:crz", "extractor:itms", "extractor:ted", "ingestor", "dedup")))
+    components = F.array(*map(F.lit, ("extractor:crz", "extractor:itms", "extractor:ted", "ingestor", "dedup-worker")))
     return table(spark, sf_dir, "events").select(
         F.col("event_id"),
         "ts",
-        F.when(F.col("event_type") == "error", "error").otherwise("info").alias("level"),
+        F.when(F.col("event_type") != "error", "info").when(F.col("event_id") % 3 == 0, "critical").when(F.col("event_id") % 3 == 1, "error").otherwise("warning").alias("level"),
         F.try_element_at(names, F.col("event_type")).alias("event"),
         F.element_at(components, (F.col("user_id") % 5 + 1).cast("int")).alias("component"),
         F.element_at(F.array(*map(F.lit, ("vestnik", "crz", "ted", "itms"))), (F.col("event_id") % 4 + 1).cast("int")).alias("source"),
@@ -117,9 +117,10 @@ n AS (SELECT o_orderkey AS notice_id, CASE o_orderkey % 4 WHEN 0 THEN 'vestnik'
   FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN c ON c.notice_id = o_orderkey),
 v AS (SELECT *, CAST(coalesce(final_value, 0) AS DECIMAL(18,2)) AS fin, CAST(coalesce(final_value, estimated_value, 0) AS DECIMAL(18,2)) AS val,
   coalesce(award_date, publication_date) AS d, coalesce(substr(CAST(coalesce(award_date, publication_date) AS VARCHAR), 1, 4), '0000') AS year FROM n),
-log AS (SELECT event_id, ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level,
-  CASE event_type WHEN 'view' THEN 'cycle_start' WHEN 'click' THEN 'cycle_done' WHEN 'signup' THEN 'batch_written' WHEN 'purchase' THEN 'dedup_done' WHEN 'error' THEN 'cycle_error' END AS event,
-  CASE user_id % 5 WHEN 0 THEN 'extractor:crz' WHEN 1 THEN 'extractor:itms' WHEN 2 THEN 'extractor:ted' WHEN 3 THEN 'ingestor' ELSE 'dedup' END AS component,
+log AS (SELECT event_id, ts, CASE WHEN event_type <> 'error' THEN 'info' WHEN event_id % 3 = 0 THEN 'critical' WHEN event_id % 3 = 1 THEN 'error' ELSE 'warning' END AS level,
+  CASE event_type WHEN 'view' THEN 'worker_started' WHEN 'click' THEN 'cycle_complete' WHEN 'signup' THEN 'batch_written' WHEN 'purchase' THEN 'worker_stopped'
+  WHEN 'error' THEN 'cycle_failed' END AS event,
+  CASE user_id % 5 WHEN 0 THEN 'extractor:crz' WHEN 1 THEN 'extractor:itms' WHEN 2 THEN 'extractor:ted' WHEN 3 THEN 'ingestor' ELSE 'dedup-worker' END AS component,
   CASE event_id % 4 WHEN 0 THEN 'vestnik' WHEN 1 THEN 'crz' WHEN 2 THEN 'ted' ELSE 'itms' END AS source, value, user_id FROM events),
 reg AS (SELECT source, source_id, ingested_at AS last_seen_at, notice_id % 3 AS skipped_count FROM n WHERE notice_id % 5 <> 0)
 """

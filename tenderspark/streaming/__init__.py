@@ -1 +1 @@
-"""Structured Streaming: ingest loop and resolution schedule."""
+"""Structured Streaming: ingest loop, event log and resolution cycle."""

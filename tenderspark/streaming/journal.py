@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import logging
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,21 +13,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators import company, resolve
+from ..operators.health import EVENTS, LEVELS
 
-#: Kinds of events; fixed values.
-EVENTS = ("cycle_start", "cycle_done", "cycle_error", "batch_written", "entry_poisoned", "date_clamped", "dedup_start", "dedup_done", "dedup_error", "started", "stopped")
-LOG = "ts timestamp_ntz, level string, event string, component string, source string, source_id string, instance_id string, run string, message string, details string"
+LOG = (
+    "event_id string, ts timestamp_ntz, level string, event string, component string, source string, source_id string, "
+    "instance_id string, pipeline_run_id string, message string, details string"
+)
+_TEXTS = ("source", "source_id", "instance_id", "pipeline_run_id")
 
 
 def append_events(spark: SparkSession, folder: str, events: Iterable[dict]) -> bool:
     """Append a worker's few events to the log, a folder of Parquet. A log that cannot be written never stops its worker:
-    the failure is noted and False comes back. An unknown kind of event is a mistake of the caller and raises."""
+    the failure is noted and False comes back. An unknown kind of event or level is a mistake of the caller and raises."""
     rows = []
     for e in events:
         if e["event"] not in EVENTS:
             raise ValueError(f"no such event: {e['event']}")
+        if e.get("level", "info") not in LEVELS:
+            raise ValueError(f"no such level: {e['level']}")
         details = json.dumps(e["details"], ensure_ascii=False, sort_keys=True) if e.get("details") is not None else None
-        rows.append((e["ts"], e.get("level", "info"), e["event"], e["component"], *(e.get(c) for c in ("source", "source_id", "instance_id", "run", "message")), details))
+        known = (uuid.uuid4().hex, e["ts"], e.get("level", "info"), e["event"], e["component"])
+        rows.append((*known, *(e.get(c) for c in _TEXTS), e.get("message"), details))
     try:
         spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(folder)
     except Exception:  # the log must not stop a worker
@@ -38,7 +45,9 @@ def append_events(spark: SparkSession, folder: str, events: Iterable[dict]) -> b
 def append_issues(issues: DataFrame, folder: str, component: str, source: str, now: Column) -> None:
     """Date issues (source_id, field, year, reason) of a batch as events, written where they are found."""
     details = F.to_json(F.struct("field", "year", "reason"))
-    row = {"ts": now, "level": F.lit("warning"), "event": F.lit("date_clamped"), "component": F.lit(component), "source": F.lit(source), "source_id": F.col("source_id"), "instance_id": F.lit(None), "run": F.lit(None), "message": F.lit("date out of range"), "details": details}
+    own = F.md5(F.concat_ws("|", now.cast("string"), F.lit(component), F.lit(source), "source_id", "field").cast("binary"))  # the same if a task runs again
+    row = {"event_id": own, "ts": now, "level": F.lit("warning"), "event": F.lit("notice_invalid_date"), "component": F.lit(component), "source": F.lit(source), "source_id": F.col("source_id")}
+    row |= {"instance_id": F.lit(None), "pipeline_run_id": F.lit(None), "message": F.lit("date out of range"), "details": details}
     issues.select(*[row[c.split()[0]].cast(c.split()[1]).alias(c.split()[0]) for c in LOG.split(", ")]).write.mode("append").parquet(folder)
 
 
@@ -49,14 +58,13 @@ def read_log(spark: SparkSession, folder: str) -> DataFrame:
 def run_cycle(spark: SparkSession, folder: str, component: str, cycle: Callable[[], dict], clock: Callable[[], datetime.datetime]) -> dict | None:
     """Run one cycle and log how it went: its counts with the seconds it took, or its error, which is not passed on."""
     began = clock()
-    append_events(spark, folder, [{"ts": began, "event": "cycle_start", "component": component}])
     try:
         counts = cycle()
     except Exception as e:  # the next cycle is to run
-        append_events(spark, folder, [{"ts": clock(), "level": "error", "event": "cycle_error", "component": component, "message": f"{type(e).__name__}: {e}"[:500]}])
+        append_events(spark, folder, [{"ts": clock(), "level": "error", "event": "cycle_failed", "component": component, "message": f"{type(e).__name__}: {e}"[:500]}])
         return None
     ended = clock()
-    append_events(spark, folder, [{"ts": ended, "event": "cycle_done", "component": component, "details": {**counts, "seconds": (ended - began).total_seconds()}}])
+    append_events(spark, folder, [{"ts": ended, "event": "cycle_complete", "component": component, "details": {**counts, "seconds": (ended - began).total_seconds()}}])
     return counts
 
 

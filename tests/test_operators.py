@@ -14,7 +14,7 @@ from tenderspark.operators import company, graph, health, resolve, risk, search,
 from tenderspark.plans import risk_queries
 from tenderspark.sources import readers, transforms
 from tenderspark.sources.binding import notices
-from tenderspark.streaming import ingest, schedule
+from tenderspark.streaming import ingest
 
 D = datetime.date
 NOTICE = "notice_id bigint, notice_type string, procurer_ico string, procurer_name string, cpv_code string, final_value double, estimated_value double, award_date date, publication_date date, procedure_type string"
@@ -310,16 +310,10 @@ def test_dates_and_ages(spark):
 
 def test_worker_status_order(spark):
     t = datetime.datetime(2024, 1, 2)
-    rows = [(1, t, "error", "cycle_error", "dedup"), (2, t, "info", "stopped", "ingestor"), (3, t - datetime.timedelta(hours=3), "info", "cycle_done", "extractor:crz"), (4, t, "info", "cycle_done", "extractor:ted")]
+    rows = [(1, t, "error", "cycle_failed", "dedup-worker"), (2, t, "info", "worker_stopped", "ingestor"), (3, t - datetime.timedelta(hours=3), "info", "cycle_complete", "extractor:crz"), (4, t, "info", "cycle_complete", "extractor:ted")]
     log = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, level string, event string, component string")
-    got = {r.component: r.status for r in health.worker_status(log, F.lit(t).cast("timestamp_ntz"), ("dedup", "ingestor", "extractor:crz", "extractor:ted", "extractor:itms")).collect()}
-    assert got == {"dedup": "error", "ingestor": "stopped", "extractor:crz": "stale", "extractor:ted": "healthy", "extractor:itms": "unknown"}
-
-
-def test_schedule():
-    assert schedule.next_run(0, [10], 11) == 300 and schedule.next_run(0, [400], 401) == 405 and schedule.next_run(0, [], 10) == 3600
-    assert schedule.next_run(None, [7], 8) == 12 and schedule.lock_expired(0, 10, 21)
-    assert schedule.take_tokens(0, 0, 0.5, 1, 5) == (0.0, 0.5)
+    got = {r.component: r.status for r in health.worker_status(log, F.lit(t).cast("timestamp_ntz"), ("dedup-worker", "ingestor", "extractor:crz", "extractor:ted", "extractor:itms")).collect()}
+    assert got == {"dedup-worker": "error", "ingestor": "stopped", "extractor:crz": "stale", "extractor:ted": "healthy", "extractor:itms": "unknown"}
 
 
 def test_stream_restart_poison_and_duplicates(spark, tmp_path):
