@@ -112,26 +112,39 @@ def classify(query: str | None) -> str:
     return "wildcard" if at >= 3 else "compound"
 
 
-def _fold_text(q: str) -> str:
+def fold_text(q: str) -> str:
+    """What `fold` makes of a query."""
     return q.lower().translate(str.maketrans(FOLDED | dict.fromkeys(MARKS, "")))
 
 
+def query_words(query: str) -> list[str]:
+    return re.findall(r"[^\W_]+", fold_text(query))
+
+
 def phrase(field: Column | str, query: str) -> Column:
-    words = " ".join(re.findall(r"[^\W_]+", _fold_text(query)))
+    words = " ".join(query_words(query))
     return F.concat(F.lit(" "), F.array_join(tokens(field), " "), F.lit(" ")).contains(f" {words} ")
 
 
+def wildcard_pattern(folded: str) -> str:
+    """The regular expression that a whole token matches."""
+    return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in folded) + "$"
+
+
 def wildcard(field: Column | str, query: str) -> Column:
-    pattern = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in _fold_text(query))
-    return F.exists(tokens(field), lambda t: t.rlike(f"^{pattern}$"))
+    pattern = wildcard_pattern(fold_text(query))
+    return F.exists(tokens(field), lambda t: t.rlike(pattern))
+
+
+def fuzzy_edits(word: str) -> int:
+    return 1 if len(word) < 6 else 2
 
 
 def fuzzy(field: Column | str, query: str) -> Column:
     """Some token of the field is within one edit of some word of the query, two from six characters on."""
-    words = re.findall(r"[^\W_]+", _fold_text(query))
     found = F.lit(False)
-    for w in words:
-        found = found | _within(field, w, 1 if len(w) < 6 else 2)
+    for w in query_words(query):
+        found = found | _within(field, w, fuzzy_edits(w))
     return found
 
 
@@ -140,7 +153,7 @@ def _within(field: Column | str, word: str, edits: int) -> Column:
 
 
 def prefix(field: Column | str, query: str) -> Column:
-    q = _fold_text(query.strip())
+    q = fold_text(query.strip())
     return F.exists(tokens(field), lambda t: t.startswith(q))
 
 
@@ -150,7 +163,7 @@ GRAMS = (2, 15)
 
 def near_prefix(field: Column | str, query: str) -> Column:
     """Each word of the query is within one edit of a beginning of some token; shorter words than a gram have no match."""
-    words = [w[: GRAMS[1]] for w in re.findall(r"[^\W_]+", _fold_text(query))]
+    words = [w[: GRAMS[1]] for w in query_words(query)]
     found = F.lit(bool(words) and min(map(len, words)) >= GRAMS[0])
     for w in words:
         found = found & F.exists(tokens(field), _near_beginning(w))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenderspark.functions import text
 from tenderspark.functions.text import near_prefix
-from tenderspark.operators import profiles, repairs, search
+from tenderspark.operators import health, profiles, repairs, search
 from tenderspark.streaming import ingest, journal
 
 NOW = datetime.datetime(2026, 1, 2, 3, 4, 5)
@@ -17,27 +17,49 @@ NOW = datetime.datetime(2026, 1, 2, 3, 4, 5)
 
 def test_events_are_appended_and_a_broken_log_stops_nothing(spark, tmp_path):
     folder = str(tmp_path / "log")
-    assert journal.append_events(spark, folder, [{"ts": NOW, "event": "started", "component": "ingestor"}])
+    assert journal.append_events(spark, folder, [{"ts": NOW, "event": "worker_started", "component": "ingestor"}])
     assert journal.append_events(spark, folder, [{"ts": NOW, "event": "batch_written", "component": "ingestor", "details": {"rows": 3}}])
-    assert [(r.event, r.level, r.details) for r in journal.read_log(spark, folder).orderBy("event").collect()] == [("batch_written", "info", '{"rows": 3}'), ("started", "info", None)]
+    assert [(r.event, r.level, r.details) for r in journal.read_log(spark, folder).orderBy("event").collect()] == [("batch_written", "info", '{"rows": 3}'), ("worker_started", "info", None)]
     (tmp_path / "file").write_text("no folder")
-    assert not journal.append_events(spark, str(tmp_path / "file"), [{"ts": NOW, "event": "started", "component": "x"}])
+    assert not journal.append_events(spark, str(tmp_path / "file"), [{"ts": NOW, "event": "worker_started", "component": "x"}])
     with pytest.raises(ValueError):
         journal.append_events(spark, folder, [{"ts": NOW, "event": "other", "component": "x"}])
 
 
 def test_cycles_log_their_result_or_their_error(spark, tmp_path):
     folder, clock = str(tmp_path / "log"), iter(NOW + datetime.timedelta(seconds=s) for s in range(9)).__next__
-    assert journal.run_cycle(spark, folder, "dedup", lambda: {"groups": 2}, clock) == {"groups": 2}
-    assert journal.run_cycle(spark, folder, "dedup", lambda: 1 // 0, clock) is None
-    rows = [(r.event, r.level, r.message or r.details) for r in journal.read_log(spark, folder).orderBy("ts").collect()]
-    assert rows == [("cycle_start", "info", None), ("cycle_done", "info", '{"groups": 2, "seconds": 1.0}'), ("cycle_start", "info", None), ("cycle_error", "error", "ZeroDivisionError: integer division or modulo by zero")]
+    assert journal.run_cycle(spark, folder, "dedup-worker", lambda: {"groups": 2}, clock) == {"groups": 2}
+    assert journal.run_cycle(spark, folder, "dedup-worker", lambda: 1 // 0, clock) is None
+    log = journal.read_log(spark, folder)
+    rows = [(r.event, r.level, r.message or r.details) for r in log.orderBy("ts").collect()]
+    assert rows == [("cycle_complete", "info", '{"groups": 2, "seconds": 1.0}'), ("cycle_failed", "error", "ZeroDivisionError: integer division or modulo by zero")]
+    status = {r.component: (r.status, r.successes_24h) for r in health.worker_status(log, F.lit(NOW)).collect()}
+    assert status == {c: ("unknown", 0) for c in health.COMPONENTS} | {"dedup-worker": ("error", 1)}
+    assert health.log_page(log, event="cycle_failed").collect()[0].total_rows == 1
+
+
+def test_status_of_every_kind_of_last_event(spark, tmp_path):
+    """Failures by event or by level, a stop, silence and success, from the log that workers write."""
+    folder, before = str(tmp_path / "log"), lambda s: NOW - datetime.timedelta(seconds=s)
+    last = {
+        "extractor:vestnik": ("write_failed", "warning", 5, "error"),
+        "extractor:crz": ("batch_written", "critical", 5, "error"),
+        "extractor:ted": ("worker_stopped", "info", 9000, "stopped"),
+        "extractor:itms": ("cycle_complete", "info", 7100, "healthy"),
+        "ingestor": ("batch_written", "info", 601, "stale"),
+        "dedup-worker": ("cycle_complete", "info", 599, "healthy"),
+    }
+    for c, (event, level, age, _) in last.items():
+        old = {"ts": before(age + 100_000), "event": "cycle_complete", "component": c}
+        assert journal.append_events(spark, folder, [old, {"ts": before(age), "event": event, "level": level, "component": c, "pipeline_run_id": "r1"}])
+    got = health.worker_status(journal.read_log(spark, folder), F.lit(NOW)).collect()
+    assert {r.component: (r.status, r.successes_24h) for r in got} == {c: (s, int(e in health.SUCCESS)) for c, (e, _, _, s) in last.items()}
 
 
 def test_issues_become_events(spark, tmp_path):
     issues = spark.createDataFrame([("7", "publication_date", 3202, "too_late")], "source_id string, field string, year int, reason string")
     journal.append_issues(issues, str(tmp_path / "log"), "ingestor", "crz", F.lit(NOW))
-    assert [(r.event, r.source_id, r.details) for r in journal.read_log(spark, str(tmp_path / "log")).collect()] == [("date_clamped", "7", '{"field":"publication_date","year":3202,"reason":"too_late"}')]
+    assert [(r.event, r.source_id, r.details) for r in journal.read_log(spark, str(tmp_path / "log")).collect()] == [("notice_invalid_date", "7", '{"field":"publication_date","year":3202,"reason":"too_late"}')]
 
 
 def test_batches_notify_with_their_metrics(spark, tmp_path):
@@ -144,4 +166,4 @@ def test_folding_and_slugs(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     got = {r.t: (r.f, r.s) for r in df.select("t", text.fold("t").alias("f"), text.slugify("t").alias("s")).collect()}
     assert got == cases
-    assert all(text._fold_text(k) == f for k, (f, _) in cases.items() if k)
+    assert all(text.fold_text(k) == f for k, (f, _) in cases.items() if k)
