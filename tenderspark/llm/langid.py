@@ -120,11 +120,10 @@ def count_ngrams(df: DataFrame, lang: Column, text: Column, orders: int, buckets
     return narrow.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def train(df: DataFrame, lang: Column, text: Column, orders: int = 3, buckets: int = 1 << 15, smoothing: float = 0.5, most_bytes: int = 32 << 20) -> Model | None:
-    """Fit on all rows given; the driver gets languages x buckets counts, at most `most_bytes`, and no texts."""
-    languages = sorted(r[0] for r in df.select(lang.cast("string").alias("lang")).where("lang IS NOT NULL").distinct().limit(most_bytes // (8 * 64) + 1).collect())
-    while buckets > 64 and buckets * len(languages) * 8 > most_bytes:
-        buckets //= 2
+def train(df: DataFrame, lang: Column, text: Column, orders: int = 3, buckets: int = 1 << 15, smoothing: float = 0.5, most_bytes: int = 256 << 20) -> Model | None:
+    """Fit on all rows given; the driver gets languages x buckets counts, at most `most_bytes` (1024 languages), and no
+    texts. The number of buckets does not depend on the languages; more of them than that are an error."""
+    languages = sorted(r[0] for r in df.select(lang.cast("string").alias("lang")).where("lang IS NOT NULL").distinct().limit(most_bytes // (8 * buckets) + 1).collect())
     if buckets * len(languages) * 8 > most_bytes:
         raise ValueError(f"more languages than {most_bytes} bytes hold")
     if not languages:

@@ -11,21 +11,24 @@
    over `block_members`, each class is first compared with the list's pivot, its smallest class; then only those that
    did not link with it are compared with all, as blocks of these against blocks of all. So a large group of near copies
    is read about once for a value, not once for each of its blocks. Tasks give out spanning trees, not pairs.
-4. Components of what is left are units. The step before is audited: of `audit` classes, the share of all partners with
-   an estimate over the threshold that came into the same unit. Under `recall` the search runs again with twice the
-   keys; after the last try the query fails.
+4. Components of what is left are units. The step before is audited: of the first of `audits` classes that have at least
+   `audit_links` partners with an estimate over the threshold, or else the last of these numbers, the share of partners
+   that came into the same unit. Under `recall` the search runs again with twice the keys; after the last try the query
+   fails.
 5. The full sets of a unit's classes meet in one task (or, over `block_items`, first with the unit's pivot, then as
    blocks like those above), where exact Jaccard similarities link them. No row is dropped, capped or sampled.
+6. The classes of one document, which has several if rows with different texts share its doc_id, hang together too.
 
 Defined cases: texts that are null, empty or without words have an empty set and link with nothing; with fewer words
-than a shingle has, the whole sequence is the one shingle; rows that share a doc_id count as one document; a row
-without a doc_id links with nothing, has no component and is kept; an empty table gives an empty result; only doc_id
-and text are read, so other columns' names cannot clash. Sets hold 64-bit hashes of whole shingles.
+than a shingle has, the whole sequence is the one shingle; rows that share a doc_id are one document, whatever their
+texts: each has its own set size, all have the document's component and verdict, and a link of any of them is the
+document's; a row without a doc_id links with nothing, has no component and is kept; an empty table gives an empty
+result; only doc_id and text are read, so other columns' names cannot clash. Sets hold 64-bit hashes of whole shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,8 @@ from .components import Forest, connected_components, link_by_hubs
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63))
 
-#: So many document ids are broadcast at most, 8 bytes each, to pick out texts without shuffling them.
-BROADCAST_IDS = 2_000_000
+#: So many classes are broadcast at most, 40 bytes each, to pick out texts without shuffling them.
+BROADCAST_IDS = 500_000
 
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int) -> list[np.ndarray]:
@@ -68,6 +71,13 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield a, b, raw, off[a : b + 1]
 
 
+def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set."""
+    with np.errstate(over="ignore"):
+        one = np.array([np.add.reduce(mix64(s)) for s in sets], np.uint64).view(np.int64)
+        return one, np.array([np.add.reduce(mix64(s ^ _ODD[1])) for s in sets], np.uint64).view(np.int64)
+
+
 def sketches(documents: DataFrame, words: int, k: int) -> DataFrame:
     """(doc_id, n_shingles, sig_a, sig_b, sketch): set size, a 128-bit signature of the set, its k smallest hashes."""
 
@@ -75,9 +85,7 @@ def sketches(documents: DataFrame, words: int, k: int) -> DataFrame:
         for batch in batches:
             for a, b, raw, off in _texts(batch):
                 sets = shingle_sets(raw, off, words)
-                with np.errstate(over="ignore"):
-                    one = np.array([np.add.reduce(mix64(s)) for s in sets], np.uint64).view(np.int64)
-                    two = np.array([np.add.reduce(mix64(s ^ _ODD[1])) for s in sets], np.uint64).view(np.int64)
+                one, two = _signatures(sets)
                 low = [s[:k] for s in sets]
                 flat = np.concatenate(low).view(np.int64) if low else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -89,16 +97,22 @@ def sketches(documents: DataFrame, words: int, k: int) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, words: int) -> DataFrame:
-    """(rep, items): the full set of each document."""
+    """(holder, sig_a, sig_b, items): the full set of each document; of a task's equal documents the first one's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             for a, b, raw, off in _texts(batch):
                 sets = shingle_sets(raw, off, words)
-                flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_array(flat, np.array([len(s) for s in sets], np.int64), pa.int64())], names=["rep", "items"])
+                ids = batch.column(0).slice(a, b - a)
+                named = list(zip(ids.to_pylist(), *(x.tolist() for x in _signatures(sets))))
+                new = [k for k, x in enumerate(named) if x not in seen and not seen.add(x)]
+                if new:
+                    flat = np.concatenate([sets[k] for k in new]).view(np.int64)
+                    one, two = (pa.array([named[k][i] for k in new], pa.int64()) for i in (1, 2))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(new, pa.int64())), one, two, list_array(flat, np.array([len(sets[k]) for k in new], np.int64), pa.int64())], names=["holder", "sig_a", "sig_b", "items"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "rep long, items array<long>")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "holder long, sig_a long, sig_b long, items array<long>")
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
@@ -329,13 +343,13 @@ def candidates(classes: DataFrame, k: int, keys: int, common: int, least: float,
     return found if tied is None else found.unionByName(tied)
 
 
-def audit_candidates(classes: DataFrame, units: DataFrame, k: int, threshold: float, similar: float, most: int) -> float:
+def audit_candidates(classes: DataFrame, units: DataFrame, k: int, threshold: float, similar: float, most: int) -> tuple[int, int]:
     """Of the pairs of `most` classes, chosen by the hash of their ids, with others that an estimate puts over the
-    threshold: the share that is in one unit."""
+    threshold: how many are in one unit, and how many there are."""
     placed = classes.join(units.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n_shingles", "sketch", F.coalesce("component", "rep").alias("unit"))
     asked = placed.orderBy(F.xxhash64("rep"), "rep").limit(most).toArrow()
     if not asked.num_rows:
-        return 1.0
+        return 0, 0
     shared = classes.sparkSession.sparkContext.broadcast((*(asked.column(i).to_numpy() for i in (0, 1, 3)), _padded(asked.column(2), k)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,20 +379,32 @@ def audit_candidates(classes: DataFrame, units: DataFrame, k: int, threshold: fl
         yield pa.RecordBatch.from_arrays([pa.array([got]), pa.array([true])], names=["got", "true"])
 
     row = placed.mapInArrow(run, "got long, true long").agg(F.sum("got").alias("got"), F.sum("true").alias("true")).first()
-    return row["got"] / row["true"] if row["true"] else 1.0
+    return row["got"] or 0, row["true"] or 0
+
+
+def candidate_recall(classes: DataFrame, units: DataFrame, k: int, threshold: float, audits: Sequence[int], links: int) -> float:
+    """The share of audited links that were found; more classes are asked until so many links are met. 1 if none is."""
+    for most in audits:
+        got, true = audit_candidates(classes, units, k, threshold, threshold, most)
+        if true >= links:
+            break
+    return got / true if true else 1.0
 
 
 def exact_links(documents: DataFrame, members: DataFrame, words: int, similar: tuple[int, int], block_items: int) -> DataFrame:
-    """Edges (a, b) that join the members (rep, component) whose sets are similar, for each component."""
+    """Edges (a, b) that join the members (rep, component, holder, sig_a, sig_b, long) whose sets are similar, for each
+    component; a member's set is that of the holder's text with these signatures."""
+
     def sets_of(some: DataFrame) -> DataFrame:
         wanted = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        return full_sets(texts, words).join(wanted.select("rep", F.col("component").alias("unit")), "rep")
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select(F.col("holder").alias("doc_id")), "doc_id", "left_semi")
+        own = wanted.select("rep", F.col("component").alias("unit"), "holder", "sig_a", "sig_b")
+        return full_sets(texts, words).join(own, ["holder", "sig_a", "sig_b"]).drop("holder", "sig_a", "sig_b")
 
     dealt, tied = sets_of(members.where("NOT long")).select("unit", F.lit(0).alias("left"), F.lit(0).alias("right"), "rep", "items", F.lit(False).alias("linked")), None
     if not members.where("long").isEmpty():
         long = materialise(sets_of(members.where("long")).select("unit", "rep", "items"))
-        pivots = long.where("rep = unit").select("unit", F.col("items").alias("of_pivot"))
+        pivots = long.where("rep = unit").dropDuplicates(["unit"]).select("unit", F.col("items").alias("of_pivot"))
         both = F.size(F.array_intersect("items", "of_pivot"))
         union = F.size("items") + F.size("of_pivot") - both
         long = materialise(_salted_join(long, pivots, "unit").select("unit", "rep", "items", (both * similar[1] >= union * similar[0]).alias("linked")))
@@ -389,38 +415,66 @@ def exact_links(documents: DataFrame, members: DataFrame, words: int, similar: t
     return links if tied is None else links.unionByName(tied)
 
 
-def near_duplicates(documents: DataFrame, words: int = 5, similar: tuple[int, int] = (80, 100), k: int = 32, keys: int = 8, common: int = 32, slack: float = 0.45, block_members: int = 1024, block_items: int = 2_000_000, audit: int = 128, recall: float = 0.99, tries: int = 3) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id and whether it is its component's first."""
+def near_duplicates(
+    documents: DataFrame,
+    words: int = 5,
+    similar: tuple[int, int] = (80, 100),
+    k: int = 32,
+    keys: int = 8,
+    common: int = 32,
+    slack: float = 0.45,
+    block_members: int = 1024,
+    block_items: int = 2_000_000,
+    audits: Sequence[int] = (128, 1024, 8192),
+    audit_links: int = 300,
+    recall: float = 0.99,
+    tries: int = 3,
+) -> DataFrame:
+    """One row per row of the documents: doc_id, n_shingles, component_id and whether it is its component's first."""
     threshold = similar[0] / similar[1]
+    signature = ["sig_a", "sig_b", "n_shingles"]
     base = materialise(sketches(documents, words, k))
-    classes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes)
+    worded = "n_shingles > 0 AND doc_id IS NOT NULL"
+    classes = base.where(worded).groupBy(*signature).agg(F.min("doc_id").alias("holder"), F.first("sketch").alias("sketch"))
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()))
     for n in range(tries):
         units = materialise(connected_components(candidates(classes, k, keys << n, common << n, threshold - slack, threshold, block_members)))
-        if (got := audit_candidates(classes, units, k, threshold, threshold, audit)) >= recall:
+        if (got := candidate_recall(classes, units, k, threshold, audits, audit_links)) >= recall:
             break
     else:
         raise RuntimeError(f"recall {got:.3f} of near copies after {tries} tries, {recall} wanted")
 
-    sized = units.withColumnRenamed("node", "rep").join(classes.select("rep", "n_shingles"), "rep")
+    sized = units.withColumnRenamed("node", "rep").join(classes.drop("sketch"), "rep")
     long = sized.groupBy("component").agg((F.sum("n_shingles") > block_items).alias("long"))
-    members = materialise(_salted_join(sized, long, "component", 8).select("rep", "component", "long"))
-    components = materialise(connected_components(exact_links(documents, members, words, similar, block_items))).withColumnRenamed("node", "rep")
+    members = materialise(_salted_join(sized, long, "component", 8).select("rep", "component", "long", "holder", "sig_a", "sig_b"))
+
+    # documents with several texts: their classes hang together
+    own = F.struct(*signature)
+    several = base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high")
+    parts = base.where(worded).select("doc_id", *signature).join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    parts = materialise(parts.join(classes.select(*signature, "rep"), signature).select("doc_id", "rep"))
+    same = _salted_join(parts, parts.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
+
+    links = exact_links(documents, members, words, similar, block_items).unionByName(same)
+    components = materialise(connected_components(links)).withColumnRenamed("node", "rep")
+    placed = classes.drop("sketch").join(components, "rep", "left").withColumn("unit", F.coalesce("component", "rep"))
+    least = placed.groupBy("unit").agg(F.min("holder").alias("component_id"))
+    named = materialise(_salted_join(placed, least, "unit", 8).select(*signature, "rep", "component_id"))
 
-    named = classes.join(components, "rep", "left").select("sig_a", "sig_b", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    good = base.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "sig_a", "sig_b")
     # exact copies of one text meet in one key
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int")
-    spread = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    joined = good.withColumn("_salt", salt).join(spread, ["sig_a", "sig_b", "n_shingles", "_salt"])
-    alone = base.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
-    out = joined.select("doc_id", "n_shingles", "component").unionByName(alone)
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
+    spread = named.drop("rep").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    joined = base.where(worded).select("doc_id", *signature).withColumn("_salt", salt).join(spread, [*signature, "_salt"])
+    of_parts = parts.join(named.select("rep", "component_id"), "rep").select("doc_id", "component_id").distinct()
+    alone = base.where(f"NOT ({worded})").select("doc_id", "n_shingles").join(of_parts, "doc_id", "left")
+    alone = alone.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = joined.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(documents: DataFrame, **options) -> DataFrame:
-    """The documents without those that are not their component's first, with their own columns, whatever their names;
-    rows that repeat a doc_id stay one row each only if their document is kept."""
+    """The documents without those that are not their component's first, with their own columns, whatever their names; all
+    rows of a doc_id stay or go together."""
     gone = near_duplicates(documents, **options).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     whole = documents.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     return whole.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

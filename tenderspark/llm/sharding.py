@@ -4,7 +4,8 @@ For a key and each shard, u in (0, 1) comes from the MD5 of "key/shard" and the
 -weight / ln(u) takes the record. A shard more or less leaves every other score as it was, so one more
 shard takes records only into itself, and a share of weight / sum(weights) of them.
 
-Slots number a shard's rows in two levels: by salts, which are taken from the key and of a fixed number, and within them.
+Slots number a shard's rows in two levels: by salts, which are taken from all columns that order the rows and are of a fixed
+number, and within them; so rows that share a key, or have none, are spread as far as their texts differ.
 Rows that are equal in all columns are counted before they are shuffled and numbered as one, so a record that makes a
 third of all rows is one row until it is given out again.
 
@@ -54,15 +55,18 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], grown_weigh
     return out.drop("__best")
 
 
-def add_slots(df: DataFrame, shard: str, key: str, order: Sequence[str], slot: str = "slot", salts: int = SALTS) -> DataFrame:
-    """Number the rows of each shard from 0 without a gap, by the key's salt and then by `order`, nulls first.
+def slot_salt(order: Sequence[str], salts: int = SALTS) -> Column:
+    text = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 4), 16, 10).cast("int") % salts
+
+
+def add_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", salts: int = SALTS) -> DataFrame:
+    """Number the rows of each shard from 0 without a gap, by the salt of the columns in `order` and then by them, nulls first.
 
     Rows are numbered within (shard, salt); the salts' counts, shards x salts rows, give the offsets. No task sees
     a whole shard. Rows that are equal in all columns are interchangeable and are one counted row until the end.
     """
-    text = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    salt = F.conv(F.substring(F.md5(text.cast("binary")), 1, 4), 16, 10).cast("int") % salts
-    counted = df.withColumn("__salt", salt).groupBy(*df.columns, "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    counted = df.withColumn("__salt", slot_salt(order, salts)).groupBy(*df.columns, "__salt").agg(F.count(F.lit(1)).alias("__n"))
     counts = counted.groupBy(shard, "__salt").agg(F.sum("__n").alias("__n"))
     before = Window.partitionBy(shard).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -86,4 +90,4 @@ def shard_documents(documents: DataFrame, shards: int = 40, weights: Sequence[fl
         F.lit("key").alias("law"),
     )
     placed = assign_shards(sized, "doc_id", weights, grown_weight=sum(weights) / len(weights))
-    return add_slots(placed, "shard", "doc_id", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return add_slots(placed, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

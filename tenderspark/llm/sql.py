@@ -58,7 +58,7 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
 """
 
-#: Rendezvous hashing over shards 0 to 39 and one more, slots by salt, id, checksum and size; CRC-32 by half bytes.
+#: Rendezvous hashing over shards 0 to 39 and one more, slots by the salt of id, checksum and size and then by them; CRC-32 by half bytes.
 SHARDS = rf"""
 WITH scored AS (
   SELECT k, shard, -1.0::DOUBLE / ln((('0x' || substr(md5(k || '/' || shard), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) AS score
@@ -73,7 +73,7 @@ WITH scored AS (
       lambda c, n: xor(xor(c, n) >> 4, list_extract({_nibble_table()}, (xor(c, n) & 15)::INT + 1)::UBIGINT)), 4294967295)::BIGINT AS text_crc32
   FROM documents
 ), placed AS (
-  SELECT s.*, b.shard, b.grown, ('0x' || substr(md5(s.k), 1, 4))::BIGINT % {SALTS} AS salt FROM sized s JOIN best b USING (k)
+  SELECT s.*, b.shard, b.grown, ('0x' || substr(md5(concat_ws('/', s.k, s.text_crc32, s.size)), 1, 4))::BIGINT % {SALTS} AS salt FROM sized s JOIN best b USING (k)
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY salt, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown::INT AS grown_shard

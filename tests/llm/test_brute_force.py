@@ -79,7 +79,7 @@ def test_sharding_takes_the_highest_score(spark, sf_dir, odd_documents):
 
 def test_a_record_repeated_many_times_gets_all_slots(spark):
     df = spark.range(250_003).select(F.lit(5).alias("k"), F.lit("x").alias("shard"))
-    got = sharding.add_slots(df, "shard", "k", ["k"]).agg(F.count("*"), F.min("slot"), F.max("slot"), F.countDistinct("slot")).first()
+    got = sharding.add_slots(df, "shard", ["k"]).agg(F.count("*"), F.min("slot"), F.max("slot"), F.countDistinct("slot")).first()
     assert tuple(got) == (250_003, 0, 250_002, 250_003)
 
 
@@ -283,7 +283,7 @@ def test_frequent_values_and_large_units_by_pivots(spark):
 
 def test_recall_under_the_wanted_share_fails(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(9)], "doc_id bigint, text string")
-    monkeypatch.setattr(near_dedup, "audit_candidates", lambda *a: 0.5)
+    monkeypatch.setattr(near_dedup, "audit_candidates", lambda *a: (5, 10))
     with pytest.raises(RuntimeError):
         near_dedup.near_duplicates(df)
     rng = np.random.default_rng(2)
@@ -296,6 +296,16 @@ def test_recall_under_the_wanted_share_fails(spark, monkeypatch):
         embedding_dedup.link_vectors(df, exact_rows=10)
 
 
+def test_rows_without_an_id_are_numbered_in_many_parts(spark):
+    """All rows of the null key share a shard, but no window holds a twentieth of them."""
+    df = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    sums = df.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit(1).alias("size"))
+    parts = sums.groupBy(sharding.slot_salt(["doc_id", "text_crc32", "size"]).alias("s")).count()
+    assert parts.agg(F.max("count")).first()[0] * 20 < 200_000
+    got = sharding.shard_documents(df).agg(F.count_distinct("shard"), F.count_distinct("slot"), F.max("slot")).first()
+    assert tuple(got) == (1, 200_000, 199_999)
+
+
 CLASHING = ("_gone", "_row", "_id", "_q_group", "_q_d", "_q_doc", "_q_words", "component", "rep", "toxic", "score", "linked", "_salt")
 
 

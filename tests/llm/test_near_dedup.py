@@ -93,6 +93,47 @@ def test_minhash_cases(spark, odd_documents):
     assert kept.columns == odd_documents.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 6, 7, 8}
 
 
+def plain_documents(rows, words, num, den):
+    """Components of documents whose rows may have several texts."""
+    keys = {k: (i, t) for k, (i, t) in enumerate(rows)}
+    of_rows = plain_near_duplicates([(k, t) for k, (_, t) in keys.items()], words, num, den)
+    ids = {i for i, _ in rows}
+    root = components(ids, [(keys[k][0], keys[r][0]) for k, (_, r, _) in of_rows.items()])
+    return sorted((i, of_rows[k][0], root[i], root[i] == i) for k, (i, _) in keys.items())
+
+
+def test_documents_of_several_texts(spark):
+    """Rows that share a doc_id are one document: its texts' links join them, and it has one verdict."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"}
+    near = {c: t.replace(f"{c}30", "other") for c, t in text.items()}
+    rows = [(3, text["a"]), (5, text["a"]), (5, text["b"]), (8, text["b"])]
+    rows += [(20, text["c"]), (20, text["d"]), (20, text["d"]), (21, near["d"]), (22, near["c"]), (23, text["e"]), (23, ""), (24, None), (25, near["e"]), (25, None)]
+    rows += [(40, text["f"]), (40, text["g"]), (2, near["g"])]
+    for docs in (rows[:4], rows, rows * 3):
+        df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, words=3, similar=(85, 100)).collect())
+        want = plain_documents(docs, 3, 85, 100)
+        assert got == want
+        first = {i for i, _, _, kept in want if kept}
+        stay = sorted(((i, t) for i, t in docs if i in first), key=repr)
+        assert sorted((tuple(r) for r in near_dedup.keep_first(df, words=3, similar=(85, 100)).collect()), key=repr) == stay
+    assert {i for i, _, _, kept in plain_documents(rows[:4], 3, 85, 100) if kept} == {3}
+
+
+def test_audit_asks_more_classes_until_links_are_met(spark, monkeypatch):
+    asked = []
+
+    def counted(classes, units, k, threshold, similar, most):
+        asked.append(most)
+        return (most // 10, most // 10)
+
+    monkeypatch.setattr(near_dedup, "audit_candidates", counted)
+    assert near_dedup.candidate_recall(None, None, 32, 0.8, (128, 1024, 8192), 300) == 1.0 and asked == [128, 1024, 8192]
+    monkeypatch.setattr(near_dedup, "audit_candidates", lambda *a: (98, 100))
+    with pytest.raises(RuntimeError):
+        near_dedup.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id bigint, text string"), audit_links=100)
+
+
 def plain_links(v):
     usable = {i: np.array(x, float) for i, x in v if x is not None and len(x) and all(y is not None and np.isfinite(y) for y in x) and np.any(np.array(x, float))}
     ids = sorted(usable)
