@@ -7,25 +7,14 @@ from pyspark.sql import functions as F
 from ..operators.textindex import Autocompletion, TextIndex
 from ..sources.binding import notices, table
 from ..streaming.ingest import scratch
-from .registry import ORACLE_SQL, query
-
-#: This session's indexes, by kind and tables.
-_BUILT: dict[tuple, TextIndex | Autocompletion] = {}
-
-
-def _once(spark, sf_dir, build):
-    key = (spark.sparkContext.applicationId, build, sf_dir)
-    if key not in _BUILT:
-        _BUILT[key] = build(spark, sf_dir)
-    return _BUILT[key]
-
+from .registry import ORACLE_SQL, once, query
 
 def _title_index(spark, sf_dir) -> TextIndex:
     return TextIndex.build(notices(spark, sf_dir, cpv=True), "notice_id", "title", scratch(spark))
 
 
 def title_index(spark, sf_dir) -> TextIndex:
-    return _once(spark, sf_dir, _title_index)
+    return once(spark, sf_dir, _title_index)
 
 
 def _label_grams(spark, sf_dir) -> Autocompletion:
@@ -34,7 +23,7 @@ def _label_grams(spark, sf_dir) -> Autocompletion:
 
 
 def label_grams(spark, sf_dir) -> Autocompletion:
-    return _once(spark, sf_dir, _label_grams)
+    return once(spark, sf_dir, _label_grams)
 
 
 def _awards(spark, sf_dir, found):

@@ -1,10 +1,12 @@
-"""The ingest loop as one streaming query: parse, dead-letter, clamp, upsert notices, registry, entities and edges, each
-batch idempotent."""
+"""The ingest loop as one streaming query: parse, dead-letter, clamp, upsert notices, registry, entities, edges and the
+companies' statistics, each batch idempotent. Statistics and edges follow from what a batch changes in its own notices:
+their old versions count with a minus, the new ones with a plus, and nothing else is read."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ STORED = f"{PAYLOAD}, content_hash string, canonical_id string, ingested_at time
 SEEN = "source string, source_id string, content_hash string, last_seen_at timestamp_ntz, skipped_count bigint"
 ENTITIES = "entity string, name string, ico string, sources array<string>"
 EDGES = "source string, source_id string, org string, type string, value double"
+EDGE_KEY = ["source", "source_id", "org", "type"]
+STATISTICS = "role string, ico string, contract_count bigint, total_value decimal(28,2)"
 REPORT = "inserted bigint, updated bigint, skipped bigint, errors bigint"
 
 
@@ -59,9 +63,30 @@ def graph_edges(rows: DataFrame) -> DataFrame:
     return typed.groupBy("source", "source_id", "org", "type").agg(F.min_by("value", "pos").alias("value"))
 
 
+def contributions(rows: DataFrame, sign: int) -> DataFrame:
+    """(role, ico, contract_count, total_value): what notices add to their companies' statistics, or with -1 take away. A
+    notice counts once for its procurer and once for each supplier, the latter only if all its awards name their ICOs."""
+    org = "array<struct<role:string,ico:string>>"
+    icos = F.transform(F.coalesce("awards", F.array()), lambda a: F.coalesce(a["ico"], F.lit("")))
+    suppliers = F.when(~F.array_contains(icos, ""), F.transform(F.array_distinct(icos), lambda i: F.struct(F.lit("supplier").alias("role"), i.alias("ico"))))
+    own = F.when(F.col("procurer.ico") != "", F.array(F.struct(F.lit("procurer").alias("role"), F.col("procurer.ico").alias("ico"))))
+    none = F.array().cast(org)
+    value = F.coalesce("final_value", F.lit(0.0)).cast("decimal(18,2)")
+    counted = rows.select(F.explode(F.concat(F.coalesce(own.cast(org), none), F.coalesce(suppliers.cast(org), none))).alias("o"), value.alias("v"))
+    return counted.groupBy("o.role", "o.ico").agg((F.count(F.lit(1)) * sign).alias("contract_count"), (F.sum("v") * sign).cast("decimal(28,2)").alias("total_value"))
+
+
+def merge_statistics(*parts: DataFrame) -> DataFrame:
+    """Statistics with changes added; companies that are left with nothing stay as rows of zero."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("role", "ico").agg(F.sum("contract_count").alias("contract_count"), F.sum("total_value").cast("decimal(28,2)").alias("total_value"))
+
+
 class NoticeStore:
-    """What the loop keeps: notices and the registry of seen hashes, entities, graph edges, and by batch dead letters,
-    date issues and a report of counts. Each batch writes all of them before its offsets are committed, and all of them
+    """What the loop keeps: notices and the registry of seen hashes, entities, graph edges, companies' statistics, and by
+    batch dead letters, date issues and a report of counts. Each batch writes all of them before its offsets are committed, and all of them
     by its number, so a batch that runs again gives the same tables."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, keep: int = 2):
@@ -75,43 +100,61 @@ class NoticeStore:
             "registry": kept("registry", SEEN, upsert.KEY),
             "entities": kept("entities", ENTITIES, ["entity"]),
             "edges": kept("edges", EDGES, upsert.KEY),
+            "statistics": kept("statistics", STATISTICS, ["ico"]),
         }
 
     def read(self, name: str) -> DataFrame:
-        """A table's present rows: notices, registry, entities or edges."""
-        return self.tables[name].read()
+        """A table's present rows: notices, registry, entities, edges or statistics."""
+        rows = self.tables[name].read()
+        return rows.where("contract_count > 0") if name == "statistics" else rows
 
     def notices(self) -> DataFrame:
         return self.read("notices")
 
     def write(self, batch: DataFrame, batch_id: int, now: Column, now_year: int) -> None:
-        batch = batch.persist()
+        held: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            """Keep what is of a batch's size, and read several times, until the batch is written."""
+            held.append(df.persist())
+            return held[-1]
+
         try:
-            self._write(batch, batch_id, now, now_year)
+            self._write(hold(batch), batch_id, now, now_year, hold)
         finally:
-            batch.unpersist()
+            for df in held:
+                df.unpersist()
         for t in self.tables.values():
             t.drop_old()
 
-    def _write(self, batch: DataFrame, batch_id: int, now: Column, now_year: int) -> None:
+    def _write(self, batch: DataFrame, batch_id: int, now: Column, now_year: int, hold: Callable[[DataFrame], DataFrame]) -> None:
         good, bad = split_poison(batch)
         bad.write.mode("overwrite").parquet(f"{self.folder}/dead/v={batch_id}")
         dates = ("publication_date",)
         health.date_issues(good, now_year, dates, "source_id").write.mode("overwrite").parquet(f"{self.folder}/issues/v={batch_id}")
         rows = upsert.keep_last(health.clamp_dates(good, now_year, dates))
-        rows = rows.withColumns({"ingested_at": now, "canonical_id": F.lit(None).cast("string")})
-        notices, registry, entities, edges = self.tables.values()
+        rows = hold(rows.withColumns({"ingested_at": now, "canonical_id": F.lit(None).cast("string")}))
+        notices, registry, entities, edges, statistics = self.tables.values()
         touched = notices.touched(good)
         seen = registry.read(batch_id, touched)
-        upsert.report(upsert.decide(rows, seen), bad).write.mode("overwrite").parquet(f"{self.folder}/reports/v={batch_id}")
-        notices.write(upsert.upsert_notices(notices.read(batch_id, touched), rows), batch_id)
-        new = upsert.upsert_entities(sightings(rows))
-        entities.write(upsert.merge_entities(entities.read(batch_id, entities.touched(new)), new), batch_id)
-        # an edge keeps the value of its creation
-        known, fresh = edges.read(batch_id, touched), graph_edges(rows)
-        unseen = fresh.join(known, ["source", "source_id", "org", "type"], "left_anti")
-        edges.write(known.unionByName(unseen), batch_id)
-        registry.write(upsert.upsert_registry(seen, rows, now), batch_id)
+        decided = hold(upsert.decide(rows, seen))
+        upsert.report(decided, bad).write.mode("overwrite").parquet(f"{self.folder}/reports/v={batch_id}")
+        before = notices.read(batch_id, touched)
+        notices.write(upsert.upsert_notices(before, rows), batch_id, touched)
+        new = hold(upsert.upsert_entities(sightings(rows)))
+        of_new = entities.touched(new)
+        entities.write(upsert.merge_entities(entities.read(batch_id, of_new), new), batch_id, of_new)
+        # an edge keeps the value of its creation, and goes when its notice changes and has it no more
+        changed = decided.where("action <> 'skipped'").select(*upsert.KEY)
+        known, fresh = edges.read(batch_id, touched), hold(graph_edges(rows))
+        gone = known.join(changed, upsert.KEY, "left_semi").join(fresh, EDGE_KEY, "left_anti")
+        unseen = fresh.join(changed, upsert.KEY, "left_semi").join(known, EDGE_KEY, "left_anti")
+        edges.write(known.join(gone, EDGE_KEY, "left_anti").unionByName(unseen), batch_id, touched)
+        old, now_stored = (t.join(changed, upsert.KEY, "left_semi") for t in (before, notices.read(batch_id + 1, touched)))
+        delta = hold(merge_statistics(contributions(old, -1), contributions(now_stored, 1)).where("contract_count <> 0 OR total_value <> 0"))
+        of_delta = statistics.touched(delta)
+        statistics.write(merge_statistics(statistics.read(batch_id, of_delta), delta), batch_id, of_delta)
+        registry.write(upsert.upsert_registry(seen, rows, now), batch_id, touched)
 
     def dead(self) -> DataFrame:
         return self.spark.read.schema("payload string, reason string, seq bigint").parquet(f"{self.folder}/dead/v=*")
