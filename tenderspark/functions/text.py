@@ -49,14 +49,16 @@ def _unmarked() -> dict[str, str]:
 FOLDED = _unmarked()
 
 
-def _put(c: Column, table: dict[str, str], dropped: str = "") -> Column:
-    """Replace letters: all that have one for one in a single pass, then the others."""
-    ones = {k: v for k, v in table.items() if len(v) == 1}
-    out = F.translate(c, "".join(ones) + dropped, "".join(ones.values()))
-    for k, v in table.items():
-        if k not in ones:
-            out = F.replace(out, F.lit(k), F.lit(v))
-    return out
+def _put(c: Column, table: dict[str, str]) -> Column:
+    """Replace letters: all that become one letter or none in a single pass, and the others only in texts that have some."""
+    many = {k: v for k, v in table.items() if len(v) > 1}
+    some = {k: v for k, v in table.items() if len(v) == 1}
+    gone = MARKS + "".join(k for k, v in table.items() if not v)
+    ones = F.translate(c, "".join(some) + gone, "".join(some.values()))
+    spelling = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    characters = F.regexp_extract_all(ones, F.lit("(?s)."), F.lit(0))
+    spelt = F.array_join(F.transform(characters, lambda x: F.coalesce(F.try_element_at(spelling, x), x)), "")
+    return F.when(c.rlike("[" + "".join(many) + "]"), spelt).otherwise(ones)
 
 
 def _beyond_ascii(c: Column) -> Column:
@@ -67,15 +69,24 @@ def _beyond_ascii(c: Column) -> Column:
 def fold(c: Column | str) -> Column:
     """Lower case without marks: any Latin, Greek or Cyrillic letter becomes its bare form."""
     low = F.lower(col(c))
-    return F.when(_beyond_ascii(low), _put(low, FOLDED, MARKS)).otherwise(low)
+    return F.when(_beyond_ascii(low), _put(low, FOLDED)).otherwise(low)
+
+
+def _latin() -> dict[str, str]:
+    """Folded and then transliterated letters, but for the marked ones that have a spelling of their own."""
+    other = CYRILLIC | GREEK | SIGNS
+    folded = {c: "".join(other.get(x, x) for x in bare) for c, bare in FOLDED.items()}
+    return other | folded | MARKED
+
+
+LATIN = _latin()
 
 
 def slugify(c: Column | str) -> Column:
     """Latin letters and digits with hyphens between: marks go, Greek and Cyrillic are transliterated, the commas within
     numbers and curly quotes are left out, and common entities are blanks. Other scripts become hyphens."""
     low = F.lower(col(c))
-    latin = _put(_put(_put(low, MARKED), FOLDED, MARKS), CYRILLIC | GREEK | SIGNS)
-    plain = F.when(_beyond_ascii(low), latin).otherwise(low)
+    plain = F.when(_beyond_ascii(low), _put(low, LATIN)).otherwise(low)
     plain = F.regexp_replace(F.regexp_replace(plain, "&(?:amp|lt|gt|quot|nbsp);", " "), r"(?<=\d),(?=\d)", "")
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", "-"), F.lit("-"))
 
