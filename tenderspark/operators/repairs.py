@@ -32,6 +32,11 @@ def years_to_backfill(notices: DataFrame, awards: DataFrame, source: str = "ted"
     return by.select("year", F.make_date("year", F.lit(1), F.lit(1)).alias("first"), F.make_date(F.col("year") + 1, F.lit(1), F.lit(1)).alias("after"), "n")
 
 
+def spans_to_read(years: DataFrame) -> list[tuple]:
+    """The ranges of `years_to_backfill`, one row a year, for a capped source, which halves those over its limit."""
+    return [(r["first"], r["after"]) for r in years.select("first", "after").orderBy("first").collect()]
+
+
 def refilled_procurers(notices: DataFrame, enriched: DataFrame) -> DataFrame:
     """Notices with an empty procurer's name take name and ICO from enriched records (source, source_id, procurer_ico,
     procurer_name), where these have a name."""
