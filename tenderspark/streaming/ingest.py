@@ -186,3 +186,11 @@ def scratch(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix="stream-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage, keeping partitions and their order, in the session's checkpoint folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch(df.sparkSession))
+    return df.checkpoint()

@@ -141,17 +141,38 @@ def test_fold_against_nested_loops(spark, values):
     assert {(r.notice_id, r.canonical) for r in found.collect()} == expected
 
 
-def test_a_frequent_title_is_streamed(spark):
-    """One title with several notices every day, so no gap ever cuts it: nothing is collected, clusters are the model's."""
+@pytest.mark.parametrize("segments", [1, 8])
+def test_a_frequent_title_is_streamed(spark, segments):
+    """One title with several notices every day, so no gap ever cuts it, in several tasks: clusters are the model's."""
     rng = random.Random(5)
     entries = sorted((D(2020, 1, 1) + datetime.timedelta(rng.randrange(1500)), i, rng.choice("aaaaaaab"), []) for i in range(6000))
     n = spark.createDataFrame([(i, s, None, "same", None, d, None) for d, i, s, _ in entries], RES)
-    found = resolve.pass_two(n)
+    found = resolve.pass_two(n, segments=segments)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan
     assert sorted((r.notice_id, r.canonical) for r in found.collect()) == sorted((i, ids[0]) for ids in nested_loop(entries, 7) for i in ids)
 
 
+def test_states_are_carried_over_segments():
+    """Any cut of any titles into segments, some within a day and some without a row of the carried source, gives the fold."""
+    rng = random.Random(9)
+    batch = lambda rows: [resolve.pa.RecordBatch.from_pylist([dict(zip("gtdis", r)) for r in rows])] if rows else []
+    for _ in range(400):
+        width, sources = rng.choice([3, 15, 60]), rng.choice(["ab", "abc", "aab"])
+        rows = sorted((rng.choice(["t", "t", "t", "u"]), rng.randrange(width), i, rng.choice(sources)) for i in range(rng.randrange(1, 40)))
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(8)))
+        parts = [[(g, *r) for r in rows[a:b]] for g, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(rows)]))]
+        single = {g: {r[4] for r in p} for g, p in enumerate(parts) if len({r[1] for r in p}) == 1}
+        ends = [e for p in parts for b in resolve.segment_ends(7, single)(batch(p)) for e in b.to_pylist()]
+        carried = resolve.carried_states(ends, 7)
+        found = {tuple(x.values())[:3] for p in parts for b in resolve.segment_members(7, carried)(batch(p)) for x in b.to_pylist()}
+        expected = set()
+        for title in {r[0] for r in rows}:
+            entries = [(D(2020, 1, 1) + datetime.timedelta(d), i, s, []) for t, d, i, s in rows if t == title]
+            expected |= {(i, ids[0], title) for ids in nested_loop(entries, 7) for i in ids[1:]}
+        assert found == expected
+
+
 def test_registered_passes_match_equal_titles(spark):
     """The queries against the model over the binding's own titles, 7 days apart at most."""
     sf_dir = "/root/testdata/sf0.01"
