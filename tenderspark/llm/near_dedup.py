@@ -43,6 +43,9 @@ _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 #: So many classes are broadcast at most, 40 bytes each, to pick out texts without shuffling them.
 BROADCAST_IDS = 500_000
 
+#: Part of a sketch that must be values of long lists before these are keys.
+OFTEN_SHARE = 0.4
+
 
 def shingle_sets(raw: np.ndarray, off: np.ndarray, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each of some consecutive texts."""
@@ -309,9 +312,19 @@ def _estimated(rows: DataFrame, k: int, least: float, similar: float) -> DataFra
     return flat.mapInArrow(run, "value long, rep long, n_shingles long, sketch array<long>, keys array<long>, pivot long, linked boolean")
 
 
-def candidates(classes: DataFrame, k: int, keys: int, common: int, least: float, similar: float, block_members: int) -> DataFrame:
+def key_rounds(k: int, keys: int, common: int) -> Iterator[tuple[int, int, float]]:
+    """(keys, common, often_share) of rounds with ever more keys; in the last one every retained value is a key, so it finds
+    all pairs that share any, and needs no audit."""
+    while keys < k:
+        yield keys, common, OFTEN_SHARE
+        keys, common = 2 * keys, 2 * common
+    yield k, common, 0.0
+
+
+def candidates(classes: DataFrame, k: int, keys: int, common: int, least: float, similar: float, block_members: int, often_share: float) -> DataFrame:
     """Edges (a, b) among classes (rep, n_shingles, sketch) that join all pairs with an estimate from `least` on, as far
-    as they share one of their keys."""
+    as they share one of their keys. Values that over `common` classes retain are keys of a class if they are more than
+    `often_share` of its sketch."""
     # who retains a value with others
     entries = classes.select("rep", F.explode("sketch").alias("value"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -325,7 +338,7 @@ def candidates(classes: DataFrame, k: int, keys: int, common: int, least: float,
         "sketch",
         # in the sketch's order, that of unsigned hashes
         F.slice(F.filter("sketch", lambda v: F.array_contains(F.col("rare"), v)), 1, keys).alias("rare"),
-        F.when(F.size("often") > 0.4 * F.size("sketch"), F.slice(F.filter("sketch", lambda v: F.array_contains(F.col("often"), v)), 1, keys)).otherwise(F.array().cast("array<bigint>")).alias("often"),
+        F.when(F.size("often") > often_share * F.size("sketch"), F.slice(F.filter("sketch", lambda v: F.array_contains(F.col("often"), v)), 1, keys)).otherwise(F.array().cast("array<bigint>")).alias("often"),
     )
     by = materialise(by)
     no = F.lit(False).alias("linked")
@@ -428,7 +441,6 @@ def near_duplicates(
     audits: Sequence[int] = (128, 1024, 8192),
     audit_links: int = 300,
     recall: float = 0.99,
-    tries: int = 3,
 ) -> DataFrame:
     """One row per row of the documents: doc_id, n_shingles, component_id and whether it is its component's first."""
     threshold = similar[0] / similar[1]
@@ -437,12 +449,10 @@ def near_duplicates(
     worded = "n_shingles > 0 AND doc_id IS NOT NULL"
     classes = base.where(worded).groupBy(*signature).agg(F.min("doc_id").alias("holder"), F.first("sketch").alias("sketch"))
     classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()))
-    for n in range(tries):
-        units = materialise(connected_components(candidates(classes, k, keys << n, common << n, threshold - slack, threshold, block_members)))
-        if (got := candidate_recall(classes, units, k, threshold, audits, audit_links)) >= recall:
+    for keys, common, often_share in key_rounds(k, keys, common):
+        units = materialise(connected_components(candidates(classes, k, keys, common, threshold - slack, threshold, block_members, often_share)))
+        if often_share == 0 or candidate_recall(classes, units, k, threshold, audits, audit_links) >= recall:
             break
-    else:
-        raise RuntimeError(f"recall {got:.3f} of near copies after {tries} tries, {recall} wanted")
 
     sized = units.withColumnRenamed("node", "rep").join(classes.drop("sketch"), "rep")
     long = sized.groupBy("component").agg((F.sum("n_shingles") > block_items).alias("long"))

@@ -129,9 +129,21 @@ def test_audit_asks_more_classes_until_links_are_met(spark, monkeypatch):
 
     monkeypatch.setattr(near_dedup, "audit_candidates", counted)
     assert near_dedup.candidate_recall(None, None, 32, 0.8, (128, 1024, 8192), 300) == 1.0 and asked == [128, 1024, 8192]
-    monkeypatch.setattr(near_dedup, "audit_candidates", lambda *a: (98, 100))
-    with pytest.raises(RuntimeError):
-        near_dedup.near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id bigint, text string"), audit_links=100)
+
+
+@pytest.mark.parametrize("common", [1, 32])
+def test_missed_recall_ends_with_every_value_as_a_key(spark, monkeypatch, common):
+    """However many audits fail, the result is that of brute force; short lists or long ones."""
+    used, real = [], near_dedup.candidates
+    monkeypatch.setattr(near_dedup, "candidates", lambda *a: used.append((a[2], a[-1])) or real(*a))
+    monkeypatch.setattr(near_dedup, "candidate_recall", lambda *a: 0.5)
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 80)) for _ in range(12)]
+    rows = [(100 * i + j, " ".join(w if rng.random() > 0.02 else "new" for w in t.split())) for i, t in enumerate(texts) for j in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, words=3, similar=(85, 100), common=common, block_members=4).collect())
+    assert got == plain_documents(rows, 3, 85, 100) and any(not r[3] for r in got)
+    assert used == [(8, 0.4), (16, 0.4), (32, 0.0)]
 
 
 def plain_links(v):
