@@ -252,8 +252,9 @@ class Estimator:
         out = estimates.join(wide, "_q_group").withColumn("_q_by", by)
         return out.select("_q_group", *[f"_q_m_{i}" for i in range(self.p)], *[(F.col(f"_q_l_{i}_{j}") * F.col("_q_by")).alias(f"_q_l_{i}_{j}") for i, j in self.pairs])
 
-    def fit(self, rows: DataFrame, steps: int = 10) -> DataFrame:
-        """(_q_group, centre, factor) by minimum covariance determinants, a row a group."""
+    def fit(self, rows: DataFrame, steps: int = 100) -> DataFrame:
+        """(_q_group, centre, factor) by minimum covariance determinants, a row a group: concentrated until no determinant
+        falls, which is an error if it has not come after so many steps."""
         medians = materialise(self.medians(rows))
         self.groups = medians.count()
         now = materialise(self.starts(rows, medians))
@@ -263,8 +264,10 @@ class Estimator:
         now = now.withColumn("_q_first", first).where("_q_first = 1").drop("_q_first")
         for _ in range(steps - 2):
             now = materialise(self.concentrated(rows, now))
-            if not now.where("_q_det < _q_last - 1e-6").limit(1).count():
+            if now.where("_q_det < _q_last - 1e-6").isEmpty():
                 break
+        else:
+            raise RuntimeError(f"determinants still fall after {steps} steps")
         now = materialise(self.reweighted(rows, now))
         return materialise(self.scaled(rows, now))
 
@@ -289,7 +292,7 @@ def _fitted(statistics: DataFrame, estimator: Estimator, steps: int) -> DataFram
     return estimator.fit(statistics.where(~F.col("_q_failed")).select("_q_group", *[f"_q_x_{n}" for n in estimator.names]), steps)
 
 
-def judge(documents: DataFrame, cutoff: float = CUTOFF, steps: int = 10, floors: dict[str, float] = VECTOR, **options) -> DataFrame:
+def judge(documents: DataFrame, cutoff: float = CUTOFF, steps: int = 100, floors: dict[str, float] = VECTOR, **options) -> DataFrame:
     """The base statistics of each row with base_failed, the squared distance and the verdict `kept`."""
     estimator = Estimator(floors, **options)
     stats = materialise(_narrow(documents, estimator.names))
@@ -298,7 +301,7 @@ def judge(documents: DataFrame, cutoff: float = CUTOFF, steps: int = 10, floors:
     return judged.select(F.col("_q_id").alias("doc_id"), *[F.col(f"_q_b_{b}").alias(b) for b in BASE], F.col("_q_failed").alias("base_failed"), F.col("_q_d").alias("distance"), kept.alias("kept"))
 
 
-def keep_good(documents: DataFrame, cutoff: float = CUTOFF, steps: int = 10, floors: dict[str, float] = VECTOR, **options) -> DataFrame:
+def keep_good(documents: DataFrame, cutoff: float = CUTOFF, steps: int = 100, floors: dict[str, float] = VECTOR, **options) -> DataFrame:
     """The documents that the rules keep, with their own columns. The texts are read twice; with up to `broadcast_groups`
     groups they are not shuffled."""
     estimator = Estimator(floors, **options)
