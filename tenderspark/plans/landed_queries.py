@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 from ..functions.columns import to_iso_z
 from ..operators import health, repairs, upsert
 from ..sources import capped, readers, scans
-from ..sources.binding import notices, table
+from ..sources.binding import event_log, notices, table
+from ..streaming import live
 from ..streaming.ingest import scratch
 from .registry import once, query
 
@@ -131,3 +132,28 @@ def implausible_dates(spark, sf_dir):
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at FROM orders", bound=False)
 def iso_times(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", to_iso_z("o_orderdate").alias("at"))
+
+
+def _followed_log(spark, sf_dir):
+    """The changes that a stream over the event log has told in two runs: over the first half of its time, then the rest."""
+    folder = scratch(spark)
+    log = event_log(spark, sf_dir).select("event_id", "ts", "level", "event", "component")
+    middle = log.agg(F.timestamp_micros(((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))) / 2).cast("long")).cast("timestamp_ntz").alias("middle"))
+    halves = log.crossJoin(F.broadcast(middle)).withColumn("early", F.col("ts") < F.col("middle")).drop("middle")  # one row
+    for early in (True, False):
+        halves.where(F.col("early") == early).drop("early").write.mode("append").parquet(f"{folder}/log")
+        stream = spark.readStream.schema(log.schema).parquet(f"{folder}/log")
+        live.follow(stream, f"{folder}/changes", f"{folder}/offsets", "1 hour").awaitTermination()
+    return spark.read.parquet(f"{folder}/changes")
+
+
+@query(
+    f""", t AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS now FROM log), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY ts DESC, event_id DESC) AS rn FROM log) WHERE rn = 1),
+    r AS (SELECT component, count(*) AS s FROM log, t WHERE ts >= now - INTERVAL 1 DAY AND event IN ('cycle_complete', 'batch_written') GROUP BY 1)
+    SELECT k.component, CASE WHEN l.event IS NULL THEN 'unknown' WHEN level IN ('error', 'critical') OR l.event IN ('cycle_failed', 'write_failed', 'redis_connect_failed') THEN 'error'
+    WHEN l.event = 'worker_stopped' THEN 'stopped' WHEN epoch(now - l.ts) > CASE WHEN k.component IN ('ingestor', 'dedup-worker') THEN 600 ELSE 7200 END THEN 'stale' ELSE 'healthy' END AS status,
+    l.event AS last_event, l.ts AS last_ts, coalesce(r.s, 0) AS successes_24h FROM (VALUES {', '.join(f"('{c}')" for c in health.COMPONENTS)}) AS k(component) LEFT JOIN l ON l.component = k.component LEFT JOIN r ON r.component = k.component CROSS JOIN t"""
+)
+def stream_worker_status(spark, sf_dir):
+    """The live status after a replay of the log equals the batch status at the stream's clock, an hour before its end."""
+    return live.current_status(once(spark, sf_dir, _followed_log))
