@@ -143,7 +143,7 @@ def _followed_log(spark, sf_dir):
     for early in (True, False):
         halves.where(F.col("early") == early).drop("early").write.mode("append").parquet(f"{folder}/log")
         stream = spark.readStream.schema(log.schema).parquet(f"{folder}/log")
-        live.follow(stream, f"{folder}/changes", f"{folder}/offsets", "1 hour").awaitTermination()
+        live.follow(stream, f"{folder}/changes", f"{folder}/offsets", 3600).awaitTermination()
     return spark.read.parquet(f"{folder}/changes")
 
 

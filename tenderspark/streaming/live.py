@@ -1,12 +1,13 @@
 """Status of workers from the event log as a stream: silence turns a component stale by a timer, without a new event.
 
 State is kept by component: the last event, and how many successes leave the last day at each instant (a map of at most as
-many entries as a day has successes). Two kinds of timers in event time: when the last event gets too old, and when a
+many entries as a day and the delay have successes: those of a long replay that the clock passes with their own batch are
+not entered). Two kinds of timers in event time: when the last event gets too old, and when a
 success gets older than a day. The clock is the stream's watermark, so a replay gives the same changes as the live run, and
 the last change of each component equals `health.worker_status` at that clock.
 
-Defined cases: events without a time or of other components are left out; an event that comes later than `delay` after
-newer ones is dropped, as its instant is already told; of events at one instant the one with the greatest id counts, as in
+Defined cases: events without a time or of other components are left out; an event that comes more than `delay` seconds
+after newer ones is dropped, as its instant is already told; of events at one instant the one with the greatest id counts, as in
 the batch query; a component without events has no change and is `unknown`.
 """
 
@@ -23,7 +24,11 @@ from .journal import LOG
 
 DAY_MS = 86_400_000
 _TOLD = "component string, change bigint, event string, level string, us bigint, successes bigint, now_ms bigint"
-_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Timers need the state store on RocksDB; a task for each component is all that its state can use.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.shuffle.partitions": str(len(COMPONENTS)),
+}
 
 
 def _rank(event: tuple) -> tuple:
@@ -34,8 +39,8 @@ def _rank(event: tuple) -> tuple:
 class _Follow(StatefulProcessor):
     """Rows (component, us, event_id, event, level, success) of one component into its changes."""
 
-    def __init__(self, id_type: str):
-        self.id_type = id_type
+    def __init__(self, id_type: str, delay: int):
+        self.id_type, self.delay_ms = id_type, delay * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -62,6 +67,8 @@ class _Follow(StatefulProcessor):
                 leaves = r.us // 1000 + DAY_MS + 1  # a timer fires once the clock reaches it
                 more[leaves] = more.get(leaves, 0) + 1
         for leaves, k in more.items():
+            if leaves <= last[0] // 1000 - self.delay_ms:  # the clock passes it at the end of this batch
+                continue
             before = self.leaving.getValue((leaves,)) if self.leaving.containsKey((leaves,)) else (0,)
             self.leaving.updateValue((leaves,), (before[0] + k,))
             self.handle.registerTimer(leaves)
@@ -87,13 +94,13 @@ def read_log_stream(spark: SparkSession, folder: str, per_batch: int = 100) -> D
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def status_changes(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def status_changes(log: DataFrame, delay: int = 600) -> DataFrame:
     """(component, change, status, last_event, last_ts, successes_24h, as_of) whenever a component's last event, its
     successes of the last day or its being stale change; `change` counts a component's changes."""
     id_type = log.schema["event_id"].dataType.simpleString()
     known = log.where(F.col("ts").isNotNull() & F.col("component").isin(*COMPONENTS)).withColumn("ts", F.col("ts").cast("timestamp"))
-    timed = known.withWatermark("ts", delay).select("component", "ts", F.unix_micros("ts").alias("us"), "event_id", "event", "level", F.coalesce(F.col("event").isin(*SUCCESS), F.lit(False)).alias("success"))
-    told = timed.groupBy("component").transformWithState(_Follow(id_type), _TOLD, "Append", "EventTime")
+    timed = known.withWatermark("ts", f"{delay} seconds").select("component", "ts", F.unix_micros("ts").alias("us"), "event_id", "event", "level", F.coalesce(F.col("event").isin(*SUCCESS), F.lit(False)).alias("success"))
+    told = timed.groupBy("component").transformWithState(_Follow(id_type, delay), _TOLD, "Append", "EventTime")
     age = (F.col("now_ms") * 1000 - F.col("us")) / 1_000_000
     return told.select(
         "component", "change", status_of(F.col("event"), F.col("level"), age, F.col("component")).alias("status"), F.col("event").alias("last_event"),
@@ -101,18 +108,18 @@ def status_changes(log: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def follow(log: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes", trigger: dict | None = None):
-    """Start the stream, which appends its changes to a folder of Parquet. Timers need the state store on RocksDB: it is
-    named for this query only."""
+def follow(log: DataFrame, folder: str, checkpoint: str, delay: int = 600, trigger: dict | None = None):
+    """Start the stream, which appends its changes to a folder of Parquet. Its own settings do not stay in the session."""
     conf = log.sparkSession.conf
-    name, provider = _PROVIDER
-    before = conf.get(name, None)
-    conf.set(name, provider)
+    before = {name: conf.get(name, None) for name in _SETTINGS}
     try:
+        for name, value in _SETTINGS.items():
+            conf.set(name, value)
         changes = status_changes(log, delay)
         return changes.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     finally:
-        conf.unset(name) if before is None else conf.set(name, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
 
 
 def current_status(changes: DataFrame, components: tuple[str, ...] = COMPONENTS) -> DataFrame:

@@ -3,7 +3,6 @@
 import datetime
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tenderspark.operators import health
@@ -29,7 +28,7 @@ class Replay:
     def deliver(self, rows):
         self.spark.createDataFrame(rows, journal.LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
         log = live.read_log_stream(self.spark, f"{self.folder}/log")
-        live.follow(log, f"{self.folder}/changes", f"{self.folder}/offsets", "10 minutes").awaitTermination()
+        live.follow(log, f"{self.folder}/changes", f"{self.folder}/offsets", 600).awaitTermination()
         return self.spark.read.parquet(f"{self.folder}/changes")
 
 
@@ -71,10 +70,7 @@ def test_replay_equals_the_batch_query(spark, tmp_path):
         assert statuses(live.current_status(changes)) == statuses(batch)
 
 
-def test_the_state_store_is_named_for_the_query_only(spark, tmp_path):
-    name = live._PROVIDER[0]
-    before = spark.conf.get(name)
+def test_settings_are_for_the_query_only(spark, tmp_path):
+    before = {name: spark.conf.get(name) for name in live._SETTINGS}
     Replay(spark, str(tmp_path)).deliver([row(at(0), "cycle_complete", "ingestor")])
-    assert spark.conf.get(name) == before
-    with pytest.raises(Exception):
-        live.status_changes(spark.createDataFrame([], journal.LOG.replace("event_id string, ", "")))
+    assert {name: spark.conf.get(name) for name in live._SETTINGS} == before
