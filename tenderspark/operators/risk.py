@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import band, cpv_division, final_expr, is_framework, money, value_expr
+from ..streaming.ingest import checkpointed
 from .spend import market_cpv
 
 #: Thresholds of the flags; fixed values.
@@ -18,17 +19,29 @@ CEILING, CEILING_WORKS, WORKS_DIVISION = 180_000.0, 300_000.0, "45"
 WEIGHTS = {"concentration": 0.30, "pair": 0.25, "market": 0.25, "cluster": 0.20}
 RISK_BANDS = (30.0, 60.0)
 
+#: Columns of notices that the flags use.
+USED = ("notice_id", "procurer_ico", "cpv_code", "procedure_type", "final_value", "estimated_value", "award_date", "publication_date")
 DISCLAIMER = "Statistical observations over published records; they call for a look at the files and prove nothing by themselves."
 
 
-def pairs(notices: DataFrame, awards: DataFrame) -> DataFrame:
+def meetings(notices: DataFrame, awards: DataFrame) -> DataFrame:
+    """Each named supplier of each notice once, with the number of its awards in `_k` and the notice's columns."""
+    named = awards.where("supplier_ico IS NOT NULL").groupBy("notice_id", "supplier_ico").agg(F.count(F.lit(1)).alias("_k"))
+    return named.join(notices, "notice_id")
+
+
+def materialised(notices: DataFrame, awards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The notices' columns that the flags use, and the meetings, each written once: the one join that all flags share."""
+    known = checkpointed(notices.select(*[c for c in USED if c in notices.columns]))
+    return known, checkpointed(meetings(known, awards))
+
+
+def pairs(met: DataFrame) -> DataFrame:
     """(ico, counterparty, role, n, total): all counterparties of all companies; `role` is the counterparty's. As a
     supplier a company meets a procurer once a notice, as a procurer it meets a supplier once an award."""
-    n = notices.select("notice_id", "procurer_ico", final_expr().alias("v"))
-    named = awards.where(F.coalesce("supplier_ico", F.lit("")) != "").select("notice_id", "supplier_ico")
-    # one shuffle: an award-level count and a distinct-notice count from the pre-aggregated (notice, supplier)
-    per = named.groupBy("notice_id", "supplier_ico").agg(F.count(F.lit(1)).alias("k")).join(n, "notice_id")
-    by = per.groupBy("supplier_ico", "procurer_ico").agg(F.count(F.lit(1)).alias("n"), money("v").alias("total"), F.sum("k").alias("k"), F.sum((F.col("v").cast("decimal(18,2)") * F.col("k"))).cast("double").alias("vk"))
+    per = met.where("supplier_ico <> ''").select("supplier_ico", "procurer_ico", "_k", final_expr().alias("v"))
+    of_all = F.sum(F.col("v").cast("decimal(18,2)") * F.col("_k")).cast("double")
+    by = per.groupBy("supplier_ico", "procurer_ico").agg(F.count(F.lit(1)).alias("n"), money("v").alias("total"), F.sum("_k").alias("k"), of_all.alias("vk"))
     sides = F.array(
         F.struct(F.col("supplier_ico").alias("ico"), F.col("procurer_ico").alias("counterparty"), F.lit("procurer").alias("role"), F.col("n").alias("n"), F.col("total").alias("total")),
         F.struct(F.col("procurer_ico").alias("ico"), F.col("supplier_ico").alias("counterparty"), F.lit("supplier").alias("role"), F.col("k").alias("n"), F.col("vk").alias("total")),
@@ -55,26 +68,28 @@ def pair_flag(pairs_: DataFrame) -> DataFrame:
     )
 
 
-def involvements(notices: DataFrame, awards: DataFrame) -> DataFrame:
-    """(notice_id, ico): each company in each notice once, in whatever role."""
-    return awards.where("supplier_ico IS NOT NULL").select("notice_id", F.col("supplier_ico").alias("ico")).unionByName(notices.where("procurer_ico IS NOT NULL").select("notice_id", F.col("procurer_ico").alias("ico"))).distinct()
-
-
-def market_flag(notices: DataFrame, awards: DataFrame) -> DataFrame:
-    """The worst multiple of a company's mean value in a category over the market's median (or mean, were that 0)."""
-    market = market_cpv(notices).where(F.col("n") >= MARKET_MIN).select("cpv_code", F.when(F.col("median") > 0, F.col("median")).when(F.col("total") > 0, F.col("total") / F.col("n")).alias("baseline")).where("baseline IS NOT NULL")
-    own = involvements(notices, awards).join(notices.where("cpv_code IS NOT NULL").select("notice_id", "cpv_code", final_expr().alias("v")), "notice_id").groupBy("ico", "cpv_code").agg(F.count(F.lit(1)).alias("n"), money("v").alias("total"))
+def market_flag(notices: DataFrame, met: DataFrame) -> DataFrame:
+    """The worst multiple of a company's mean value in a category over the market's median (or mean, were that 0). A company
+    counts once in a notice, in whatever role."""
+    baseline = F.when(F.col("median") > 0, F.col("median")).when(F.col("total") > 0, F.col("total") / F.col("n"))
+    market = market_cpv(notices).where(F.col("n") >= MARKET_MIN).select("cpv_code", baseline.alias("baseline")).where("baseline IS NOT NULL")
+    columns = ("cpv_code", final_expr().alias("v"))
+    won = met.where("cpv_code IS NOT NULL AND NOT supplier_ico <=> procurer_ico").select(F.col("supplier_ico").alias("ico"), *columns)
+    gave = notices.where("cpv_code IS NOT NULL AND procurer_ico IS NOT NULL").select(F.col("procurer_ico").alias("ico"), *columns)
+    own = won.unionByName(gave).groupBy("ico", "cpv_code").agg(F.count(F.lit(1)).alias("n"), money("v").alias("total"))
     rows = own.join(market, "cpv_code").withColumn("multiple", F.round(F.col("total") / F.col("n") / F.col("baseline"), 2))
     by = rows.groupBy("ico").agg(F.max("multiple").alias("multiple"), F.count(F.lit(1)).alias("compared"))
     return by.select("ico", "multiple", "compared", F.round(F.least(F.lit(100.0), F.col("multiple") / DEVIATION_MULTIPLE * 50.0), 1).alias("score"), F.when(F.col("multiple") >= 2 * DEVIATION_MULTIPLE, "high").when(F.col("multiple") >= DEVIATION_MULTIPLE, "moderate").otherwise("low").alias("severity"), (F.col("multiple") >= DEVIATION_MULTIPLE).alias("triggered"))
 
 
-def timeline(notices: DataFrame, awards: DataFrame) -> DataFrame:
-    """(ico, counterparty, date, cpv_code, value): dated awards of both roles outside framework procedures."""
-    n = notices.where(~is_framework()).select("notice_id", "procurer_ico", "cpv_code", value_expr().alias("value"), F.coalesce("award_date", "publication_date").alias("date")).where("date IS NOT NULL AND procurer_ico IS NOT NULL")
-    named = awards.where("supplier_ico IS NOT NULL").select("notice_id", "supplier_ico")
-    won = named.distinct().join(n, "notice_id").select(F.col("supplier_ico").alias("ico"), F.col("procurer_ico").alias("counterparty"), "date", "cpv_code", "value")
-    gave = named.join(n, "notice_id").select(F.col("procurer_ico").alias("ico"), F.col("supplier_ico").alias("counterparty"), "date", "cpv_code", "value")
+def timeline(met: DataFrame) -> DataFrame:
+    """(ico, counterparty, date, cpv_code, value): dated awards of both roles outside framework procedures; a procurer's row
+    for each award, a supplier's for each notice."""
+    dated = met.where(~is_framework()).withColumns({"value": value_expr(), "date": F.coalesce("award_date", "publication_date")}).where("date IS NOT NULL AND procurer_ico IS NOT NULL")
+    columns = ("date", "cpv_code", "value")
+    won = dated.select(F.col("supplier_ico").alias("ico"), F.col("procurer_ico").alias("counterparty"), *columns)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))).alias("_award")
+    gave = dated.select(F.col("procurer_ico").alias("ico"), F.col("supplier_ico").alias("counterparty"), *columns, each).drop("_award")
     return won.unionByName(gave)
 
 
@@ -106,8 +121,9 @@ def cluster_flag(bursts_: DataFrame) -> DataFrame:
 
 def risk_profiles(notices: DataFrame, awards: DataFrame) -> DataFrame:
     """Per company: the four flags' scores, the weighted score, its band and the triggered flags."""
-    p = pairs(notices, awards)
-    flags = {"concentration": concentration_flag(p), "pair": pair_flag(p), "market": market_flag(notices, awards), "cluster": cluster_flag(bursts(timeline(notices, awards)))}
+    known, met = materialised(notices, awards)
+    p = pairs(met)
+    flags = {"concentration": concentration_flag(p), "pair": pair_flag(p), "market": market_flag(known, met), "cluster": cluster_flag(bursts(timeline(met)))}
     parts = None
     for name, df in flags.items():
         one = df.select("ico", F.lit(name).alias("flag"), "score", "triggered", *([F.col("subject_role")] if name == "pair" else [F.lit(None).cast("string").alias("subject_role")]))

@@ -44,17 +44,18 @@ TIMELINE = """, nf AS (SELECT notice_id, procurer_ico, cpv_code, coalesce(final_
 
 @query(PAIRS + CONCENTRATION + " SELECT * FROM concentration")
 def risk_concentration(spark, sf_dir):
-    return risk.concentration_flag(risk.pairs(notices(spark, sf_dir), award_rows(spark, sf_dir, False)))
+    return risk.concentration_flag(risk.pairs(risk.meetings(notices(spark, sf_dir), award_rows(spark, sf_dir, False))))
 
 
 @query(PAIRS + PAIR + " SELECT * FROM pair")
 def risk_pair(spark, sf_dir):
-    return risk.pair_flag(risk.pairs(notices(spark, sf_dir), award_rows(spark, sf_dir, False)))
+    return risk.pair_flag(risk.pairs(risk.meetings(notices(spark, sf_dir), award_rows(spark, sf_dir, False))))
 
 
 @query(MARKET + " SELECT * FROM market")
 def risk_market(spark, sf_dir):
-    return risk.market_flag(notices(spark, sf_dir, cpv=True), award_rows(spark, sf_dir, False))
+    n = notices(spark, sf_dir, cpv=True)
+    return risk.market_flag(n, risk.meetings(n, award_rows(spark, sf_dir, False)))
 
 
 @query(", series AS (SELECT authority_ico AS ico, a.supplier_ico AS counterparty, d AS date, cpv_code, coalesce(final_value, estimated_value, 0) AS value FROM a JOIN v USING (notice_id) WHERE a.supplier_ico IS NOT NULL AND procedure_type NOT LIKE '%framework%'), " + BURSTS + " SELECT * FROM bursts")
