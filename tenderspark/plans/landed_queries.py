@@ -59,8 +59,14 @@ def stream_scans(spark, sf_dir):
     return once(spark, sf_dir, _streamed_scans).select("source", "scan", F.from_json("value", ITEM).alias("v")).select("source", "scan", "v.*")
 
 
+def _orders_by_day(spark, sf_dir):
+    folder = f"{scratch(spark)}/orders"
+    capped.land_by_day(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), folder, "o_orderdate", "o_orderkey")
+    return folder
+
+
 def _dated_orders(spark, sf_dir, **options):
-    return capped.read_capped(spark, f"{sf_dir}/orders.parquet", "o_orderdate", "o_orderkey", "o_orderkey bigint, o_orderdate timestamp, o_totalprice double", **options)
+    return capped.read_capped(spark, once(spark, sf_dir, _orders_by_day), "o_orderdate", "o_orderkey", "o_orderkey bigint, o_orderdate timestamp, o_totalprice double", **options)
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= DATE '1995-06-01' AND o_orderdate < DATE '1997-01-01'", bound=False)

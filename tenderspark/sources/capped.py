@@ -1,5 +1,6 @@
 """A batch source over an upstream that gives out a limited number of rows a query: ranges of days are halved until each
-is under the limit, and each range is one partition, so a read is whole however full a year, a month or a day is."""
+is under the limit, so a read is whole however full a year, a month or a day is. Planning halves only down to some hundred
+partitions, by counts of days; each task halves its own range further and asks query by query."""
 
 from __future__ import annotations
 
@@ -20,6 +21,8 @@ from .scans import file_system
 #: Most rows that the bulletin's search gives out for one query; a fixed value.
 CAP = 15000
 DAY = datetime.timedelta(days=1)
+#: Planning makes about this many partitions at most, however many queries the cap needs.
+PARTITIONS = 128
 
 
 class Span(NamedTuple):
@@ -37,10 +40,17 @@ class LandedUpstream:
 
     def __init__(self, uri: str, day: str, key: str, cap: int):
         self.uri, self.day, self.key, self.cap = uri, day, key, cap
+        self._data: ds.Dataset | None = None
 
     def data(self) -> ds.Dataset:
-        fs, path = file_system(self.uri)
-        return ds.dataset(path, filesystem=fs, format="parquet")
+        """The files, opened once a process; their statistics tell which of them a span needs."""
+        if self._data is None:
+            fs, path = file_system(self.uri)
+            self._data = ds.dataset(path, filesystem=fs, format="parquet")
+        return self._data
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_data": None}
 
     def condition(self, data: ds.Dataset, span: Span) -> pc.Expression:
         kind = data.schema.field(self.day).type
@@ -79,11 +89,12 @@ class LandedUpstream:
             left -= min(left, batch.num_rows)
 
 
-def whole_spans(upstream, span: Span) -> Iterator[Span]:
-    """Halves of a span that each have at most the upstream's cap of rows, but some; days first, then keys within a day. A
-    single key with more rows than the cap can't be read whole and raises."""
+def whole_spans(upstream, span: Span, most: int | None = None) -> Iterator[Span]:
+    """Halves of a span that each have at most `most` rows (by default the upstream's cap), but some; days first, then keys
+    within a day. A single key with more rows can't be read whole and raises."""
+    most = upstream.cap if most is None else most
     n = upstream.count(span)
-    if n <= upstream.cap:
+    if n <= most:
         if n:
             yield span
         return
@@ -94,11 +105,11 @@ def whole_spans(upstream, span: Span) -> Iterator[Span]:
     else:
         low, high = upstream.keys(span) if span.low is None else (span.low, span.high)
         if high - low < 2:
-            raise ValueError(f"{span.first}: {n} rows of key {low}, over the limit of {upstream.cap}")
+            raise ValueError(f"{span.first}: {n} rows of key {low}, over the limit of {most}")
         middle = (low + high) // 2
         parts = [span._replace(low=low, high=middle), span._replace(low=middle, high=high)]
     for part in parts:
-        yield from whole_spans(upstream, part)
+        yield from whole_spans(upstream, part, most)
 
 
 class _Range(InputPartition):
@@ -131,17 +142,20 @@ class CappedReader(DataSourceReader):
             every = self.upstream.days()
             spans = [every] if every else []
         cut = [s._replace(first=max(s.first, self.first), after=min(s.after, self.after)) for s in spans]
-        return [_Range(part) for s in cut if s.first < s.after for part in whole_spans(self.upstream, s)]
+        cut = [s for s in cut if s.first < s.after]
+        most = max(self.upstream.cap, -(-sum(self.upstream.count(s) for s in cut) // PARTITIONS))
+        return [_Range(part) for s in cut for part in whole_spans(self.upstream, s, most)]
 
     def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # no spans, for which Spark runs one task without a partition
             return
-        n = 0
-        for batch in self.upstream.read(partition.span, self.columns):
-            n += batch.num_rows
-            yield batch
-        if n != self.upstream.count(partition.span):  # rows came in between planning and reading
-            raise ValueError(f"{partition.span}: {n} rows were given out, not all")
+        for span in whole_spans(self.upstream, partition.span):
+            n = 0
+            for batch in self.upstream.read(span, self.columns):
+                n += batch.num_rows
+                yield batch
+            if n != self.upstream.count(span):  # rows came in between counting and reading
+                raise ValueError(f"{span}: {n} rows were given out, not all")
 
 
 class CappedSource(DataSource):
@@ -167,9 +181,15 @@ class CappedSource(DataSource):
 
 def read_capped(spark: SparkSession, path: str, day: str, key: str, schema: str | None = None, cap: int = CAP, spans: list[tuple] | None = None) -> DataFrame:
     """All rows of a capped upstream in some spans of days (none: all days). Filters on the day reach the upstream; for
-    that this switches on the session's pushdown into Python sources. Planning asks for about two counts a partition."""
+    that this switches on the session's pushdown into Python sources. Planning asks for about two counts a partition, a task
+    for two or three a query; a count is cheap where files and row groups hold few days each, as `land_by_day` writes them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CappedSource)
     r = spark.read.format("capped").options(path=path, day=day, key=key, cap=str(cap))
     r = r.schema(schema) if schema else r
     return (r if spans is None else r.option("spans", json.dumps([[str(a), str(b)] for a, b in spans]))).load()
+
+
+def land_by_day(rows: DataFrame, path: str, day: str, key: str, group_bytes: int = 1 << 20) -> None:
+    """Write rows in order of day and key over all files, in small row groups, so that a span's query reads only its own."""
+    rows.repartitionByRange(day, key).sortWithinPartitions(day, key).write.option("parquet.block.size", group_bytes).parquet(path)
