@@ -66,8 +66,9 @@ def risk_evidence(notices: DataFrame, awards: DataFrame) -> DataFrame:
     """(ico, flag, triggered, severity, score, evidence, disclaimer): all flags of all companies with the figures that
     each rests on, as a map of texts, and the notice that goes with them."""
     known, met = risk.materialised(notices, awards)
-    pairs = risk.pairs(met)
-    worst = risk.bursts(risk.timeline(met)).groupBy("ico").agg(F.max(F.struct("score", "counterparty", "burst", "severity", "triggered", "window_value", "first_day", "last_day", "division")).alias("w")).select("ico", "w.*")
+    rows = met.count()
+    pairs = risk.pairs(met, rows)
+    worst = risk.cluster_flag(met, rows, "window_value", "first_day", "last_day", "division")
     flags = {"concentration": risk.concentration_flag(pairs), "pair": risk.pair_flag(pairs), "market": risk.market_flag(known, met), "cluster": worst}
     out = None
     for name, df in flags.items():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import band, cpv_division, final_expr, is_framework, money, value_expr
+from ..functions.dealing import dealt
 from ..streaming.ingest import checkpointed
 from .spend import market_cpv
 
@@ -26,7 +27,8 @@ DISCLAIMER = "Statistical observations over published records; they call for a l
 
 def meetings(notices: DataFrame, awards: DataFrame) -> DataFrame:
     """Each named supplier of each notice once, with the number of its awards in `_k` and the notice's columns."""
-    named = awards.where("supplier_ico IS NOT NULL").groupBy("notice_id", "supplier_ico").agg(F.count(F.lit(1)).alias("_k"))
+    dealt_ = dealt(awards.where("supplier_ico IS NOT NULL"), awards.count(), "notice_id")
+    named = dealt_.groupBy("notice_id", "supplier_ico").agg(F.count(F.lit(1)).alias("_k"))
     return named.join(notices, "notice_id")
 
 
@@ -36,17 +38,19 @@ def materialised(notices: DataFrame, awards: DataFrame) -> tuple[DataFrame, Data
     return known, checkpointed(meetings(known, awards))
 
 
-def pairs(met: DataFrame) -> DataFrame:
-    """(ico, counterparty, role, n, total): all counterparties of all companies; `role` is the counterparty's. As a
-    supplier a company meets a procurer once a notice, as a procurer it meets a supplier once an award."""
+def pairs(met: DataFrame, rows: int | None = None) -> DataFrame:
+    """(ico, counterparty, role, n, total): all counterparties of all companies, dealt by company; `role` is the
+    counterparty's. As a supplier a company meets a procurer once a notice, as a procurer it meets a supplier once an award.
+    `rows`: about how many meetings there are (none: they are counted)."""
+    rows = met.count() if rows is None else rows
     per = met.where("supplier_ico <> ''").select("supplier_ico", "procurer_ico", "_k", final_expr().alias("v"))
     of_all = F.sum(F.col("v").cast("decimal(18,2)") * F.col("_k")).cast("double")
-    by = per.groupBy("supplier_ico", "procurer_ico").agg(F.count(F.lit(1)).alias("n"), money("v").alias("total"), F.sum("_k").alias("k"), of_all.alias("vk"))
+    by = dealt(per, rows, "supplier_ico", "procurer_ico").groupBy("supplier_ico", "procurer_ico").agg(F.count(F.lit(1)).alias("n"), money("v").alias("total"), F.sum("_k").alias("k"), of_all.alias("vk"))
     sides = F.array(
         F.struct(F.col("supplier_ico").alias("ico"), F.col("procurer_ico").alias("counterparty"), F.lit("procurer").alias("role"), F.col("n").alias("n"), F.col("total").alias("total")),
         F.struct(F.col("procurer_ico").alias("ico"), F.col("supplier_ico").alias("counterparty"), F.lit("supplier").alias("role"), F.col("k").alias("n"), F.col("vk").alias("total")),
     )
-    return by.select(F.explode(sides).alias("s")).select("s.*").where("ico IS NOT NULL")
+    return dealt(by.select(F.explode(sides).alias("s")).select("s.*").where("ico IS NOT NULL"), 2 * rows, "ico")
 
 
 def concentration_flag(pairs_: DataFrame) -> DataFrame:
@@ -68,17 +72,18 @@ def pair_flag(pairs_: DataFrame) -> DataFrame:
     )
 
 
-def market_flag(notices: DataFrame, met: DataFrame) -> DataFrame:
+def market_flag(notices: DataFrame, met: DataFrame, rows: int | None = None) -> DataFrame:
     """The worst multiple of a company's mean value in a category over the market's median (or mean, were that 0). A company
-    counts once in a notice, in whatever role."""
+    counts once in a notice, in whatever role. `rows`: about how many notices and meetings there are (none: counted)."""
+    rows = met.count() + notices.count() if rows is None else rows
     baseline = F.when(F.col("median") > 0, F.col("median")).when(F.col("total") > 0, F.col("total") / F.col("n"))
     market = market_cpv(notices).where(F.col("n") >= MARKET_MIN).select("cpv_code", baseline.alias("baseline")).where("baseline IS NOT NULL")
     columns = ("cpv_code", final_expr().alias("v"))
     won = met.where("cpv_code IS NOT NULL AND NOT supplier_ico <=> procurer_ico").select(F.col("supplier_ico").alias("ico"), *columns)
     gave = notices.where("cpv_code IS NOT NULL AND procurer_ico IS NOT NULL").select(F.col("procurer_ico").alias("ico"), *columns)
-    own = won.unionByName(gave).groupBy("ico", "cpv_code").agg(F.count(F.lit(1)).alias("n"), money("v").alias("total"))
-    rows = own.join(market, "cpv_code").withColumn("multiple", F.round(F.col("total") / F.col("n") / F.col("baseline"), 2))
-    by = rows.groupBy("ico").agg(F.max("multiple").alias("multiple"), F.count(F.lit(1)).alias("compared"))
+    own = dealt(won.unionByName(gave), rows, "ico", "cpv_code").groupBy("ico", "cpv_code").agg(F.count(F.lit(1)).alias("n"), money("v").alias("total"))
+    compared = own.join(F.broadcast(market), "cpv_code").withColumn("multiple", F.round(F.col("total") / F.col("n") / F.col("baseline"), 2))
+    by = compared.groupBy("ico").agg(F.max("multiple").alias("multiple"), F.count(F.lit(1)).alias("compared"))
     return by.select("ico", "multiple", "compared", F.round(F.least(F.lit(100.0), F.col("multiple") / DEVIATION_MULTIPLE * 50.0), 1).alias("score"), F.when(F.col("multiple") >= 2 * DEVIATION_MULTIPLE, "high").when(F.col("multiple") >= DEVIATION_MULTIPLE, "moderate").otherwise("low").alias("severity"), (F.col("multiple") >= DEVIATION_MULTIPLE).alias("triggered"))
 
 
@@ -93,13 +98,14 @@ def timeline(met: DataFrame) -> DataFrame:
     return won.unionByName(gave)
 
 
-def bursts(series: DataFrame) -> DataFrame:
+def bursts(series: DataFrame, rows: int | None = None) -> DataFrame:
     """Per (ico, counterparty): the densest window of 30 days, the earliest among equals, and its score. Rows of a pair are
-    ordered in a range frame, so no state is built in Python."""
+    ordered in a range frame, so no state is built in Python. `rows`: about how many there are (none: they are counted)."""
+    size = series.count() if rows is None else rows
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    rows = series.select("ico", "counterparty", day.alias("day"), cpv_division().alias("division"), F.col("value").cast("decimal(18,2)").alias("value"))
+    dated = series.select("ico", "counterparty", day.alias("day"), cpv_division().alias("division"), F.col("value").cast("decimal(18,2)").alias("value"))
     w = Window.partitionBy("ico", "counterparty").orderBy("day").rangeBetween(-BURST_DAYS, 0)
-    framed = rows.select("ico", "counterparty", "day", F.count(F.lit(1)).over(w).alias("n"), F.sum("value").over(w).alias("value"), F.min("day").over(w).alias("first"), F.min("division").over(w).alias("low"), F.max("division").over(w).alias("top"))
+    framed = dealt(dated, size, "ico", "counterparty").select("ico", "counterparty", "day", F.count(F.lit(1)).over(w).alias("n"), F.sum("value").over(w).alias("value"), F.min("day").over(w).alias("first"), F.min("division").over(w).alias("low"), F.max("division").over(w).alias("top"))
     best = framed.groupBy("ico", "counterparty").agg(F.count(F.lit(1)).alias("awards"), F.max(F.struct("n", (-F.col("day")).alias("minus"), "value", "first", "low", "top")).alias("b"))
     n, value = F.col("b.n"), F.col("b.value").cast("double")
     shared, dense = F.coalesce(F.col("b.low") == F.col("b.top"), F.lit(False)), n >= BURST
@@ -113,17 +119,18 @@ def bursts(series: DataFrame) -> DataFrame:
     )
 
 
-def cluster_flag(bursts_: DataFrame) -> DataFrame:
-    """Each company's worst burst by score."""
-    by = bursts_.groupBy("ico").agg(F.max(F.struct("score", "counterparty", "burst", "severity", "triggered")).alias("w"))
-    return by.select("ico", "w.*")
+def cluster_flag(met: DataFrame, rows: int, *more: str) -> DataFrame:
+    """Each company's worst burst by score, with `more` of its columns; `rows`: about how many awards the meetings hold."""
+    found = dealt(bursts(timeline(met), 2 * rows), 2 * rows, "ico")
+    return found.groupBy("ico").agg(F.max(F.struct("score", "counterparty", "burst", "severity", "triggered", *more)).alias("w")).select("ico", "w.*")
 
 
 def risk_profiles(notices: DataFrame, awards: DataFrame) -> DataFrame:
     """Per company: the four flags' scores, the weighted score, its band and the triggered flags."""
     known, met = materialised(notices, awards)
-    p = pairs(met)
-    flags = {"concentration": concentration_flag(p), "pair": pair_flag(p), "market": market_flag(known, met), "cluster": cluster_flag(bursts(timeline(met)))}
+    rows = met.count()
+    p = pairs(met, rows)
+    flags = {"concentration": concentration_flag(p), "pair": pair_flag(p), "market": market_flag(known, met), "cluster": cluster_flag(met, rows)}
     parts = None
     for name, df in flags.items():
         one = df.select("ico", F.lit(name).alias("flag"), "score", "triggered", *([F.col("subject_role")] if name == "pair" else [F.lit(None).cast("string").alias("subject_role")]))

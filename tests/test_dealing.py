@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenderspark.functions import dealing
-from tenderspark.operators import company, spend
+from tenderspark.operators import company, risk, spend
 
 
 @pytest.fixture
@@ -26,3 +26,12 @@ def test_awards_are_dealt_over_more_tasks_as_they_grow(spark, few):
         assert largest(spend.wholly_identified(awards_of(spark, n))) < 150
     rows = company.entity_stats_suppliers(spark.range(400).selectExpr("id AS notice_id", "1.0D AS final_value"), awards_of(spark, 400)).collect()
     assert sorted(tuple(r) for r in rows) == [("s0", 360, 360.0), ("s1", 360, 360.0)]
+
+
+def test_flags_are_dealt_over_more_tasks_as_they_grow(spark, few):
+    for n in (400, 4000):
+        notices = spark.range(n).selectExpr("id AS notice_id", "concat('p', id) AS procurer_ico", "'30000000' AS cpv_code", "'open' AS procedure_type", "1.0D AS final_value", "1.0D AS estimated_value", "DATE '2024-01-01' AS award_date", "DATE '2024-01-01' AS publication_date")
+        met = risk.meetings(notices, awards_of(spark, n))
+        assert largest(met) < 150
+        assert largest(risk.pairs(met).where("role = 'supplier'")) < 150
+        assert largest(risk.bursts(risk.timeline(met))) < 150
