@@ -6,13 +6,14 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank_to_null, date_prefix, safe_double
 from ..functions.text import notice_hash, slugify
 from ..schema import NOTICE
-from .trees import NODES, XML_FIELDS, extract_xml, walk
+from .trees import PANELS, XML_FIELDS, extract_xml, tree_values
 
 #: Fixed values of the sources' vocabularies.
 CRZ_ATTACHMENTS = "https://www.crz.gov.sk/data/att"
@@ -229,70 +230,100 @@ def ted_notices(raw: DataFrame) -> DataFrame:
 
 # gazette: component trees
 
-def component_nodes(items: DataFrame) -> DataFrame:
-    """The nodes of rows (item, data), data being a JSON text; an item that does not parse has none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for item, data in zip(pdf["item"], pdf["data"]):
+#: Codes of an item, and those of its panels by group.
+ITEM_CODES = {"ted": "BT-04-notice", "kind": "BT-03-notice", "order": "DL-Metadata-Order", "partner": "DL-Metadata-Partner", "cpv": "BT-262-Lot", "final": "BT-720-Tender_value", "est_lot": "BT-27-Lot", "est_proc": "BT-27-Procedure", "cur_tender": "BT-720-Tender-Currency", "cur_lot": "BT-27-Lot-Currency"}
+PANEL_CODES = {
+    "GR-Organisations": {"name": "BT-500-Organization-Company", "cin": "BT-501-Organization-Company-CIN", "street_a": "BT-510(a)-Organization-Company", "street_b": "BT-510(b)-Organization-Company", "city": "BT-513-Organization-Company", "postal_code": "BT-512-Organization-Company", "country": "BT-514-Organization-Company"},
+    "GR-LotResult": {"state": "BT-142-LotResult", "tenders": "OPT-320-LotResult", "lot_value": "BT-710-LotResult_value", "lot_currency": "BT-710-LotResult_currency"},
+    "GR-LotTender": {"value": "BT-720-Tender_value", "currency": "BT-720-Tender_currency", "party": "OPT-310-Tender", "party_label": "BT-3201-Tender"},
+    "GR-TenderingParty": {"org": "OPT-300-Tenderer"},
+}
+
+
+def item_trees(items: DataFrame) -> DataFrame:
+    """Items with `flat`, the first values of ITEM_CODES, and `panels`, for their `data`, a JSON text; one that is no tree has
+    no values. A row stays a row, so what follows within an item needs no shuffle."""
+    keys, panel_keys = list(ITEM_CODES.values()), frozenset(c for codes in PANEL_CODES.values() for c in codes.values())
+    rest = [c for c in items.columns if c != "data"]
+    panel = pa.struct([("grp", pa.string()), ("panel", pa.int32()), ("labels", pa.list_(pa.string())), ("vals", pa.map_(pa.string(), pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, panels = [], []
+            for data in batch.column("data").to_pylist():
                 try:
                     tree = json.loads(data)
                 except (TypeError, ValueError):
-                    continue
-                if isinstance(tree, dict):
-                    out += walk(item, tree)
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in NODES.split(", ")])
-            yield frame.astype({"ord": "Int32", "panel": "Int32"})
+                    tree = None
+                values, found = tree_values(tree if isinstance(tree, dict) else {}, keys, panel_keys)
+                flat.append(values)
+                panels.append(found)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(flat, pa.list_(pa.string())), pa.array(panels, pa.list_(panel))], [*rest, "flat", "panels"])
 
-    return items.select("item", "data").mapInPandas(run, NODES)
+    kept = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in rest)
+    return items.select(*rest, "data").mapInArrow(run, f"{kept}, flat array<string>, panels {PANELS}")
 
 
-def first_values(nodes: DataFrame, keys: list[str], by: list[str], codes: dict[str, str]) -> DataFrame:
-    """One row a group with the first non-null value of each code, metadata before tabs."""
-    rank = F.struct(F.when(F.col("section") == "metadataWrapper", 0).otherwise(1), "ord")
-    rows = nodes.where(F.col("value").isNotNull() & F.col("key").isin(list(codes.values())))
-    return rows.groupBy(*by, *keys).agg(*[F.min_by(F.when(F.col("key") == c, F.col("value")), F.when(F.col("key") == c, rank)).alias(n) for n, c in codes.items()])
+def panels_of(group: str) -> Column:
+    """An item's panels of a group: (panel_id, panel, codes...) by id and place."""
+    pattern = r"\(([A-Z]+-\d+)\)\s*$"
 
+    def one(p: Column) -> Column:
+        label = F.get(F.filter(F.transform(p["labels"], lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != ""), 0)
+        return F.struct(label.alias("panel_id"), p["panel"].alias("panel"), *[F.try_element_at(p["vals"], F.lit(c)).alias(n) for n, c in PANEL_CODES[group].items()])
 
-def panel_values(nodes: DataFrame, group: str, codes: dict[str, str]) -> DataFrame:
-    """(item, panel, panel_id, codes...) of a group's panels."""
-    rows = nodes.where(F.col("grp") == group)
-    pattern = r"\(([A-Z]+-\d+)\)\s*$"
-    label = F.get(F.filter(F.transform("labels", lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != ""), 0)
-    heads = rows.where("labels IS NOT NULL").select("item", "panel", label.alias("panel_id"))
-    return heads.join(first_values(rows, [], ["item", "panel"], codes), ["item", "panel"], "left")
+    return F.array_sort(F.transform(F.filter("panels", lambda p: p["grp"] == group), one))
+
+
+def with_arrays(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with more columns, generated, so that what uses them several times does not repeat them."""
+    return df.withColumn("_a", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))).select("*", "_a.*").drop("_a")
 
 
 def parse_amount(c: Column) -> Column:
     return F.translate(c, "  ", "").try_cast("double")
 
 
-def _latest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The last panel of each id."""
-    return df.where("panel_id IS NOT NULL").groupBy("item", "panel_id").agg(F.max_by(F.struct(*columns), "panel").alias("v")).select("item", "panel_id", "v.*")
+def _latest(panels: str) -> Column:
+    """The last panel of each id, of panels sorted by id and place."""
+    later = lambda x, i: F.coalesce(F.get(panels, i + 1)["panel_id"] == x["panel_id"], F.lit(False))
+    return F.filter(panels, lambda x, i: x["panel_id"].isNotNull() & ~later(x, i))
+
+
+def _by_id(panels: Column) -> Column:
+    return F.map_from_entries(F.transform(panels, lambda x: F.struct(x["panel_id"], x)))
+
+
+def with_awards(trees: DataFrame) -> DataFrame:
+    """Trees with `orgs`, the organisation panels with a name, the last of each id; and `awards`: selected lot results looked
+    up in tenders, tendering parties and organisations; what has no match at some step is dropped."""
+    rows = with_arrays(
+        trees,
+        _orgs=F.filter(panels_of("GR-Organisations"), lambda o: F.coalesce(o["name"], F.lit("")) != ""),
+        _tenders=panels_of("GR-LotTender"),
+        _parties=F.filter(panels_of("GR-TenderingParty"), lambda p: p["org"].isNotNull()),
+        _results=F.filter(F.array_sort(F.transform(panels_of("GR-LotResult"), lambda r: F.struct(r["panel"], r["state"], r["tenders"], r["lot_value"]))), lambda r: (r["state"] == "selec-w") & (F.coalesce(r["tenders"], F.lit("")) != "")),
+    )
+    rows = with_arrays(rows, orgs=_latest("_orgs"), _tender=_by_id(_latest("_tenders")), _party=_by_id(_latest("_parties"))).drop("_orgs", "_tenders", "_parties")
+    rows = with_arrays(rows, _org=_by_id(F.col("orgs")))
+
+    def matches(r: Column) -> Column:
+        ids = F.when(r["tenders"].startswith("["), F.regexp_extract_all(r["tenders"], F.lit(r"(TEN-\d+)"), F.lit(1))).otherwise(F.array(r["tenders"]))
+        tenders = F.array_compact(F.transform(ids, lambda t: F.try_element_at("_tender", t)))
+        return F.transform(tenders, lambda t: F.struct(t.alias("t"), r["lot_value"].alias("lot_value"), F.try_element_at("_org", F.try_element_at("_party", F.coalesce(blank_to_null(t["party"]), t["party_label"]))["org"]).alias("o")))
+
+    found = F.filter(F.flatten(F.transform("_results", matches)), lambda m: m["o"].isNotNull())
 
+    def one(m: Column) -> Column:
+        o = m["o"]
+        address = F.struct(blank_to_null(F.concat_ws(" ", o["street_a"], o["street_b"])).alias("street"), o["city"].alias("city"), o["postal_code"].alias("postal_code"), F.coalesce(o["country"], F.lit("SK")).alias("country_code"))
+        return award(organisation(o["name"], eight_digits(o["cin"]), ["vestnik", "uvo"], address=address), F.coalesce(parse_amount(m["t"]["value"]), parse_amount(m["lot_value"])), F.coalesce(m["t"]["currency"], F.lit("EUR")))
 
-def organisations(nodes: DataFrame) -> DataFrame:
-    """(item, panel_id, name, ico, address parts, panel) of the organisation panels with a name."""
-    o = panel_values(nodes, "GR-Organisations", {"name": "BT-500-Organization-Company", "cin": "BT-501-Organization-Company-CIN", "street_a": "BT-510(a)-Organization-Company", "street_b": "BT-510(b)-Organization-Company", "city": "BT-513-Organization-Company", "postal_code": "BT-512-Organization-Company", "country": "BT-514-Organization-Company"})
-    o = o.where(F.coalesce("name", F.lit("")) != "").select("item", "panel", "panel_id", "name", F.when(F.col("cin").rlike(r"^\d{8}$"), F.col("cin")).alias("ico"), blank_to_null(F.concat_ws(" ", "street_a", "street_b")).alias("street"), "city", "postal_code", F.coalesce("country", F.lit("SK")).alias("country"))
-    return _latest(o, ["name", "ico", "street", "city", "postal_code", "country", "panel"])
+    return with_arrays(rows, _found=found).withColumn("awards", F.transform("_found", one)).drop("_found", "_results", "_tender", "_party", "_org")
 
 
-def gazette_awards(nodes: DataFrame) -> DataFrame:
-    """(item, awards): selected lot results joined to tenders, tendering parties and organisations; what has no match at
-    some step is dropped."""
-    results = panel_values(nodes, "GR-LotResult", {"state": "BT-142-LotResult", "tenders": "OPT-320-LotResult", "lot_value": "BT-710-LotResult_value", "lot_currency": "BT-710-LotResult_currency"}).where("state = 'selec-w' AND tenders IS NOT NULL AND tenders <> ''")
-    ids = F.when(F.col("tenders").startswith("["), F.regexp_extract_all("tenders", F.lit(r"(TEN-\d+)"), F.lit(1))).otherwise(F.array("tenders"))
-    results = results.select("item", "panel", "lot_value", "lot_currency", F.posexplode(ids).alias("pos", "ten"))
-    tenders = _latest(panel_values(nodes, "GR-LotTender", {"value": "BT-720-Tender_value", "currency": "BT-720-Tender_currency", "party": "OPT-310-Tender", "party_label": "BT-3201-Tender"}), ["value", "currency", "party", "party_label"]).select("item", F.col("panel_id").alias("ten"), "value", "currency", F.coalesce(blank_to_null(F.col("party")), F.col("party_label")).alias("tpa"))
-    parties = _latest(panel_values(nodes, "GR-TenderingParty", {"org": "OPT-300-Tenderer"}).where("org IS NOT NULL"), ["org"]).select("item", F.col("panel_id").alias("tpa"), "org")
-    orgs = organisations(nodes).withColumnRenamed("panel_id", "org").drop("panel")
-    joined = results.join(tenders, ["item", "ten"]).join(parties, ["item", "tpa"]).join(orgs, ["item", "org"])
-    address = F.struct("street", "city", "postal_code", F.col("country").alias("country_code"))
-    one = award(organisation(F.col("name"), F.col("ico"), ["vestnik", "uvo"], address=address), F.coalesce(parse_amount(F.col("value")), parse_amount(F.col("lot_value"))), F.coalesce("currency", F.lit("EUR")))
-    return joined.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("panel", "pos", one.alias("a")))), lambda x: x["a"]).alias("awards"))
+def eight_digits(c: Column) -> Column:
+    return F.when(c.rlike(r"^\d{8}$"), c)
 
 
 def split_label(c: Column) -> Column:
@@ -302,12 +333,11 @@ def split_label(c: Column) -> Column:
 
 def nkod_notices(items: DataFrame) -> DataFrame:
     """From rows (item, name, data, publish_date, year, number) of gazette items."""
-    nodes = component_nodes(items).persist()
-    codes = {"ted": "BT-04-notice", "kind": "BT-03-notice", "order": "DL-Metadata-Order", "partner": "DL-Metadata-Partner", "cpv": "BT-262-Lot", "final": "BT-720-Tender_value", "est_lot": "BT-27-Lot", "est_proc": "BT-27-Procedure", "cur_tender": "BT-720-Tender-Currency", "cur_lot": "BT-27-Lot-Currency"}
-    flat = first_values(nodes.where("section IS NOT NULL"), [], ["item"], codes)
-    rows = items.select("item", "name", "publish_date", "year", "number").join(flat, "item", "left").withColumn("partner_name", split_label(F.col("partner")))
-    orgs = organisations(nodes).groupBy("item", F.lower(F.trim("name")).alias("_key")).agg(F.min_by(F.struct("name", "ico"), "panel").alias("_org"))
-    rows = rows.withColumn("_key", F.lower(F.trim("partner_name"))).join(orgs, ["item", "_key"], "left").join(gazette_awards(nodes), "item", "left")
+    rows = with_awards(item_trees(items.select("item", "name", "publish_date", "year", "number", "data")))
+    rows = rows.withColumns({n: F.get("flat", i) for i, n in enumerate(ITEM_CODES)}).withColumn("partner_name", split_label(F.col("partner")))
+    named = lambda o: F.lower(F.trim(o["name"])) == F.lower(F.trim(F.col("partner_name")))
+    first = F.array_min(F.transform(F.filter("orgs", named), lambda o: F.struct(o["panel"], o["name"], eight_digits(o["cin"]).alias("ico"))))
+    rows = with_arrays(rows, _org=first)
     kind = lookup(NKOD_TYPES, F.col("kind"), "other")
     name = F.coalesce("_org.name", "partner_name")
     return canonical(
@@ -315,7 +345,7 @@ def nkod_notices(items: DataFrame) -> DataFrame:
         {
             "source": F.lit("vestnik"), "source_id": F.col("item"), "notice_type": kind, "status": F.when(kind == "contract_award", "awarded").when(kind == "contract_notice", "announced").otherwise("unknown"),
             "title": F.coalesce(split_label(F.col("order")), blank_to_null(F.col("name")), F.lit("Untitled notice")), "procurer": F.when(F.col("partner_name").isNotNull(), organisation(name, F.col("_org.ico"), ["vestnik", "uvo"])),
-            "awards": F.coalesce("awards", F.array()), "cpv_code": blank_to_null(F.col("cpv")), "final_value": parse_amount(F.col("final")), "estimated_value": parse_amount(F.coalesce(blank_to_null(F.col("est_lot")), F.col("est_proc"))),
+            "awards": F.col("awards"), "cpv_code": blank_to_null(F.col("cpv")), "final_value": parse_amount(F.col("final")), "estimated_value": parse_amount(F.coalesce(blank_to_null(F.col("est_lot")), F.col("est_proc"))),
             "currency": F.coalesce(blank_to_null(F.col("cur_tender")), blank_to_null(F.col("cur_lot")), F.lit("EUR")), "publication_date": date_prefix("publish_date"),
             "vestnik_number": F.concat_ws("/", F.when(F.col("year").isNotNull() & F.col("number").isNotNull(), F.col("number").cast("string")), F.when(F.col("year").isNotNull() & F.col("number").isNotNull(), F.col("year").cast("string"))), "ted_notice_id": blank_to_null(F.col("ted")),
         },
