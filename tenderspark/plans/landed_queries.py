@@ -37,7 +37,8 @@ def _streamed_scans(spark, sf_dir):
     """What a stream over the scans has written after three runs with a restart between them: the scans up to 1995; then those of 1996
     and later, of which the one of 1996 of one source lacks its end; then the same again, with nothing new to read."""
     folder = scratch(spark)
-    rows = _scan_rows(spark, sf_dir)
+    _scan_rows(spark, sf_dir).write.parquet(f"{folder}/rows")  # placed once, read by every landing
+    rows = spark.read.parquet(f"{folder}/rows")
     for part, broken in (("scan <= '1995'", "false"), ("scan > '1995'", "source = 'itms' AND scan = '1996'"), ("false", "false")):
         whole = rows.where(part)
         scans.land(whole.where(f"NOT ({broken})"), f"{folder}/in", 200)

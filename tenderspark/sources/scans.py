@@ -1,6 +1,7 @@
 """A streaming source of landed scans: pages of an upstream, of which Spark keeps the offsets of each source.
 
-Layout, which `land` writes: root/source=S/scan=N/page=K/<one file>, a file being {"items": [...], "next": K + 1 or null}.
+Layout: root/source=S/scan=N/page=K/<one file>, a file being {"items": [...], "next": K + 1 or null}, or page=K-L/<one file>
+with the pages K to L, one a line, which `land` writes, so that a large scan is not a folder and a file a page.
 Scans of a source follow each other by name. A scan is complete when its pages are 0..K without a gap and the last one
 names no next page. Offsets stop before a source's first incomplete scan, so one that breaks off is never taken for a
 whole one, and nothing behind it is read before its producer ends or removes it.
@@ -10,6 +11,7 @@ Files are reached by pyarrow's file systems (local, HDFS, S3, GCS by the folder'
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..functions.dealing import dealt
+
 SCHEMA = "source string, scan string, page int, value string"
 
 
@@ -37,32 +41,48 @@ def _children(fs: pafs.FileSystem, folder: str, key: str) -> dict[str, str]:
     return {f.base_name[len(mark) :]: f.path for f in sorted(found, key=lambda f: f.base_name) if f.base_name.startswith(mark)}
 
 
-def _page_file(fs: pafs.FileSystem, folder: str) -> str | None:
-    files = [f.path for f in fs.get_file_info(pafs.FileSelector(folder)) if f.is_file and f.base_name[0] not in "._"]
-    if len(files) > 1:
-        raise ValueError(f"{folder}: a page is one file")
-    return files[0] if files else None
-
-
-def _load(fs: pafs.FileSystem, path: str) -> dict:
+def _load(fs: pafs.FileSystem, path: str, first: int, last: int | None) -> Iterator[tuple[int, dict]]:
+    """(number, page) of a file: the one page `first`, or with `last` the pages up to it, of which one is held at a time."""
     with fs.open_input_stream(path) as f:
-        return json.loads(f.read())
-
-
-def pages_of(fs: pafs.FileSystem, scan: str) -> list[str] | None:
-    """The files of a scan's pages in order, or None while it is incomplete."""
-    found = {int(k): path for k, path in _children(fs, scan, "page").items()}
-    if sorted(found) != list(range(len(found))) or not found:
-        return None
-    files = [_page_file(fs, found[k]) for k in range(len(found))]
-    if None in files or _load(fs, files[-1]).get("next") is not None:
+        if last is None:
+            yield first, json.loads(f.read())
+            return
+        page = first - 1
+        for page, line in enumerate(io.TextIOWrapper(f, "utf-8", newline="\n"), first):
+            yield page, json.loads(line)
+        if page != last:
+            raise ValueError(f"{path}: its last page is {page}")
+
+
+def pages_of(fs: pafs.FileSystem, scan: str) -> list[tuple[int, int | None, str]] | None:
+    """(first page, last page or None, path) of a scan's files in order, or None while it is incomplete; one listing of the scan."""
+    found: dict[tuple[int, int | None], list[str]] = {}
+    for f in fs.get_file_info(pafs.FileSelector(scan, recursive=True, allow_not_found=True)):
+        folder, _, name = f.path.removeprefix(f"{scan}/").rpartition("/")
+        of_page = (folder if f.is_file else name).split("/")[0]
+        if not of_page.startswith("page="):
+            continue
+        first, _, last = of_page.removeprefix("page=").partition("-")
+        files = found.setdefault((int(first), int(last) if last else None), [])
+        if f.is_file and "/" not in folder and name[0] not in "._":
+            files.append(f.path)
+    due, out = 0, []
+    for (first, last), files in sorted(found.items(), key=lambda x: x[0][0]):
+        if len(files) > 1:
+            raise ValueError(f"{files[0]}: a page is one file")
+        if first != due or not files:
+            return None
+        due = (first if last is None else last) + 1
+        out.append((first, last, files[0]))
+    if not out:
         return None
-    return files
+    *_, (_, page) = _load(fs, out[-1][2], *out[-1][:2])
+    return out if page.get("next") is None else None
 
 
 class _Pages(InputPartition):
-    def __init__(self, pages: list[tuple[str, str, int, str]]):
-        self.pages = pages
+    def __init__(self, files: list[tuple[str, str, int, int | None, str]]):
+        self.files = files
 
 
 class ScanReader(DataSourceStreamReader):
@@ -91,21 +111,29 @@ class ScanReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[_Pages]:
         fs, sources = self._root()
-        pages = []
-        for source, last in end.items():
+        tasks, held = [], self.pages_per_task
+        for source, until in end.items():
             for scan, path in _children(fs, sources[source], "scan").items():
-                if start.get(source, "") < scan <= last:
-                    pages += [(source, scan, k, f) for k, f in enumerate(pages_of(fs, path))]
-        return [_Pages(pages[i : i + self.pages_per_task]) for i in range(0, len(pages), self.pages_per_task)]
+                if not start.get(source, "") < scan <= until:
+                    continue
+                for first, last, file in pages_of(fs, path):
+                    n = 1 if last is None else last - first + 1
+                    if held + n > self.pages_per_task:
+                        tasks.append([])
+                        held = 0
+                    tasks[-1].append((source, scan, first, last, file))
+                    held += n
+        return [_Pages(files) for files in tasks]
 
     def read(self, partition: _Pages | None) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
         fs, _ = file_system(self.folder)
-        for source, scan, page, path in partition.pages:
-            items = [json.dumps(x, ensure_ascii=False) for x in _load(fs, path)["items"]]
-            n = len(items)
-            yield pa.RecordBatch.from_arrays([pa.array([source] * n, pa.string()), pa.array([scan] * n, pa.string()), pa.array([page] * n, pa.int32()), pa.array(items, pa.string())], ["source", "scan", "page", "value"])
+        for source, scan, first, last, path in partition.files:
+            for page, content in _load(fs, path, first, last):
+                items = [json.dumps(x, ensure_ascii=False) for x in content["items"]]
+                n = len(items)
+                yield pa.RecordBatch.from_arrays([pa.array([source] * n, pa.string()), pa.array([scan] * n, pa.string()), pa.array([page] * n, pa.int32()), pa.array(items, pa.string())], ["source", "scan", "page", "value"])
 
     def commit(self, end: dict) -> None:
         """Delete scans that were read, but for the last `keep` of a source; 0 keeps all."""
@@ -140,11 +168,25 @@ def read_scans(spark: SparkSession, folder: str, keep: int = 0) -> DataFrame:
     return spark.readStream.format("scans").option("path", folder).option("keep", keep).load()
 
 
-def land(items: DataFrame, folder: str, page_rows: int = 100) -> None:
-    """Write (source, scan, at, value) as complete scans: items numbered by `at` from 0 within a scan, `page_rows` a page."""
+def land(items: DataFrame, folder: str, page_rows: int = 100, file_pages: int = 64) -> None:
+    """Write (source, scan, at, value) as complete scans: items numbered by `at` from 0 within a scan, `page_rows` a page,
+    `file_pages` pages a file. What is broadcast is one row a scan."""
     page = F.floor(F.col("at") / page_rows).cast("int")
-    of_page = items.select("source", "scan", page.alias("page"), "at", "value").groupBy("source", "scan", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("v"))
-    last = items.groupBy("source", "scan").agg(F.max(page).alias("last"))
-    following = F.when(F.col("page") < F.col("last"), (F.col("page") + 1).cast("string")).otherwise("null")
-    text = F.concat(F.lit('{"items": ['), F.array_join("v", ", "), F.lit('], "next": '), following, F.lit("}"))
-    of_page.join(last, ["source", "scan"]).select("source", "scan", "page", text.alias("value")).write.mode("append").partitionBy("source", "scan", "page").text(folder)
+    last = items.groupBy("source", "scan").agg(F.max(page).alias("last"), F.count(F.lit(1)).alias("rows")).persist()
+    try:
+        line = F.translate("value", "\n", " ")  # in JSON, a bare line break is only space between tokens
+        paged = items.select("source", "scan", page.alias("page"), (page - page % file_pages).alias("first"), "at", line.alias("value"))
+        of_task = dealt(paged, last.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0], "source", "scan", "first")
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), ", ")
+        of_page = of_task.groupBy("source", "scan", "first", "page").agg(body.alias("body"))
+        of_file = of_page.groupBy("source", "scan", "first").agg(F.array_sort(F.collect_list(F.struct("page", "body"))).alias("pages"))
+
+        def text(p):
+            following = F.when(p["page"] < F.col("last"), (p["page"] + 1).cast("string")).otherwise("null")
+            return F.concat(F.lit('{"items": ['), p["body"], F.lit('], "next": '), following, F.lit("}"))
+
+        span = F.concat_ws("-", "first", F.least(F.col("first") + file_pages - 1, "last"))
+        lines = F.array_join(F.transform("pages", text), "\n")
+        of_file.join(F.broadcast(last), ["source", "scan"]).select("source", "scan", span.alias("page"), lines.alias("value")).write.mode("append").partitionBy("source", "scan", "page").text(folder)
+    finally:
+        last.unpersist()
